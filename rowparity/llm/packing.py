@@ -12,6 +12,7 @@ and together are the whole document, whatever its length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,12 +41,13 @@ def tokenizer_path(path: str | None) -> str:
 
 
 @lru_cache(maxsize=2)  # a worker process keeps its words from task to task
-def encoder(path: str | None = None, most: int = 400_000) -> Callable[[str], bytes]:
+def encoder(path: str | None = None, most: int = 600_000) -> Callable[[str], bytes]:
     """text -> its ids as little-endian uint32 bytes, as the tokenizer gives them for the whole text.
 
     Words are encoded once per worker and remembered (at most `most` of them). Texts that hold an added token's string
     are encoded whole, because such a token may span words.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path(path))
@@ -59,12 +61,11 @@ def encoder(path: str | None = None, most: int = 400_000) -> Callable[[str], byt
         if any(a in text for a in added):
             return packed(tokenizer.encode(text, add_special_tokens=False).ids)
         words = WORD_START.split(text) if text else []
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(missing) > most:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for word, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                known[word] = packed(e.ids)
+        if missing := list(set(words).difference(known)):
+            new = {w: packed(e.ids) for w, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
+            if len(known) > most:  # full: what is new is not remembered
+                return b"".join([new[w] if w in new else known[w] for w in words])
+            known.update(new)
         return b"".join(map(known.__getitem__, words))
 
     return encode

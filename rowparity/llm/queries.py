@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, media, packing, token_counts
+from . import chat, language, media, packing, secrets, token_counts
 from .common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    findings, _ = secrets.scan(versions)
+    return secrets.digest(secrets.by_path(versions, findings))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -23,14 +30,66 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(language.training_rows(docs)))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digest(chat.format_conversations(turns.unionByName(extra)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op4_media_columns": op4_media_columns,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secret_sql(rule: secrets.Rule, rank: int) -> str:
+    """Rows (doc_id, s, rank, e, kind): the positions follow from the lengths of the parts and of the matches."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+    select doc_id, s, {rank} as rank, s + n as e, '{rule.kind}' as kind from (
+        select doc_id, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) as s, length(ms[i]) as n, length(bs[i]) as b
+        from (select doc_id, string_split_regex(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}') as ms, regexp_extract_all(text, '{pattern}', {rule.group}) as bs, unnest(range(1, len(ms) + 1)) as i
+              from (select doc_id, coalesce(text, '') as text from documents))
+    ) where b >= {rule.least}"""
+
+
+def _op1_sql() -> str:
+    found = " union all ".join(_secret_sql(r, i) for i, r in enumerate(secrets.RULES))
+    text = "kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, rank, e"
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secrets.BASE)
+    zero = ", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.BASE)
+    return f"""
+with found as ({found}),
+per as (select doc_id, {counts}, string_agg({text}) filter (rank < {len(secrets.BASE)}) as base, string_agg({text}) as spans from found group by doc_id)
+select d.doc_id, {zero}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents d left join per on d.doc_id = per.doc_id"""
+
+
+def _op9_sql() -> str:
+    """Every backslash and every control string of a text takes one more character in the output."""
+    size = lambda x: f"(length({x}) + length({x}) - length(replace({x}, chr(92), '')) + " + " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in chat.CONTROL) + ")"
+    block = len(chat.OPEN + chat.BODY + chat.STOP + chat.CLOSE)
+    return f"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+marked as (select *, coalesce(lag(role) over (partition by conv_id order by turn nulls first, role, text) = role, false) as goes_on from turns)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum({size("text")} + case when goes_on then {len(chat.NEXT)} else {block} + {size("role")} end)::bigint as formatted_chars
+from marked group by conv_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scans": _op1_sql(), "op9_chat_formatting": _op9_sql()}

@@ -82,7 +82,7 @@ def solver(path: str | None) -> tuple[Callable[[str], int], dict[str, int]]:
     return counter(vocabulary(path)), {}
 
 
-def token_counts(docs: DataFrame, path: str | None = None, most: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, most: int = 600_000) -> DataFrame:
     """doc_id, n_chars, n_words, n_tokens of every document; `most` bounds the words that a worker remembers."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,14 +91,11 @@ def token_counts(docs: DataFrame, path: str | None = None, most: int = 400_000)
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = words(text)
-                try:
-                    total = sum(map(known.__getitem__, parts))
-                except KeyError:
-                    if len(known) > most:
-                        known.clear()
-                    for w in parts:
-                        if w not in known:
-                            known[w] = count(w)
+                new = {w: count(w) for w in set(parts).difference(known)}
+                if len(known) > most:  # full: what is new is not remembered
+                    total = sum(new[w] if w in new else known[w] for w in parts)
+                else:
+                    known.update(new)
                     total = sum(map(known.__getitem__, parts))
                 rows.append((doc, len(text), len(parts), total))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4, names=["doc_id", "n_chars", "n_words", "n_tokens"])
