@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, media, packing, secrets, token_counts
+from . import chat, language, media, packing, secrets, simhash, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op4_media_columns": op4_media_columns,
+    "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
