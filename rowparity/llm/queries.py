@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, lm, media, packing, secrets, simhash, token_counts
+from . import chat, decontam, language, lm, media, packing, passages, secrets, simhash, token_counts
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(language.training_rows(docs)))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_passages": op7_passages,
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
