@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,8 @@ from .common import components, saved
 
 SEED = 42
 SUBTREE = 1 << 17  # fingerprints a task may hold of one subtree, twice
-LEAF = 512  # node pairs with at most so many combinations are compared directly
-FRONTIER = 1 << 20  # node pairs that are expanded at a time
+LEAF = 256  # node pairs with at most so many combinations are compared directly
+FRONTIER = 1 << 17  # node pairs that are expanded at a time
 BIT_COUNT = np.array([[(b >> (7 - k)) & 1 for k in range(8)] for b in range(256)], dtype=np.int64)
 
 
@@ -126,8 +125,8 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, radius: int, bits: int = 64)
         if bit < 0:
             small[:] = True
         leaves = pairs[:, small]
-        for at in range(0, leaves.shape[1], FRONTIER // 256):
-            yield compare(a, b, leaves[:, at : at + FRONTIER // 256], radius, same)
+        for at in range(0, leaves.shape[1], FRONTIER // 128):
+            yield compare(a, b, leaves[:, at : at + FRONTIER // 128], radius, same)
         pairs = pairs[:, ~small]
         if not pairs.shape[1]:
             continue
@@ -167,9 +166,10 @@ class Groups:
                     x, y = y, x
                 self.parent[y] = x
 
-    def rows(self) -> pd.DataFrame:
+    def rows(self) -> pa.Table:
         at = np.flatnonzero(self.links)
-        return pd.DataFrame({"u": self.nodes[at], "v": self.nodes[[self.root(i) for i in at]] if len(at) else self.nodes[at], "links": self.links[at]})
+        roots = np.array([self.root(i) for i in at], dtype=np.int64)
+        return pa.table({"u": self.nodes[at], "v": self.nodes[roots], "links": self.links[at]})
 
 
 @dataclass(frozen=True)
@@ -210,29 +210,26 @@ def layout(nodes: DataFrame, subtree: int = SUBTREE, least: int = 6, bits: int =
 
 def links(nodes: DataFrame, radius: int, how: Layout, bits: int = 64) -> DataFrame:
     """nodes(fp, node) -> (u, v, links): for every node with links in a subtree pair, an edge to its group's least node."""
-    top = F.shiftrightunsigned(permuted(how.order), bits - how.prefix) if how.prefix else F.lit(0).cast("long")
-    dealt = (
-        nodes.select("node", permuted(how.order).alias("p"), top.alias("own"))
-        .withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in how.masks(radius)])))
-        .select("node", "p", "own", F.least("own", F.col("own").bitwiseXOR(F.col("mask"))).alias("a"), "mask")
-    )
-
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(p=rows["p"].to_numpy().view(np.uint64)).sort_values("p")
-        first = (rows["own"] == rows["a"]).to_numpy()
-        nodes, values = rows["node"].to_numpy(), rows["p"].to_numpy()
-        if rows["mask"].iat[0] == 0:
-            groups = Groups(nodes)
+    moved, drop = permuted(how.order), bits - how.prefix
+    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in how.masks(radius)]))
+    own = F.shiftrightunsigned("p", drop) if how.prefix else F.lit(0).cast("long")
+    dealt = nodes.select("node", moved.alias("p"), masks.alias("mask")).withColumn("a", F.least(own, own.bitwiseXOR(F.col("mask"))))
+
+    def task(rows: pa.Table) -> pa.Table:
+        order = np.argsort(values := rows["p"].to_numpy().view(np.uint64))
+        nodes, values = rows["node"].to_numpy()[order], values[order]
+        groups, mask, first = Groups(nodes), rows["mask"][0].as_py(), np.uint64(rows["a"][0].as_py())
+        if mask == 0:
             for i, j in trie_join(values, None, radius, bits):
                 groups.add(i, j)
-        else:
-            a, b = np.flatnonzero(first), np.flatnonzero(~first)
-            groups = Groups(nodes)
+        else:  # the two subtrees are ranges of the sorted values
+            side = values >> np.uint64(drop) == first
+            a, b = np.flatnonzero(side), np.flatnonzero(~side)
             for i, j in trie_join(values[a], values[b], radius, bits):
                 groups.add(a[i], b[j])
         return groups.rows()
 
-    return dealt.groupBy("a", "mask").applyInPandas(task, "u long, v long, links long")
+    return dealt.groupBy("a", "mask").applyInArrow(task, "u long, v long, links long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
