@@ -147,3 +147,15 @@ def identify(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, ambig
 
 def training_rows(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
     return docs.where(~held_out("doc_id", folds, fold))
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.55) -> DataFrame:
+    """The rows of docs, with all columns, whose language is determined with at least this score."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in got], pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)

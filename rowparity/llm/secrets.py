@@ -80,17 +80,6 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(_test(text, rule), listed).otherwise(F.array().cast(SPANS))
 
 
-def redact(df: DataFrame, column: str = "text", rules: Sequence[Rule] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """df with every kept match in the column replaced by the mark, one rule after the other."""
-    for rule in rules:  # a column each, as nested expressions would repeat their input
-        value = F.col(column)
-        gaps, matches, holds = _found(value, rule)
-        put = F.zip_with(matches, holds, lambda m, ok: F.when(ok, F.lit(mark)).otherwise(m))
-        joined = F.array_join(F.zip_with(gaps, put, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-        df = df.withColumn(column, F.when(_test(value, rule), joined).otherwise(value))
-    return df
-
-
 def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """versions(path, text) -> (new findings by blob, the ledger's new rows).
 
@@ -136,3 +125,24 @@ def digest(found: DataFrame, base: Sequence[Rule] = BASE) -> DataFrame:
     of = lambda kind: F.filter("spans", lambda s: s.kind == kind)
     counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in base]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(text(only), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """docs with the mark in place of every finding in text (overlapping ones as one), and n_chars, if there, counted again."""
+    blob = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    # names that no column of docs has
+    key, found = "__blob", "__spans"
+    joined = docs.withColumn(key, blob).join(findings.select(F.col("blob").alias(key), F.col("spans").alias(found)), key, "left")
+
+    def walk(acc: Column, s: Column) -> Column:
+        new = s.start >= acc.at
+        kept = F.when(new, F.concat(F.substr("text", acc.at + 1, s.start - acc.at), F.lit(mark))).otherwise("")
+        return F.struct(F.concat(acc.out, kept).alias("out"), F.greatest(acc.at, s.end).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    text = F.aggregate(found, start, walk, lambda acc: F.concat(acc.out, F.substr("text", acc.at + 1, F.length("text") - acc.at)))
+    put = {"text": F.when(F.col(found).isNull(), F.col("text")).otherwise(text)}
+    done = joined.withColumns(put)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return done.select(*docs.columns)
