@@ -15,8 +15,8 @@ first; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,7 +61,7 @@ def codewords(n: int) -> np.ndarray:
         return np.array(cols, dtype=np.float64).T
     cols, seed = [], 0
     while len(cols) < math.ceil(15 * math.log2(n)):
-        bits = np.array([1 if zlib.crc32(f"{seed}:{c}".encode()) & 0x10000 else -1 for c in range(n)], dtype=np.float64)
+        bits = np.array([1 if hashlib.sha256(f"{seed}:{c}".encode()).digest()[0] & 1 else -1 for c in range(n)], dtype=np.float64)
         seed += 1
         if abs(bits.sum()) <= 0.6 * n and len({*bits}) == 2:
             cols.append(bits)

@@ -34,6 +34,7 @@ HELD_OUT, KEPT, DELETED = 0, 1, 2
 END, BEGIN = b"\n", b"\n\n"  # no word holds white space
 BLOCK_BYTES = 16 << 20
 BUCKETS = 40
+LEAST_WEIGHT = 1e-6  # so that what the deleted documents never showed keeps a probability
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BLOCKS = "block long, deleted boolean, doc_ids array<long>, roles binary, lengths binary, tokens binary, vocabulary binary"
 
@@ -162,7 +163,8 @@ class Block:
 
 def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard, a range of the hashes, begins in the sorted keys."""
-    return np.searchsorted(keys, np.arange(shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)).tolist() + [len(keys)]
+    first = np.array([(s << 64) // shards for s in range(shards)], dtype=np.uint64)
+    return np.searchsorted(keys, first).tolist() + [len(keys)]
 
 
 QUESTIONS = "block long, shard int, ord int, keys binary, kept binary, deleted binary"
@@ -279,7 +281,8 @@ def learn(observed: DataFrame, order: int, rounds: int = 25, tolerance: float =
         weights = np.where(total > 0, sums / np.where(total > 0, total, 1), sums[BUCKETS] / sums[BUCKETS].sum())
         if np.abs(weights - now)[total[:, 0] > 0].max() < tolerance:
             break
-    return np.maximum(weights, 1e-9)[:BUCKETS] / np.maximum(weights, 1e-9)[:BUCKETS].sum(axis=1, keepdims=True)
+    weights = np.maximum(weights[:BUCKETS], LEAST_WEIGHT)
+    return weights / weights.sum(axis=1, keepdims=True)
 
 
 def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK_BYTES, shards: int | None = None) -> DataFrame:
@@ -295,7 +298,7 @@ def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK_BYTES, shard
     totals, kept = Totals(sums["types"], sums["total"], n["train"]), Totals(sums["kept_types"], sums["kept_total"], n["kept"])
     deleted = made.where("deleted")
     observed = saved(events(deleted, told.join(deleted.select("block"), "block", "left_semi"), kept, order))
-    weights = learn(observed, order)
+    weights = learn(observed, order) if totals.tokens else np.eye(1, order + 1).repeat(BUCKETS, axis=0)
     smooth = np.log10(totals.tokens + 0.5 * (totals.types + 1))
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:

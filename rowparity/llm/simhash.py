@@ -58,9 +58,9 @@ def hashes(features: list[bytes]) -> np.ndarray:
 
 def majority(h: np.ndarray) -> bytes:
     """Big-endian bits that are set in over half of the rows of h (uint64, n x lanes)."""
-    h = h.reshape(len(h), -1)
     if not len(h):
-        return bytes(8 * h.shape[1])
+        return bytes(8 * (h.shape[1] if h.ndim > 1 else 1))
+    h = h.reshape(len(h), -1)
     columns = h.astype(">u8").view(np.uint8).reshape(len(h), -1).astype(np.int32)
     columns += 256 * np.arange(columns.shape[1], dtype=np.int32)
     seen = np.bincount(columns.ravel(), minlength=256 * columns.shape[1]).reshape(-1, 256)
