@@ -35,7 +35,10 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (start, length in code points of each block of assistant texts in formatted)."""
+    """conv_id, formatted, loss_spans: the loss mask, a (block, start, length) for each block of assistant texts.
+
+    Blocks are what stands between two block ends, counted from 0; start and length are code points within the block.
+    """
     one = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sorted_turns = turns.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     index = F.sequence(F.lit(0), F.size("turns") - 1)
@@ -50,21 +53,18 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     blocks = starts.select("conv_id", F.transform("first", block).alias("blocks"))
     head = lambda b: F.concat(F.lit(OPEN), escape(b.role), F.lit(BODY))
     whole = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), b.body, F.lit(STOP + CLOSE))), "")
-    sizes = F.transform("blocks", lambda b: F.struct((b.role == LOSS_ROLE).alias("loss"), F.length(head(b)).cast("long").alias("head"), F.length(b.body).cast("long").alias("body")))
-    kind = "array<struct<start:long,length:long>>"
+    spans = F.transform("blocks", lambda b, i: F.struct(i.alias("block"), F.length(head(b)).alias("start"), F.length(b.body).alias("length"), (b.role == LOSS_ROLE).alias("loss")))
+    masks = F.transform(F.filter(spans, lambda s: s.loss), lambda s: F.struct(s.block.alias("block"), s.start.alias("start"), s.length.alias("length")))
+    return blocks.select("conv_id", whole.alias("formatted"), masks.alias("loss_spans"))
 
-    def walk(acc: Column, b: Column) -> Column:
-        span = F.struct((acc.at + b.head).alias("start"), b.body.alias("length"))
-        after = (acc.at + b.head + b.body + len(STOP + CLOSE)).alias("at")
-        return F.struct(after, F.when(b.loss, F.concat(acc.out, F.array(span))).otherwise(acc.out).alias("out"))
 
-    masks = F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")), walk, lambda acc: acc.out)
-    return blocks.select("conv_id", whole.alias("formatted"), masks.alias("loss_spans"))
+def blocks_of(formatted: Column) -> Column:
+    return F.split(formatted, r"\Q" + CLOSE + r"\E", -1)
 
 
-def read_back(formatted: Column) -> Column:
-    """The turns in the formatted string: array of (role, text, loss)."""
-    blocks = F.filter(F.split(formatted, r"\Q" + CLOSE + r"\E", -1), lambda b: b != "")
+def read_back(blocks: Column) -> Column:
+    """The turns in the formatted string's blocks: array of (role, text, loss)."""
+    blocks = F.filter(blocks, lambda b: b != "")
     kind = "array<struct<role:string,text:string,loss:boolean>>"
 
     def turns_of(b: Column) -> Column:
@@ -75,16 +75,18 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns_of)).cast(kind)
 
 
-def masked_text(formatted: Column, spans: Column) -> Column:
+def masked_text(blocks: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
-    cut = F.transform(spans, lambda s: F.substr(formatted, (s.start + 1).cast("int"), s.length.cast("int")))
+    cut = F.transform(spans, lambda s: F.substr(F.get(blocks, s.block), s.start + 1, s.length))
     texts = F.flatten(F.transform(cut, lambda body: F.split(body, r"\Q" + NEXT + r"\E", -1)))
     return F.array_join(F.transform(texts, unescape), "")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What can be read back from the output of format_conversations()."""
-    back = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    # blocks is a column of its own, for an expression would be evaluated again for each span
+    parts = formatted.select("conv_id", "formatted", "loss_spans", blocks_of(F.col("formatted")).alias("blocks"))
+    back = parts.select("conv_id", "formatted", read_back(F.col("blocks")).alias("turns"), masked_text(F.col("blocks"), F.col("loss_spans")).alias("loss"))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
