@@ -16,11 +16,19 @@ from .tolerance import Tolerance
 
 @dataclass(frozen=True)
 class Settings:
-    """What a comparison's expressions depend on beside the columns."""
+    """What a comparison's expressions depend on beside the columns.
+
+    overflow: what a difference of whole numbers beyond their type gives, an "error" or "null".
+    """
 
     tolerance: Tolerance = Tolerance()
     sketch_absolute: float = 0.0
     sketch_relative: float = 0.05
+    overflow: str = "error"
+
+    def __post_init__(self) -> None:
+        if self.overflow not in ("error", "null"):
+            raise ValueError("overflow must be error or null")
 
 
 class Kind:
@@ -53,12 +61,12 @@ class Kind:
 class Numeric(Kind):
     """Delta, its size, and its share of b."""
 
-    def difference(self, a: Column, b: Column) -> tuple[Column, Column]:
+    def difference(self, a: Column, b: Column, how: Settings) -> tuple[Column, Column]:
         """(a - b, what it is a share of)"""
-        return a - b, b
+        return (F.try_subtract(a, b) if how.overflow == "null" else a - b), b
 
     def deltas(self, a, b, how, struct=False):
-        delta, base = self.difference(a, b)
+        delta, base = self.difference(a, b, how)
         return {"delta": delta, "abs_delta": F.abs(delta), "rel_delta": F.try_divide(delta.cast("double"), base.cast("double"))}
 
     def stats(self, d, differs):
@@ -84,7 +92,7 @@ class Float(Numeric):
 class Boolean(Numeric):
     name, short = "BOOLEAN", "BOOL"
 
-    def difference(self, a, b):
+    def difference(self, a, b, how):
         return a.cast("bigint") - b.cast("bigint"), b.cast("bigint")
 
 
@@ -93,7 +101,7 @@ class Timestamp(Numeric):
 
     name, short = "TIMESTAMP", "TS"
 
-    def difference(self, a, b):
+    def difference(self, a, b, how):
         a, b = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
         return F.timestamp_diff("MICROSECOND", b, a), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), b)
 
@@ -103,7 +111,7 @@ class Date(Numeric):
 
     name, short = "DATE", "DATE"
 
-    def difference(self, a, b):
+    def difference(self, a, b, how):
         return F.datediff(a, b), F.unix_date(b)
 
 

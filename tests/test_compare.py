@@ -81,6 +81,17 @@ def test_deltas_of_every_kind(spark):
     assert r["m__delta"] is None and r["s__match"] is False
 
 
+def test_overflow(spark):
+    a, b = [(1, 2**63 - 1)], [(1, -1)]
+    c = compare(spark, "id long, x long", a, b)
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        c.diff().collect()
+    c.settings = Settings(overflow="null")
+    assert c.diff().first()["x__delta"] is None and c.summary().columns[0].diff_count == 1
+    with pytest.raises(ValueError):
+        Settings(overflow="wrap")
+
+
 def test_numeric_stats_include_rows_where_the_column_is_equal(spark):
     s = compare(spark, "id long, x int, y int", [(1, 1, 1), (2, 5, 1)], [(1, 1, 2), (2, 3, 1)]).summary()
     x = next(c for c in s.columns if c.name == "x")
