@@ -67,22 +67,19 @@ def majority(h: np.ndarray) -> bytes:
     return np.packbits((2 * (seen @ BIT_COUNT) > len(h)).ravel()).tobytes()
 
 
-class WordHashes:
-    """64-bit hashes of a text's words; a bounded number of words is remembered."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words."""
+    import xxhash
 
-    def __init__(self, most: int = 600_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+    tokens = words(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
 
-    def of(self, text: str | None) -> np.ndarray:
-        import xxhash
 
-        tokens = words(text)
-        if len(self.known) > self.most:
-            self.known.clear()
-        for t in set(tokens).difference(self.known):
-            self.known[t] = xxhash.xxh64_intdigest(t)
-        return np.fromiter(map(self.known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def lanes(h: np.ndarray, n: int) -> np.ndarray:
@@ -98,7 +95,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every document."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             fps = [int.from_bytes(majority(hashes(shingles(words(t), width))), "big", signed=True) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -272,11 +269,10 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, keys, wide: eight 32-bit fingerprints of the set of words, and one of 256 bits of the set of shingles."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
-        for batch in batches:
+        for batch in in_parts(batches):
             keys, wide = [], []
             for text in batch.column(1).to_pylist():
-                h = hashed.of(text)
+                h = word_hashes(text)
                 mers = h[: max(1, len(h) - width + 1)].copy() if len(h) else h
                 with np.errstate(over="ignore"):
                     for k in range(1, min(width, len(h))):
