@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .simhash import words
+from .simhash import in_parts, words
 
 HELD_OUT, KEPT, DELETED = 0, 1, 2
 END, BEGIN = b"\n", b"\n\n"  # no word holds white space
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKETS = 40
 LEAST_WEIGHT = 1e-6  # so that what the deleted documents never showed keeps a probability
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -114,7 +114,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             made += 1
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(part.row(first + made), kinds)], names=names)
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for doc, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 part = parts[role == DELETED]
                 part.add(doc, role, text)
