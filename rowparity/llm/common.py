@@ -23,9 +23,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
+    return saved_at(df)[0]
+
+
+def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """saved(), and the table's path."""
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a saved table that nothing will read again, through Spark's own file system for the path."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -52,13 +64,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # order-free digest of the edge set
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)).first())
 
-    pairs = saved(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    pairs, path = saved_at(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = size(pairs)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        pairs = saved(step(step(pairs, True), False))
+        old = path
+        pairs, path = saved_at(step(step(pairs, True), False))
         after = size(pairs)
+        dropped(spark, old)
         if after == before:
             break
         before = after
