@@ -7,7 +7,8 @@ pairs are finished by comparing their values directly.
 
 Spark spreads the traversal: fingerprints are dealt out by pairs of subtrees below a prefix of a few bits, again only
 pairs within the budget, so a fingerprint is sent once for each of its subtree pairs. The prefix grows with the number
-of fingerprints until a subtree fits into a task; the bits are ordered so that the most even ones come first. A task
+of fingerprints until a subtree fits into a task; the bits are ordered so that the most even ones come first. Subtrees
+that are still too large are cut into chunks, and every pair of chunks is a task of its own. A task
 reports for each of its fingerprints one edge to the least member of its group there (a spanning forest, not all pairs)
 and its number of links.
 
@@ -194,8 +195,37 @@ class Layout:
     order: tuple[int, ...]
     prefix: int
 
-    def masks(self, radius: int) -> list[int]:
-        return [m for m in range(1 << self.prefix) if m.bit_count() <= radius]
+
+def deal(rows: DataFrame, by: list[str], prefix: int, radius: int, bits: int, subtree: int) -> DataFrame:
+    """rows(node, p, by) with what their task is known by (by, a, mask, i, j) and their side in it (first).
+
+    A task has two subtrees, a and a xor mask, or with mask 0 one with itself. A subtree of more than `subtree` rows is
+    cut into chunks; a task then has chunk i of the one and chunk j of the other.
+    """
+    own = F.shiftrightunsigned("p", bits - prefix) if prefix else F.lit(0).cast("long")
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << prefix) if m.bit_count() <= radius])
+    placed = rows.withColumn("own", own)
+    large = placed.groupBy(*by, "own").count().where(F.col("count") > subtree).select(*by, "own", F.ceil(F.col("count") / subtree).cast("long").alias("n"))
+    dealt = placed.withColumn("mask", F.explode(masks)).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
+    if large.isEmpty():
+        dealt = dealt.withColumns({"chunk": F.lit(0).cast("long"), "facing": F.lit(0).cast("long")})
+    else:
+        large = saved(large)
+        mine, theirs = large.withColumnRenamed("n", "n_own"), large.select(*by, F.col("own").alias("other"), F.col("n").alias("n_other"))
+        dealt = dealt.join(mine, [*by, "own"], "left").join(theirs, [*by, "other"], "left")
+        one = F.lit(1).cast("long")
+        dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("n_own", one))).withColumn("facing", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n_other", one) - 1)))
+    same, low = F.col("mask") == 0, F.col("own") < F.col("other")
+    first = F.when(same, F.col("chunk") <= F.col("facing")).otherwise(low)
+    ends = {"a": F.least("own", "other"), "first": first, "i": F.when(first, F.col("chunk")).otherwise(F.col("facing")), "j": F.when(first, F.col("facing")).otherwise(F.col("chunk"))}
+    return dealt.withColumns(ends).drop("own", "other", "chunk", "facing", "n_own", "n_other")
+
+
+TASK = ["a", "mask", "i", "j"]
+
+
+def with_itself(rows: pa.Table) -> bool:
+    return rows["mask"][0].as_py() == 0 and rows["i"][0] == rows["j"][0]
 
 
 def permuted(order: tuple[int, ...]) -> F.Column:
@@ -223,28 +253,25 @@ def layout(nodes: DataFrame, subtree: int = SUBTREE, least: int = 6, bits: int =
     return Layout(order, prefix)
 
 
-def links(nodes: DataFrame, radius: int, how: Layout, bits: int = 64) -> DataFrame:
-    """nodes(fp, node) -> (u, v, links): for every node with links in a subtree pair, an edge to its group's least node."""
-    moved, drop = permuted(how.order), bits - how.prefix
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in how.masks(radius)]))
-    own = F.shiftrightunsigned("p", drop) if how.prefix else F.lit(0).cast("long")
-    dealt = nodes.select("node", moved.alias("p"), masks.alias("mask")).withColumn("a", F.least(own, own.bitwiseXOR(F.col("mask"))))
+def links(nodes: DataFrame, radius: int, how: Layout, bits: int = 64, subtree: int = SUBTREE) -> DataFrame:
+    """nodes(fp, node) -> (u, v, links): for every node with links in a task, an edge to its group's least node."""
+    dealt = deal(nodes.select("node", permuted(how.order).alias("p")), [], how.prefix, radius, bits, subtree)
 
     def task(rows: pa.Table) -> pa.Table:
         order = np.argsort(values := rows["p"].to_numpy().view(np.uint64))
         nodes, values = rows["node"].to_numpy()[order], values[order]
-        groups, mask, first = Groups(nodes), rows["mask"][0].as_py(), np.uint64(rows["a"][0].as_py())
-        if mask == 0:
+        groups = Groups(nodes)
+        if with_itself(rows):
             for i, j in trie_join(values, None, radius, bits):
                 groups.add(i, j)
-        else:  # the two subtrees are ranges of the sorted values
-            side = values >> np.uint64(drop) == first
+        else:
+            side = rows["first"].to_numpy(zero_copy_only=False)[order]
             a, b = np.flatnonzero(side), np.flatnonzero(~side)
             for i, j in trie_join(values[a], values[b], radius, bits):
                 groups.add(a[i], b[j])
         return groups.rows()
 
-    return dealt.groupBy("a", "mask").applyInArrow(task, "u long, v long, links long")
+    return dealt.groupBy(*TASK).applyInArrow(task, "u long, v long, links long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
@@ -288,31 +315,27 @@ def grouped(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, radi
     """A spanning forest of the pairs whose keys are within the radius and wide fingerprints within the limit.
 
     Breadth first: a row is compared only with rows that have no group yet, so a large group costs about one comparison
-    a row. values are sorted; sides (of two subtrees) restrict links to rows of different sides.
+    a row. Rows are sorted by value; with sides, by side and value, and only rows of different sides are linked.
     """
-    if sides is None:
-        keys, first = np.unique(values, return_index=True)
-        pairs = [p for p in trie_join(keys, None, radius, bits)]
-    else:
-        keys, first = np.unique(values, return_index=True)  # the subtrees are disjoint, so a key has one side
-        a, b = np.flatnonzero(~sides[first]), np.flatnonzero(sides[first])
-        pairs = [(a[i], b[j]) for i, j in trie_join(keys[a], keys[b], radius, bits)]
+    n_first = len(values) if sides is None else int((~sides).sum())
+    parts = [np.unique(v, return_index=True) for v in ((values,) if sides is None else (values[:n_first], values[n_first:]))]
+    first = np.concatenate([at + shift for (_, at), shift in zip(parts, (0, n_first))])  # where each key's rows begin
+    ends = np.append(first[1:], len(values))
     near: dict[int, list[int]] = {}
-    for i, j in pairs:
-        for x, y in zip(i.tolist(), j.tolist()):
+    shift = 0 if sides is None else len(parts[0][0])
+    for i, j in trie_join(parts[0][0], None if sides is None else parts[1][0], radius, bits):
+        for x, y in zip(i.tolist(), (j + shift).tolist()):
             near.setdefault(x, []).append(y)
             near.setdefault(y, []).append(x)
-    ends = np.append(first[1:], len(values))
     if sides is None:
         for k in np.flatnonzero(ends - first > 1).tolist():
             near.setdefault(k, []).append(k)
     free = {k: np.arange(first[k], ends[k]) for k in near}
-    of = np.repeat(np.arange(len(keys)), ends - first)
+    of = np.repeat(np.arange(len(first)), ends - first)
     for start in sorted(near):
         while len(free[start]):
-            row = int(free[start][0])
+            queue = [int(free[start][0])]
             free[start] = free[start][1:]
-            queue = [row]
             while queue:
                 x = queue.pop()
                 for k in near[int(of[x])]:
@@ -336,24 +359,22 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 2, limit: int = 50, s
     n, prefix = nodes.count(), 0
     while n > subtree << prefix:
         prefix += 1
-    drop = 32 - prefix
     table = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
-    keyed = nodes.select("node", "wide", table.alias("t"), "keys").withColumn("p", F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long"))
-    own = F.shiftrightunsigned("p", drop)
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in Layout((), prefix).masks(radius)]))
-    dealt = keyed.select("t", "node", "wide", "p", masks.alias("mask")).withColumn("a", F.least(own, own.bitwiseXOR(F.col("mask"))))
+    keyed = nodes.select("node", "wide", table.alias("t"), "keys")
+    keyed = keyed.select("node", "wide", "t", F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p"))
+    dealt = deal(keyed, ["t"], prefix, radius, 32, subtree)
 
     def task(rows: pa.Table) -> pa.Table:
-        values = rows["p"].to_numpy()
-        order = np.argsort(values, kind="stable")
-        values, nodes = values[order].astype(np.uint64), rows["node"].to_numpy()[order]
+        values, side = rows["p"].to_numpy().astype(np.uint64), ~rows["first"].to_numpy(zero_copy_only=False)
+        sides = None if with_itself(rows) else side
+        order = np.argsort(values, kind="stable") if sides is None else np.lexsort((values, side))
         wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE)[order]
-        sides = None if rows["mask"][0].as_py() == 0 else values >> np.uint64(drop) != np.uint64(rows["a"][0].as_py())
-        links = list(grouped(values, sides, wide, radius, limit, 32))
+        links = list(grouped(values[order], None if sides is None else side[order], wide, radius, limit, 32))
         x, y = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        nodes = rows["node"].to_numpy()[order]
         return pa.table({"u": nodes[x], "v": nodes[y]})
 
-    edges = dealt.groupBy("t", "a", "mask").applyInArrow(task, "u long, v long")
+    edges = dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long")
     joined = components(edges).withColumnRenamed("id", "node")
     classes = nodes.join(joined, "node", "left").select("keys", "wide", F.coalesce("component", "node").alias("component_id"))
     return drawn.join(classes, ["keys", "wide"]).select("doc_id", "component_id")

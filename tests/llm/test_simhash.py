@@ -72,15 +72,16 @@ def test_near_duplicates_match_brute_force(documents, odd_rows):
     assert {g["fingerprint"] for g in got if g["doc_id"] in (1, 2, 3)} == {"0" * 16}
 
 
-def test_a_large_group_over_several_subtrees(spark):
+@pytest.mark.parametrize("cut", [False, True])  # into chunks
+def test_a_large_group_over_several_subtrees(spark, cut):
     r = np.random.default_rng(3)
     center = int(r.integers(0, 1 << 62))
     values = {center} | {center ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)} | set(r.integers(0, 1 << 62, 500).tolist())
     prints = [(i, v) for i, v in enumerate(sorted(values))]
     nodes = spark.createDataFrame([(v, i) for i, v in prints], "fp long, node long")
-    how = simhash.layout(nodes, subtree=40, least=2)
-    assert how.prefix > 2
-    found = simhash.links(nodes, 2, how)
+    how = simhash.layout(nodes, subtree=40, least=2) if not cut else simhash.Layout(tuple(range(64)), 1)
+    assert how.prefix > 2 or cut
+    found = simhash.links(nodes, 2, how, subtree=60 if cut else simhash.SUBTREE)
     component, links = brute_components(prints, 2)
     got = {x["u"]: 0 for x in found.collect()}
     for x in found.collect():
@@ -134,6 +135,7 @@ def test_groups_do_not_depend_on_the_deal(documents):
     rows += [(100 + i, " ".join(prose(r, 100))) for i in range(100)]
     df = documents(rows)
     whole = {x["doc_id"]: x["component_id"] for x in simhash.similar(df).collect()}
+    assert df.count() > 4 * 20  # so that the large group is cut into chunks
     parts = {x["doc_id"]: x["component_id"] for x in simhash.similar(df, subtree=20).collect()}
     assert whole == parts == {i: 0 if i < 80 else i for i, _ in rows}
 
