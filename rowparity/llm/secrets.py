@@ -112,10 +112,15 @@ def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
+def dealt_anew(findings: DataFrame) -> DataFrame:
+    """Findings apart from the aggregate that made them, so that adaptive execution can split a blob that very many paths hold."""
+    return findings.hint("rebalance")
+
+
 def by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:
     """path, blob, spans for every row of versions; no spans where there is no finding."""
     paths = versions.select("path", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob"))
-    return paths.join(findings, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return paths.join(dealt_anew(findings), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def digest(found: DataFrame, base: Sequence[Rule] = BASE) -> DataFrame:
@@ -132,7 +137,7 @@ def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Da
     blob = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     # names that no column of docs has
     key, found = "__blob", "__spans"
-    joined = docs.withColumn(key, blob).join(findings.select(F.col("blob").alias(key), F.col("spans").alias(found)), key, "left")
+    joined = docs.withColumn(key, blob).join(dealt_anew(findings).select(F.col("blob").alias(key), F.col("spans").alias(found)), key, "left")
 
     def walk(acc: Column, s: Column) -> Column:
         new = s.start >= acc.at
