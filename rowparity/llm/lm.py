@@ -36,7 +36,8 @@ BLOCK_BYTES = 8 << 20
 BUCKETS = 40
 LEAST_WEIGHT = 1e-6  # so that what the deleted documents never showed keeps a probability
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-BLOCKS = "block long, deleted boolean, doc_ids array<long>, roles binary, lengths binary, tokens binary, vocabulary binary"
+SHARD_TOKENS = 5 << 19  # of the corpus, for each order and shard: about a million n-grams that blocks ask for
+BLOCKS = "block long, deleted boolean, n_tokens long, doc_ids array<long>, roles binary, lengths binary, tokens binary, vocabulary binary"
 
 
 def roles(folds: int = 5, fold: int = 1, deleted_folds: int = 20, deleted_fold: int = 4) -> F.Column:
@@ -99,10 +100,10 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             tokens = np.concatenate([x for d in self.docs for x in (d, end)])
             vocabulary = np.fromiter(map(xxhash.xxh64_intdigest, self.known), dtype="<u8", count=len(self.known))
             lengths = np.array([len(d) + 1 for d in self.docs], dtype="<i4")
-            return block, self.deleted, self.ids, np.array(self.roles, dtype=np.uint8).tobytes(), lengths.tobytes(), squeeze(tokens), vocabulary.tobytes()
+            return block, self.deleted, len(tokens), self.ids, np.array(self.roles, dtype=np.uint8).tobytes(), lengths.tobytes(), squeeze(tokens), vocabulary.tobytes()
 
     names = [c.split()[0] for c in BLOCKS.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
@@ -288,9 +289,8 @@ def learn(observed: DataFrame, order: int, rounds: int = 25, tolerance: float =
 def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK_BYTES, shards: int | None = None) -> DataFrame:
     """Base and interpolated log10 probabilities of every document."""
     made = saved(blocks(docs, block_bytes))
-    n_blocks = made.count()
-    shards = shards or max(16, 4 * n_blocks)  # a shard holds about a quarter of a block's n-grams from each block that shares it
-    shards = min(shards, 1 << 16)
+    size = made.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    shards = shards or max(16, -(-order * size // SHARD_TOKENS))  # grows with the corpus, so that a shard's counts fit into a task
     told = saved(answers(questions(made, order, shards)))
     sums = told.where("ord = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "kept_types", "total", "kept_total")]).first()
     role = roles()
