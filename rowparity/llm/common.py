@@ -53,7 +53,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        joined = both.join(least.hint("rebalance"), "u")  # apart from its aggregate, so that a hub's edges can be split over tasks
         if large:
             moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
