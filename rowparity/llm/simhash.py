@@ -289,73 +289,95 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 # --- groups of similar texts beyond the radius of one fingerprint
 
 WIDE = 4  # lanes of 64 bits
-TABLES = 2 * WIDE
+TABLES = 8
 
 
-def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, keys, wide: eight 32-bit fingerprints of the set of words, and one of 256 bits of the set of shingles."""
+def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
+    """doc_id, keys, wide: eight 32-bit fingerprints of the set of words, and one of 256 bits of the set of shingles.
+
+    With sets also mers, the sorted hashes of the set of shingles.
+    """
+    names = ["doc_id", "keys", "wide", *(["mers"] if sets else [])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            keys, wide = [], []
+            keys, wide, own = [], [], []
             for text in batch.column(1).to_pylist():
                 h = word_hashes(text)
                 mers = h[: max(1, len(h) - width + 1)].copy() if len(h) else h
                 with np.errstate(over="ignore"):
                     for k in range(1, min(width, len(h))):
                         mers = mers * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mers)]
-                keys.append(majority(lanes(np.unique(h), WIDE)))
-                wide.append(majority(lanes(np.unique(mers), WIDE)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "keys", "wide"])
+                mers = np.unique(mers)
+                keys.append(majority(lanes(np.unique(h), TABLES // 2)))
+                wide.append(majority(lanes(mers, WIDE)))
+                own.append(mers.tobytes() if sets else None)
+            columns = [pa.array(c, pa.binary()) for c in (keys, wide, *([own] if sets else []))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, keys binary, wide binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, keys binary, wide binary" + (", mers binary" if sets else ""))
 
 
-def grouped(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, radius: int, limit: int, bits: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs whose keys are within the radius and wide fingerprints within the limit.
+def candidates(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, radius: int, limit: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs whose keys are within the radius and wide fingerprints within the limit.
 
-    Breadth first: a row is compared only with rows that have no group yet, so a large group costs about one comparison
-    a row. Rows are sorted by value; with sides, by side and value, and only rows of different sides are linked.
+    Rows are sorted by value; with sides, by side and value, and only rows of different sides are paired.
     """
     n_first = len(values) if sides is None else int((~sides).sum())
     parts = [np.unique(v, return_index=True) for v in ((values,) if sides is None else (values[:n_first], values[n_first:]))]
     first = np.concatenate([at + shift for (_, at), shift in zip(parts, (0, n_first))])  # where each key's rows begin
-    ends = np.append(first[1:], len(values))
-    near: dict[int, list[int]] = {}
+    count = np.diff(np.append(first, len(values)))
     shift = 0 if sides is None else len(parts[0][0])
-    for i, j in trie_join(parts[0][0], None if sides is None else parts[1][0], radius, bits):
-        for x, y in zip(i.tolist(), (j + shift).tolist()):
-            near.setdefault(x, []).append(y)
-            near.setdefault(y, []).append(x)
-    if sides is None:
-        for k in np.flatnonzero(ends - first > 1).tolist():
-            near.setdefault(k, []).append(k)
-    free = {k: np.arange(first[k], ends[k]) for k in near}
-    of = np.repeat(np.arange(len(first)), ends - first)
-    for start in sorted(near):
-        while len(free[start]):
-            queue = [int(free[start][0])]
-            free[start] = free[start][1:]
-            while queue:
-                x = queue.pop()
-                for k in near[int(of[x])]:
-                    if len(free[k]):
-                        ok = np.bitwise_count(wide[free[k]] ^ wide[x]).sum(axis=1, dtype=np.int64) <= limit
-                        for y in free[k][ok].tolist():
-                            yield x, y
-                            queue.append(y)
-                        free[k] = free[k][~ok]
-
-
-def similar(docs: DataFrame, width: int = 5, radius: int = 2, limit: int = 50, subtree: int = SUBTREE) -> DataFrame:
-    """doc_id, component_id of the documents with an id: groups of texts whose shingle sets have a similarity of about 0.8 or more.
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in trie_join(parts[0][0], None if sides is None else parts[1][0], radius, bits):
+            yield i, j + shift
+        if sides is None:
+            own = np.flatnonzero(count > 1)
+            yield own, own
+
+    for i, j in pairs():
+        ends = np.cumsum(count[i] * count[j])
+        for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 19):
+            t = np.arange(at, min(at + (1 << 19), int(ends[-1])))
+            of = np.searchsorted(ends, t, side="right")
+            t = t - (ends - count[i] * count[j])[of]
+            x, y = first[i[of]] + t // count[j[of]], first[j[of]] + t % count[j[of]]
+            ok = (i[of] != j[of]) | (x < y)
+            x, y = x[ok], y[ok]
+            ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= limit
+            yield x[ok], y[ok]
+
+
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The edges (u, v) whose texts' sets of shingles have a Jaccard similarity of at least `least`, counted exactly."""
+    linked = saved(edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "node").join(nodes, "node"))
+    ids = linked.select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = saved(sketches(texts, width, True).join(linked, ["doc_id", "keys", "wide"]).groupBy("node").agg(F.min("mers").alias("mers")))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, 64):
+            x, y = ([np.frombuffer(m, dtype=np.uint64) for m in batch.column(c).to_pylist()] for c in (2, 3))
+            both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
+            keep = pa.array([n >= least * (len(p) + len(q) - n) - 1e-9 for n, p, q in zip(both, x, y)], pa.bool_())
+            yield batch.select(["u", "v"]).filter(keep)
+
+    sided = edges.join(sets.select(F.col("node").alias("u"), F.col("mers").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("mers").alias("y")), "v")
+    return sided.select("u", "v", "x", "y").mapInArrow(task, "u long, v long")
+
+
+def similar(docs: DataFrame, width: int = 5, radius: int = 2, limit: int = 50, subtree: int = SUBTREE, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id of the documents with an id: groups of texts whose shingle sets have a similarity of `least` or more.
 
     A pair is a candidate if one of eight 32-bit fingerprints of their words is within the radius (found by the trie
-    join); it is a link if their 256-bit fingerprints of shingles differ in at most `limit` bits. At a Jaccard
-    similarity of 0.8 these differ in 39 bits on average (standard deviation 6), for unrelated texts in 128.
+    join) and their 256-bit fingerprints of shingles differ in at most
+    `limit` bits (39 on average at 0.8, standard deviation 6; 128 for unrelated texts). Candidates are links if their
+    sets of shingles, counted exactly, are that similar; all candidates of a group are counted, so a group of n texts
+    with different fingerprints costs up to n (n - 1) / 2. Texts with equal fingerprints are one.
     """
     drawn = saved(sketches(docs, width).where(F.col("doc_id").isNotNull()))
-    nodes = saved(drawn.groupBy("keys", "wide").agg(F.min("doc_id").alias("node")))
+    nodes = saved(drawn.groupBy("keys", "wide").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.xxhash64("keys", "wide")))
     n, prefix = nodes.count(), 0
     while n > subtree << prefix:
         prefix += 1
@@ -369,14 +391,16 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 2, limit: int = 50, s
         sides = None if with_itself(rows) else side
         order = np.argsort(values, kind="stable") if sides is None else np.lexsort((values, side))
         wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE)[order]
-        links = list(grouped(values[order], None if sides is None else side[order], wide, radius, limit, 32))
-        x, y = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        found = list(candidates(values[order], None if sides is None else side[order], wide, radius, limit, 32))
+        x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found) if found else ((), ())))
         nodes = rows["node"].to_numpy()[order]
-        return pa.table({"u": nodes[x], "v": nodes[y]})
+        return pa.table({"u": np.minimum(nodes[x], nodes[y]), "v": np.maximum(nodes[x], nodes[y])})
 
-    edges = dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long")
-    joined = components(edges).withColumnRenamed("id", "node")
-    classes = nodes.join(joined, "node", "left").select("keys", "wide", F.coalesce("component", "node").alias("component_id"))
+    edges = saved(dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long").distinct())
+    joined = components(verified(edges, nodes, docs, width, least)).withColumnRenamed("id", "node")
+    placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = placed.join(names, "component").select("keys", "wide", "component_id")
     return drawn.join(classes, ["keys", "wide"]).select("doc_id", "component_id")
 
 

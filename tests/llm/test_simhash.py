@@ -148,3 +148,18 @@ def test_first_of_each_keeps_rows_and_columns(documents, odd_rows):
     # 1, 2 and 3 have no words and are alike; 7 stays with both its rows, 50 goes; rows without an id stay
     assert ids == sorted([1, 4, 5, 6, 7, 7, 8, 9, None, None], key=str)
     assert simhash.first_of_each(df.where("false")).count() == 0 == simhash.near_duplicates(df.where("false")).count()
+
+
+def test_changed_blocks_are_grouped_exactly_from_the_threshold(documents):
+    r, rows, pairs = random.Random(6), [], []
+    own = lambda n: [f"x{r.randrange(10**7)}" for _ in range(n)]
+    for i in range(200):
+        words = own(300)
+        n = r.choice([24, 30, 45, 55])  # replaced: similarities of about 0.84, 0.80, 0.73, 0.68
+        copy = words[:100] + own(n) + words[100 + n :] if i % 2 else words + own(r.choice([60, 70, 100, 130]))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        pairs.append(similarity(rows[-2][1], rows[-1][1]))
+    group = {x["doc_id"]: x["component_id"] for x in simhash.similar(documents(rows)).collect()}
+    near = [i for i, s in enumerate(pairs) if s >= 0.8]
+    assert len(near) > 50
+    assert len(near) < 150 and all(group[2 * i + 1] == 2 * i + 1 for i, s in enumerate(pairs) if s < 0.8)
