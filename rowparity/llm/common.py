@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only where the session names no checkpoint folder and driver and executors are one process, as in tests.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+#: The tables that the open scratch() blocks have written, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or DEFAULT_CHECKPOINT_DIR).rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path for a table of this application in the shared folder."""
+    return f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared checkpoint folder and read it back: cuts the lineage, survives lost executors."""
     return saved_at(df)[0]
@@ -28,11 +39,26 @@ def saved(df: DataFrame) -> DataFrame:
 
 def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
     """saved(), and the table's path."""
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are saved in this block are deleted at its end, but for those that are taken off the list it gives."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            dropped(spark, path)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a saved table that nothing will read again, through Spark's own file system for the path."""
     jvm = spark.sparkContext._jvm
@@ -40,6 +66,19 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(u, v) by alternating large-star and small-star steps.
 

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, language, lm, media, packing, passages, secrets, simhash, token_counts
-from .common import table
+from .common import new_path, table
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule set that grew: the base rules over all documents, then all rules, of which the ledger leaves the added ones to scan."""
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    findings, _ = secrets.scan(versions)
-    return secrets.digest(secrets.by_path(versions, findings))
+    ledger = secrets.Ledger(spark, new_path(spark))
+    for rules in (secrets.BASE, secrets.RULES):
+        found = secrets.scan(versions, rules, ledger.pairs())
+        ledger.add(found)
+    return secrets.digest(secrets.by_path(found.keys, ledger.findings()))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

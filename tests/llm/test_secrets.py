@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -31,52 +33,82 @@ def versions(documents, rows):
 
 def test_spans_match_brute_force(documents, odd_rows):
     rows = odd_rows + [(100 + i, t) for i, t in enumerate(TEXTS)] + [(200, TEXTS[0])]
-    v = versions(documents, rows)
-    found, _ = secrets.scan(v)
-    got = sorted((tuple(r)[:5] for r in secrets.digest(secrets.by_path(v, found)).collect()), key=str)
+    found = secrets.scan(versions(documents, rows))
+    got = sorted((tuple(r)[:5] for r in secrets.digest(secrets.by_path(found.keys, found.findings)).collect()), key=str)
     assert got == sorted(((i, *expected(t)) for i, t in rows), key=str)
 
 
 def test_added_spans_join_the_base_ones(documents):
-    v = versions(documents, [(1, TEXTS[6]), (2, TEXTS[1])])
-    spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.by_path(v, secrets.scan(v)[0])).collect()}
+    found = secrets.scan(versions(documents, [(1, TEXTS[6]), (2, TEXTS[1])]))
+    spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.by_path(found.keys, found.findings)).collect()}
     assert spans[1].startswith("pem:0:31,jwt:32:") and "github:" in spans[2] and "assign:" in spans[2]
 
 
-def test_a_second_scan_reads_only_what_is_new(documents):
+def test_a_second_scan_reads_only_what_is_new(documents, spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
     first = versions(documents, [(1, TEXTS[0]), (2, TEXTS[2]), (3, TEXTS[0])])
-    found, ledger = secrets.scan(first)
-    assert found.count() == 2 and ledger.count() == 2 * len(secrets.RULES)
-    again, more = secrets.scan(first, ledger=ledger)
-    assert again.count() == 0 and more.count() == 0
+    found = secrets.scan(first, ledger=ledger.pairs())
+    assert found.findings.select("blob").distinct().count() == 2 and found.pairs.count() == 2 * len(secrets.RULES)
+    ledger.add(found)
+    again = secrets.scan(first, ledger=ledger.pairs())
+    assert again.findings.count() == 0 and again.pairs.count() == 0
     later = first.union(versions(documents, [(4, TEXTS[5]), (5, TEXTS[0])]))
-    new, more = secrets.scan(later, ledger=ledger)
-    assert new.count() == 1 and more.count() == len(secrets.RULES)
-    assert {r["path"]: len(r["spans"]) for r in secrets.by_path(later, secrets.merged(found, new)).collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 2}  # text 2: an assignment, and its value is a run of hex digits
+    new = secrets.scan(later, ledger=ledger.pairs())
+    assert new.findings.count() == 1 and new.pairs.count() == len(secrets.RULES)
+    ledger.add(new)
+    ledger.add(new)  # as after a job that ended between its two tables
+    got = {r["path"]: len(r["spans"]) for r in secrets.by_path(new.keys, ledger.findings()).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 1, 5: 2}  # text 2: an assignment, and its value is a run of hex digits
 
 
 def test_a_new_version_of_a_rule_scans_that_rule_again(documents):
     v = versions(documents, [(1, TEXTS[0])])
-    found, ledger = secrets.scan(v)
+    old = secrets.scan(v)
     rules = [secrets.Rule("access", r"AKIA[A-Z0-9]+", least=4, version=2), *(r for r in secrets.RULES if r.kind != "access")]
-    new, more = secrets.scan(v, rules, ledger)
-    assert [(r["rule"], r["version"]) for r in more.collect()] == [("access", 2)]
-    assert [s["kind"] for s in new.first()["spans"]] == ["access"]
+    new = secrets.scan(v, rules, old.pairs)
+    assert [(r["rule"], r["version"]) for r in new.pairs.collect()] == [("access", 2)]
+    assert [s["kind"] for s in new.findings.collect()] == ["access"]
+    spans = secrets.by_path(new.keys, old.findings.union(new.findings), rules).first()["spans"]
+    assert [s["kind"] for s in spans].count("access") == 1  # of the version that the rules name
 
 
 def test_redaction(documents):
-    docs = documents([(1, "a password=abcdefghijklmnop b 0123456789abcdef c"), (2, "clean"), (3, None), (4, "token = 0123456789abcdef0123")]).withColumn("n_chars", F.length("text").cast("long"))
-    found, _ = secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"))
-    out = secrets.redacted(docs, found)
+    r = random.Random(3)
+    wide = "".join(r.choice("é漢😀 xyz\n") if r.random() < 0.97 else ' token="0123456789abcdef0123" ' for _ in range(20_000))
+    rows = [(1, "a password=abcdefghijklmnop b 0123456789abcdef c"), (2, "clean"), (3, None), (4, "token = 0123456789abcdef0123"), (5, wide), (6, "x" * 5000 + " " + "a1" * 3000 + " y")]
+    docs = documents(rows).withColumn("n_chars", F.length("text").cast("long")).withColumn("cuts", F.lit(1)).withColumn("parts", F.lit(2))
+    out = secrets.redacted(docs, secrets.scan(docs.select(F.col("doc_id").alias("path"), "text")).findings)
     assert out.columns == docs.columns
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
-    assert got == {1: ("a [SECRET] b [SECRET] c", 23), 2: ("clean", 5), 3: (None, None), 4: ("[SECRET]", 8)}
-
-
-def test_empty_table_and_no_python(documents, spark):
-    v = versions(documents, [(1, "x")]).where("false")
-    found, ledger = secrets.scan(v)
-    assert (found.count(), ledger.count(), secrets.by_path(v, found).count()) == (0, 0, 0)
-    v = versions(documents, [(1, TEXTS[0])])
-    plan = secrets.digest(secrets.by_path(v, secrets.scan(v)[0]))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    masked = re.sub(r'token="0123456789abcdef0123', "[SECRET]", wide)
+    long = "x" * 5000 + " [SECRET] y"
+    assert got == {1: ("a [SECRET] b [SECRET] c", 23), 2: ("clean", 5), 3: (None, None), 4: ("[SECRET]", 8), 5: (masked, len(masked)), 6: (long, len(long))}
+
+
+def test_a_text_with_very_many_findings_takes_linear_time(documents):
+    text = "\n".join(f"{i:040x}  file-{i}.bin" for i in range(100_000))
+    docs = documents([(1, text), (2, "clean")])
+    began = time.time()
+    found = secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    assert found.findings.count() == 100_000
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, found.findings).collect()}
+    assert out == {1: "\n".join(f"[SECRET]  file-{i}.bin" for i in range(100_000)), 2: "clean"}
+    assert time.time() - began < 60
+
+
+def test_empty_table_and_plan(documents, spark):
+    empty = secrets.scan(versions(documents, [(1, "x")]).where("false"))
+    assert (empty.findings.count(), empty.pairs.count(), secrets.by_path(empty.keys, empty.findings).count()) == (0, 0, 0)
+    plans = []
+    mine = secrets.saved
+    try:
+        secrets.saved = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or mine(df)
+        found = secrets.scan(versions(documents, [(1, TEXTS[0]), (2, TEXTS[0])]))
+    finally:
+        secrets.saved = mine
+    plans.append(secrets.digest(secrets.by_path(found.keys, found.findings))._jdf.queryExecution().executedPlan().toString())
+    assert not any(word in plan for plan in plans for word in ("Python", "Arrow", "Pandas"))
+    matching = [line for plan in plans for line in plan.splitlines() if "AKIA" in line]
+    assert len(matching) == 1 and "Generate inline" in matching[0]  # no second pass of the patterns
+    plan = next(p for p in plans if "AKIA" in p)
+    assert plan.index("Generate inline") < plan.index("Join")  # above the choice of one path for each blob
