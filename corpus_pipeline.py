@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowparity.llm import decontam, language, packing, secrets, simhash
-from rowparity.llm.common import saved, table
+from rowparity.llm.common import saved, saved_at, scratch, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"))
-    return secrets.redacted(docs, findings)
+    return secrets.redacted(docs, secrets.scan(docs.select(F.col("doc_id").alias("path"), "text")).findings)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences' pieces, as a table; what the stages wrote on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = saved(docs)
-    return docs
+    with scratch(spark) as made:
+        for _, stage in STAGES[:-1]:
+            docs = saved(stage(spark, docs, sf_dir))
+        pieces, path = saved_at(STAGES[-1][1](spark, docs, sf_dir))
+        made.remove(path)
+    return pieces
