@@ -6,9 +6,8 @@ unseen rules alone, and the findings are joined back to all paths that ever held
 again scans nothing.
 
 One path stands for all that hold a blob. Which one, and which rules it still lacks, is known from hashes and paths
-alone and written down, so that the matching runs above that choice, once a blob. Texts meet only the blobs that are
-not plain (held by several rows, or seen by some rule): in a first scan that is a small table, which Spark may broadcast
-by its size on disk; else texts are shuffled once.
+alone and written down, so that the matching runs above that choice, once a blob. For this, texts are shuffled once a
+scan; they meet only the blobs that are not plain (held by several rows, or seen by some rule).
 
 A rule is a regular expression; matches are leftmost and do not overlap within a kind. Positions come from splitting
 the text at the matches: the lengths of the parts between them and of the matches alternate, and a running sum over
@@ -140,10 +139,11 @@ def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame |
     marked = saved(state.where((F.col("n") > 1) | (F.size("unseen") < len(rules))).select(F.col("blob").alias("of"), "at", "unseen"))
     here = versions.select("path", _text().alias("text")).withColumn("blob", _blob(F.col("text")))
     stands = F.col("of").isNull() | (F.col("path").eqNullSafe(F.col("at")) & (F.size("unseen") > 0))
-    texts = here.join(marked, F.col("blob") == F.col("of"), "left").where(stands)
+    texts = here.join(marked.hint("merge"), F.col("blob") == F.col("of"), "left").where(stands)
     unseen = F.coalesce("unseen", wanted)
     parts = F.flatten(F.array(*[_parts(F.col("text"), r, i, F.array_contains(unseen, r.key)) for i, r in enumerate(rules)]))
-    met = texts.select("blob", F.inline(parts)).dropDuplicates(["blob", "rank", "i"])  # rows of one path and text repeat
+    met = texts.select("blob", F.inline(parts)).repartition("blob", "rank")  # apart from the join, which can split a blob that very many rows hold
+    met = met.dropDuplicates(["blob", "rank", "i"])  # rows of one path and text repeat
     end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("blob", "rank").orderBy("i")).cast("int")
     placed = met.withColumn("end", end).where("ok").withColumn("start", F.col("end") - F.col("n"))
     kinds, version = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
