@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--kll-rel-tol", type=float, default=0.05)
     common.add_argument("--detect-partitions", action="store_true")
     common.add_argument("--coerce-numeric", action="store_true")
+    common.add_argument("--overflow", choices=["error", "null"], default="error")
     common.add_argument("--fail-on-diff", action="store_true")
     shown = argparse.ArgumentParser(add_help=False)
     shown.add_argument("--format", choices=sorted(report.FORMATS), default="verbose")
@@ -68,7 +69,7 @@ def parser() -> argparse.ArgumentParser:
 def comparison(spark: SparkSession, o: argparse.Namespace) -> Comparison:
     return Comparison.of_tables(
         spark, o.table_a, o.table_b, split_names(o.keys) or [], o.tolerance, o.rel_tolerance, o.detect_partitions, o.kll_abs_tol, o.kll_rel_tol, o.partition_filter_a, o.partition_filter_b,
-        sketches=split_names(o.kll_cols) or [], int_sketches=split_names(o.kll_int_cols) or [], geography=split_names(o.geo_cols) or [], coerce_numeric=o.coerce_numeric,
+        sketches=split_names(o.kll_cols) or [], int_sketches=split_names(o.kll_int_cols) or [], geography=split_names(o.geo_cols) or [], coerce_numeric=o.coerce_numeric, overflow=o.overflow,
     )
 
 

@@ -32,7 +32,7 @@ class Settings:
 
 
 class Kind:
-    """A kind without differences: equality alone."""
+    """A kind without differences: equality alone. The short names of the kinds are fixed values of the reports."""
 
     name, short = "OTHER", "?"
 
@@ -75,8 +75,19 @@ class Numeric(Kind):
 
 
 class Integer(Numeric):
+    """Differences in 64 bits, whatever the column's width."""
+
     name, short = "INTEGER", "INT"
 
+    def difference(self, a, b, how):
+        return super().difference(a.cast("bigint"), b.cast("bigint"), how)
+
+    def deltas(self, a, b, how, struct=False):
+        found = super().deltas(a, b, how, struct)
+        delta = found["delta"]
+        minus = F.try_subtract(F.lit(0).cast("bigint"), delta) if how.overflow == "null" else -delta
+        return found | {"abs_delta": F.when(delta < 0, minus).otherwise(delta)}
+
 
 class Float(Numeric):
     name, short = "FLOAT", "FLT"
@@ -97,7 +108,7 @@ class Boolean(Numeric):
 
 
 class Timestamp(Numeric):
-    """Microseconds, and their share of b's microseconds since 1970."""
+    """Microseconds, and their share of b's microseconds since 1970: here of timestamps without a time zone."""
 
     name, short = "TIMESTAMP", "TS"
 
@@ -106,6 +117,13 @@ class Timestamp(Numeric):
         return F.timestamp_diff("MICROSECOND", b, a), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), b)
 
 
+class Instant(Timestamp):
+    """Timestamps with the session's time zone are instants: their differences don't depend on the zone."""
+
+    def difference(self, a, b, how):
+        return F.unix_micros(a) - F.unix_micros(b), F.unix_micros(b)
+
+
 class Date(Numeric):
     """Days, and their share of b's days since 1970."""
 
@@ -188,4 +206,6 @@ class Unsupported(Kind):
 
 
 KINDS: dict[str, Kind] = {k.name: k for k in (Integer(), Float(), String(), Timestamp(), Date(), Boolean(), Geography(), Array(), Sketch("KLL_FLOAT64", "KLLf", "double"), Sketch("KLL_INT64", "KLLi", "bigint"), Unsupported())}
+#: Kinds for one of several types of a kind.
+KINDS["TIMESTAMP timestamp"] = Instant()
 SKETCHES = ("KLL_FLOAT64", "KLL_INT64")

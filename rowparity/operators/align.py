@@ -26,14 +26,22 @@ def leaves(df: DataFrame, columns: Sequence[Column], prefix: str = "") -> DataFr
     return df.select(*[F.col(c.path).alias(prefix + c.alias) for c in columns])
 
 
+def spread(side: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
+    """With a column "<name> spread": 0 where no key is null, else a hash of the row."""
+    none = any_of([F.col(f"{name}__{k.alias}").isNull() for k in keys])
+    return side.withColumn(f"{name} spread", F.when(none, F.xxhash64(*[F.col(f"`{c}`") for c in side.columns])).otherwise(F.lit(0).cast("long")))
+
+
 def align(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column]) -> DataFrame:
     """keys, in_a, in_b, and a__<column>, b__<column> for every value.
 
     Keys match by plain equality, so a null key matches nothing. A row is in a table if its first key there is not null.
+    Rows with a null key only pass through the join; a part of the key made of their values deals them out over all tasks.
     """
     columns = [*keys, *values]
-    left, right = leaves(a, columns, "a__"), leaves(b, columns, "b__")
-    joined = left.join(right, all_of([F.col(f"a__{k.alias}") == F.col(f"b__{k.alias}") for k in keys]), "full_outer")
+    left, right = spread(leaves(a, columns, "a__"), keys, "a"), spread(leaves(b, columns, "b__"), keys, "b")
+    parts = [F.col(f"a__{k.alias}") == F.col(f"b__{k.alias}") for k in keys] + [F.col("a spread") == F.col("b spread")]
+    joined = left.join(right, all_of(parts), "full_outer")
     merged = [F.coalesce(f"a__{k.alias}", f"b__{k.alias}").alias(k.alias) for k in keys]
     first = keys[0].alias
     present = [F.col(f"{side}__{first}").isNotNull().alias(f"in_{side}") for side in "ab"]

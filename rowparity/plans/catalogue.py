@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import Settings
-from ..functions.tolerance import DEFAULT_ABSOLUTE, DEFAULT_RELATIVE, Tolerance
+from ..functions.tolerance import DEFAULT_ABSOLUTE, DEFAULT_RELATIVE, Tolerance, from_options, parse
+from ..operators import breakdown as breakdowns
 from ..operators import rowdiff, summary
 from ..operators.align import Pair, align
 from ..sources.schema import describe, intersect
@@ -94,6 +95,21 @@ ARRAYS = Spec(
 )
 #: The only expressions that differ between the engines.
 ARRAY_WORDS = {"reversed": ("reverse(embedding)", "list_reverse(embedding)"), "shortened": ("slice(embedding, 1, 63)", "embedding[1:63]")}
+SMALL_INTS = Spec(
+    "select o_orderkey, cast(case when o_orderkey % 3 = 0 then 100 else o_orderkey % 50 end as tinyint) as t, cast(case when o_orderkey % 3 = 0 then 30000 else o_orderkey % 50 end as smallint) as s, cast(case when o_orderkey % 3 = 0 then 2000000000 else o_orderkey % 50 end as int) as i from {orders}",
+    "select o_orderkey, cast(case when o_orderkey % 6 = 0 then -100 else o_orderkey % 50 end as tinyint) as t, cast(case when o_orderkey % 6 = 0 then -30000 else o_orderkey % 50 end as smallint) as s, cast(case when o_orderkey % 6 = 0 then -2000000000 else o_orderkey % 50 end as int) as i from {orders}",
+    ["o_orderkey"], {"t": "INTEGER", "s": "INTEGER", "i": "INTEGER"},
+)
+HALF_NULL = Spec(
+    "select case when o_orderkey % 2 = 0 then null else o_orderkey end as k, o_orderdate, o_totalprice from {orders}",
+    "select case when o_orderkey % 4 < 2 then null else o_orderkey end as k, o_orderdate, case when o_orderkey % 5 = 0 then o_totalprice + 2 else o_totalprice end as o_totalprice from {orders}",
+    ["k", "o_orderdate"], {"o_totalprice": "FLOAT"},
+)
+BY_COLUMN = Spec(
+    "select p_partkey, p_retailprice as price, cast(p_size as double) as weight from {part}",
+    "select p_partkey, case when p_partkey % 3 = 0 then p_retailprice - 1.25 when p_partkey % 11 = 0 then p_retailprice + 3 else p_retailprice end as price, cast(case when p_partkey % 5 = 0 then p_size + 3 when p_partkey % 7 = 0 then p_size + 0.25 else p_size end as double) as weight from {part}",
+    ["p_partkey"], {"price": "FLOAT", "weight": "FLOAT"}, 0.5, None, {"price": 2.0}, {"weight": 0.05},
+)
 GEO_A = "select c_custkey, cast(c_custkey % 360 - 180 as double) as lon, cast(c_custkey % 121 - 60 as double) as lat from {customer}"
 GEO_B = "select c_custkey, cast(c_custkey % 360 - 180 as double) + case when c_custkey % 4 = 0 then 0.001 else 0 end as lon, cast(c_custkey % 121 - 60 as double) + case when c_custkey % 6 = 0 then 0.25 else 0 end as lat from {customer}"
 
@@ -106,7 +122,8 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def compared(spark: SparkSession, sf_dir: str, s: Spec) -> Comparison:
-    return Comparison(frame(spark, sf_dir, s.a), frame(spark, sf_dir, s.b), list(s.keys), Settings(Tolerance(s.absolute, s.relative)))
+    how = Settings(Tolerance(s.absolute, s.relative, s.column_absolute, s.column_relative))
+    return Comparison(frame(spark, sf_dir, s.a), frame(spark, sf_dir, s.b), list(s.keys), how)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -183,6 +200,101 @@ def geo_sql() -> str:
     return f"select a.c_custkey, a.lon = b.lon and a.lat = b.lat as same, {far} <= 1000 as near, round({far}, 3) as metres from ({oracle.plain(GEO_A)}) a join ({oracle.plain(GEO_B)}) b using (c_custkey)"
 
 
+def kll_bigint(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Sketches of whole numbers: each pair, or the summary's statistics of them."""
+    sides = [frame(spark, d, sql).groupBy("p_brand").agg(F.call_function("kll_sketch_agg_bigint", F.col("p_size").cast("bigint")).alias("sketch")) for sql in (PART.a, PART.b)]
+    c = Comparison(*sides, keys=["p_brand"], settings=Settings(sketch_absolute=1.0, sketch_relative=0.0), int_sketches=["sketch"])
+    if whole:
+        return rounded(summary.summarize(c.layers()))
+    pair = Pair(c.values[0], c.settings)
+    rows = align(c.a, c.b, c.key_columns, c.values)
+    return rows.select("p_brand", pair.equal.alias("same"), pair.shown[0].alias("median_a"), pair.shown[1].alias("median_b"), pair.deltas["max_abs_value_diff"].alias("largest"))
+
+
+def kll_bigint_sql(whole: bool = False) -> str:
+    side = lambda sql: f"(select p_brand, [{', '.join(f'quantile_disc(p_size::bigint, {p})' for p in oracle.PROBES)}] as q from ({oracle.plain(sql)}) group by p_brand)"
+    ok = " and ".join(f"abs(a.q[{i}] - b.q[{i}]) <= 1" for i in range(1, 6))
+    largest = ", ".join(f"abs(a.q[{i}] - b.q[{i}])" for i in range(1, 6))
+    rows = f"select a.p_brand, {ok} as same, a.q[3] as median_a, b.q[3] as median_b, greatest({largest})::double as largest from {side(PART.a)} a join {side(PART.b)} b using (p_brand)"
+    return rows if not whole else f"select 0::bigint as rows_only_in_a, 0::bigint as rows_only_in_b, count(*) as rows_in_both_diff, count(*) as sketch__diff_count, count(*) as sketch__mismatches, max(largest) as sketch__max_value_diff, round(avg(largest), 6) as sketch__avg_value_diff from ({rows}) where not same"
+
+
+def timestamp_ltz(spark: SparkSession, d: str) -> DataFrame:
+    """Instants around a change of the clocks: their differences are the same in every session zone."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    at = F.lit(1730610000).cast("long") + F.col("event_id") % 10000
+    late = F.when(F.col("event_id") % 9 == 0, 3600).otherwise(0)
+    sides = [events.select("event_id", F.timestamp_seconds(x).alias("t")) for x in (at, at + late)]
+    rows = Comparison(*sides, keys=["event_id"]).diff()
+    return rows.select("event_id", "in_a", "in_b", "t__delta", "t__abs_delta", F.round("t__rel_delta", 12).alias("t__rel_delta"))
+
+
+TIMESTAMP_LTZ_SQL = "select event_id, true as in_a, true as in_b, -3600000000 as t__delta, 3600000000 as t__abs_delta, round(-3600000000::double / ((1730610000 + event_id % 10000 + 3600) * 1000000)::double, 12) as t__rel_delta from events where event_id % 9 = 0"
+
+
+def array_text(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays as a diff shows them: JSON text in the order of the elements' texts."""
+    sides = [frame(spark, d, sql).groupBy("l_orderkey").agg(F.collect_list("x").alias("xs")) for sql in (NUMBERS.a, NUMBERS.b)]
+    return Comparison(*sides, keys=["l_orderkey"]).diff()
+
+
+NUMBERS = Spec("select l_orderkey, cast(l_linenumber * 7 as int) as x from {lineitem}", "select l_orderkey, cast(l_linenumber * 7 as int) as x from {lineitem} where l_orderkey % 5 <> 0 or l_linenumber <> 2", ["l_orderkey"], {})
+NUMBERS_AS_LISTS = Spec(*[f"select l_orderkey, list(x) as xs from ({sql}) group by l_orderkey" for sql in (NUMBERS.a, NUMBERS.b)], ["l_orderkey"], {"xs": "ARRAY"})
+
+
+def array_text_sql() -> str:
+    text = lambda x: f"coalesce('[' || array_to_string(list_sort(list_transform({x}, lambda e: e::varchar)), ',') || ']', '[]')"
+    return f"select l_orderkey, in_a, in_b, {text('a__xs')} as a__xs, {text('b__xs')} as b__xs, len(a__xs) - len(b__xs) as xs__len_delta, not {oracle.equal('ARRAY', 'a__xs', 'b__xs')} as xs__mismatch from {oracle.differing(NUMBERS_AS_LISTS)}"
+
+
+def geo_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Places within and outside a tolerance in metres, as a summary counts them."""
+    sides = [frame(spark, d, sql).select("c_custkey", F.struct("lon", "lat").alias("place")) for sql in (GEO_A, GEO_B)]
+    c = Comparison(*sides, keys=["c_custkey"], settings=Settings(Tolerance(absolute=1000.0)), geography=["place"])
+    return summary.summarize(c.layers()).select("rows_in_both_diff", "rows_in_both_diff_post_tolerance", "place__diff_count", "place__within", "place__outside")
+
+
+def geo_counts_sql() -> str:
+    return f"select count(*) as rows_in_both_diff, count(*) filter (not near) as rows_in_both_diff_post_tolerance, count(*) as place__diff_count, count(*) filter (near) as place__within, count(*) filter (not near) as place__outside from ({geo_sql()}) where not same"
+
+
+def summary_result(spark: SparkSession, d: str) -> DataFrame:
+    """What a summary derives from its counts."""
+    found = compared(spark, d, TOLERANT).summary()
+    return spark.createDataFrame([(found.rows_matched, found.rows_identical, found.rows_different, found.identical, len(found.differing))], "rows_matched long, rows_identical long, rows_different long, identical boolean, differing_columns long")
+
+
+def summary_result_sql() -> str:
+    count = " + ".join(f"({v}__diff_count > 0)::bigint" for v in ORDERS_KINDS)
+    return f"select total_rows_a - rows_only_in_a as rows_matched, total_rows_a - rows_only_in_a - rows_in_both_diff as rows_identical, rows_in_both_diff_post_tolerance as rows_different, rows_only_in_a + rows_only_in_b + rows_in_both_diff_post_tolerance = 0 as identical, {count} as differing_columns from ({oracle.summary(TOLERANT)}) cross join ({oracle.duplicates(TOLERANT)})"
+
+
+def column_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Every column's kind and type, and whether a comparison leaves it out."""
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", "p_retailprice", F.struct("p_size", F.array("p_name").alias("names")).alias("more"), F.array(F.struct("p_size", "p_brand")).alias("pairs"), F.array(F.array("p_size")).alias("grid"), F.create_map("p_brand", "p_size").alias("by_brand"))
+    part = part.select(F.col("p_partkey").cast("bigint"), "p_brand", "p_retailprice", F.col("more").cast("struct<p_size:int,names:array<string>>"), F.col("pairs").cast("array<struct<p_size:int,p_brand:string>>"), F.col("grid").cast("array<array<int>>"), F.col("by_brand").cast("map<string,int>"))
+    c = Comparison(part, part, ["p_partkey"])
+    out = {n for n, _ in c.schema.excluded}
+    return spark.createDataFrame([(x.name, x.kind, x.type, x.name in out) for x in c.schema.columns], "column_name string, kind string, type string, excluded boolean")
+
+
+COLUMN_KINDS_SQL = "select * from (values ('p_partkey', 'INTEGER', 'bigint', false), ('p_brand', 'STRING', 'string', false), ('p_retailprice', 'FLOAT', 'double', false), ('more.p_size', 'INTEGER', 'int', false), ('more.names', 'ARRAY', 'array<string>', false), ('pairs', 'ARRAY', 'array<struct<p_size:int,p_brand:string>>', false), ('grid', 'UNSUPPORTED', 'array<array<int>>', true), ('by_brand', 'UNSUPPORTED', 'map<string,int>', true)) t(column_name, kind, type, excluded)"
+
+
+def tolerance_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options as on the command line, one set merged with another."""
+    sets = {"defaults": from_options(None, None), "off": from_options("0", "1e-6"), "columns": parse("x:0.5,y:2", "1e-6"), "merged": parse("x:0.5,y:2", "1e-6").merged(parse("0.25", "y:1e-3"))}
+    return spark.createDataFrame([(name, c, t.absolute_of(c), t.relative_of(c)) for name, t in sets.items() for c in ("x", "y", "z")], "options string, column_name string, absolute double, relative double")
+
+
+TOLERANCE_SQL = "select options, column_name, absolute::double as absolute, relative::double as relative from (values ('defaults', 'x', 1e-15, 1e-12), ('defaults', 'y', 1e-15, 1e-12), ('defaults', 'z', 1e-15, 1e-12), ('off', 'x', null, 1e-6), ('off', 'y', null, 1e-6), ('off', 'z', null, 1e-6), ('columns', 'x', 0.5, 1e-6), ('columns', 'y', 2, 1e-6), ('columns', 'z', null, 1e-6), ('merged', 'x', 0.5, 1e-6), ('merged', 'y', 2, 1e-3), ('merged', 'z', 0.25, 1e-6)) t(options, column_name, absolute, relative)"
+
+
+def differing_columns_sql(s: Spec) -> str:
+    rows = " union all ".join(f"select '{v}' as column_name, {v}__diff_count as diff_rows from found where {v}__diff_count > 0" for v in s.kinds)
+    return f"with found as ({oracle.summary(s)}) {rows}"
+
+
 def schema_intersection(spark: SparkSession, d: str) -> DataFrame:
     part = spark.read.parquet(f"{d}/part.parquet")
     a, b = part.drop("p_type"), part.drop("p_name").withColumn("p_size", F.col("p_size").cast("string"))
@@ -220,6 +332,9 @@ SUMMARIES: dict[str, tuple[Spec, bool]] = {
     "null_key_rows": (NULL_KEYS, False),
     "array_multiset": (ARRAYS, False),
     "legacy_stats": (TOLERANT, True),
+    "null_key_skew": (HALF_NULL, False),
+    "summary_column_tolerance": (BY_COLUMN, False),
+    "summary_small_ints": (SMALL_INTS, False),
 }
 
 QUERIES: dict[str, Query] = {name: summary_of(*how) for name, how in SUMMARIES.items()} | {
@@ -230,7 +345,23 @@ QUERIES: dict[str, Query] = {name: summary_of(*how) for name, how in SUMMARIES.i
     "diff_count": lambda s, d: compared(s, d, TOLERANT).count(),
     "diff_composite_key": lambda s, d: compared(s, d, TURNS).diff(),
     "diff_first_rows": lambda s, d: compared(s, d, TOLERANT).diff(limit=100).select("o_orderkey", "in_a", "in_b"),
-    "differing_columns": lambda s, d: rowdiff.differing(align(*[frame(s, d, x) for x in (ORDERS_A, ORDERS_B)], compared(s, d, STRICT).key_columns, compared(s, d, STRICT).values), [Pair(v, Settings()) for v in compared(s, d, STRICT).values]).select("o_orderkey", "in_a", "in_b"),
+    "diff_small_ints": lambda s, d: compared(s, d, SMALL_INTS).diff(),
+    "diff_boolean": lambda s, d: compared(s, d, BOOLEAN).diff(),
+    "diff_date": lambda s, d: compared(s, d, DATE).diff(),
+    "diff_column_tolerance": lambda s, d: compared(s, d, BY_COLUMN).diff(),
+    "diff_timestamp_ltz": timestamp_ltz,
+    "diff_array_text": array_text,
+    "diff_only_differing": lambda s, d: compared(s, d, PART).diff_of_differing(),
+    "differing_columns": lambda s, d: compared(s, d, CUSTOMERS).differing_counts(),
+    "differing_orders": lambda s, d: compared(s, d, STRICT).differing_counts(),
+    "breakdown_totals": lambda s, d: breakdowns.totals(compared(s, d, TOLERANT).breakdown("o_orderstatus")),
+    "summary_result": summary_result,
+    "column_kinds": column_kinds,
+    "tolerance_options": tolerance_options,
+    "kll_bigint": kll_bigint,
+    "kll_stats": lambda s, d: kll_bigint(s, d, True),
+    "geo_counts": geo_counts,
+    "differing_keys": lambda s, d: rowdiff.differing(align(*[frame(s, d, x) for x in (ORDERS_A, ORDERS_B)], compared(s, d, STRICT).key_columns, compared(s, d, STRICT).values), [Pair(v, Settings()) for v in compared(s, d, STRICT).values]).select("o_orderkey", "in_a", "in_b"),
     "duplicate_keys": lambda s, d: compared(s, d, LINES).duplicate_check(),
     "null_key_counts": lambda s, d: compared(s, d, NULL_KEYS).duplicate_check(),
     "struct_compare": struct_compare,
@@ -266,7 +397,23 @@ ORACLE_SQL: dict[str, str] = {name: _duck(oracle.summary(s, legacy)) for name, (
     "diff_count": f"select count(*) as diff_rows from {oracle.differing(TOLERANT)}",
     "diff_composite_key": oracle.diff(TURNS),
     "diff_first_rows": f"select o_orderkey, in_a, in_b from {oracle.differing(TOLERANT)} order by o_orderkey limit 100",
-    "differing_columns": f"select o_orderkey, in_a, in_b from {oracle.differing(STRICT)}",
+    "diff_small_ints": oracle.diff(SMALL_INTS),
+    "diff_boolean": oracle.diff(BOOLEAN),
+    "diff_date": oracle.diff(DATE),
+    "diff_column_tolerance": oracle.diff(BY_COLUMN),
+    "diff_timestamp_ltz": TIMESTAMP_LTZ_SQL,
+    "diff_array_text": array_text_sql(),
+    "diff_only_differing": oracle.diff(PART, ["p_size", "p_retailprice"]),
+    "differing_columns": differing_columns_sql(CUSTOMERS),
+    "differing_orders": differing_columns_sql(STRICT),
+    "breakdown_totals": f"select sum(only_in_a)::bigint as only_in_a, sum(only_in_b)::bigint as only_in_b, sum(in_both_diff)::bigint as in_both_diff, sum(total)::bigint as total from ({oracle.breakdown(TOLERANT, 'o_orderstatus')})",
+    "summary_result": summary_result_sql(),
+    "column_kinds": COLUMN_KINDS_SQL,
+    "tolerance_options": TOLERANCE_SQL,
+    "kll_bigint": kll_bigint_sql(),
+    "kll_stats": kll_bigint_sql(True),
+    "geo_counts": geo_counts_sql(),
+    "differing_keys": f"select o_orderkey, in_a, in_b from {oracle.differing(STRICT)}",
     "duplicate_keys": oracle.duplicates(LINES),
     "null_key_counts": oracle.duplicates(NULL_KEYS),
     "struct_compare": oracle.summary(STRUCT),

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.kinds import Settings
 from ..functions.tolerance import Tolerance, from_options
@@ -42,10 +43,25 @@ class Comparison:
     warnings: list[str] = field(default_factory=list)
 
     @classmethod
-    def of_tables(cls, spark: SparkSession, a: str, b: str, keys: Sequence[str], absolute: str | None = None, relative: str | None = None, require_partition_filter: bool = False, sketch_absolute: float = 0.0, sketch_relative: float = 0.05, filter_a: str | None = None, filter_b: str | None = None, **more) -> Comparison:
-        """Tables by name or path, tolerances as on the command line."""
+    def of_tables(
+        cls,
+        spark: SparkSession,
+        a: str,
+        b: str,
+        keys: Sequence[str],
+        absolute: str | None = None,
+        relative: str | None = None,
+        require_partition_filter: bool = False,
+        sketch_absolute: float = 0.0,
+        sketch_relative: float = 0.05,
+        filter_a: str | None = None,
+        filter_b: str | None = None,
+        overflow: str = "error",
+        **more,
+    ) -> Comparison:
+        """Tables by name or path, tolerances as on the command line; overflow as in Settings."""
         frames = [tables.scan(spark, t, f, require_partition_filter) for t, f in ((a, filter_a), (b, filter_b))]
-        how = Settings(from_options(absolute, relative), sketch_absolute, sketch_relative)
+        how = Settings(from_options(absolute, relative), sketch_absolute, sketch_relative, overflow)
         return cls(*frames, keys=list(keys), settings=how, name_a=a, name_b=b, filter_a=filter_a, filter_b=filter_b, **more)
 
     @cached_property
@@ -101,6 +117,11 @@ class Comparison:
         names = self.differing_columns() if differing is None else differing
         return verify.verify(self.a, self.b, self.key_columns, self.values, names)
 
+    def differing_counts(self) -> DataFrame:
+        """column_name, diff_rows of the columns that differ before tolerance."""
+        counts = F.array(*[F.struct(F.lit(v.name).alias("column_name"), F.col(f"{v.alias}__diff_count").alias("diff_rows")) for v in self.values])
+        return summary.summarize(self.layers(), flags_only=True).select(F.inline(counts)).where("diff_rows > 0")
+
     # --- jobs
 
     def differing_columns(self) -> list[str]:

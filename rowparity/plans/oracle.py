@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 PROBES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -18,6 +18,8 @@ class Spec:
     kinds: dict[str, str]  # value column -> kind
     absolute: float | None = None
     relative: float | None = None
+    column_absolute: dict[str, float] = field(default_factory=dict)
+    column_relative: dict[str, float] = field(default_factory=dict)
 
 
 def equal(kind: str, a: str, b: str) -> str:
@@ -27,16 +29,19 @@ def equal(kind: str, a: str, b: str) -> str:
 
 
 def within(s: Spec, kind: str, a: str, b: str) -> str | None:
-    """None for a column without tolerance."""
-    if kind != "FLOAT" or (s.absolute is None and s.relative is None):
+    """None for a column without tolerance. a: a__<column>."""
+    absolute, relative = s.column_absolute.get(a[3:], s.absolute), s.column_relative.get(a[3:], s.relative)
+    if kind != "FLOAT" or (absolute is None and relative is None):
         return None
-    tests = [f"abs({a} - {b}) <= {s.absolute!r}"] if s.absolute is not None else []
-    tests += [f"abs({a} - {b}) / nullif(greatest(abs({a}), abs({b})), 0) <= {s.relative!r}"] if s.relative is not None else []
+    tests = [f"abs({a} - {b}) <= {absolute!r}"] if absolute is not None else []
+    tests += [f"abs({a} - {b}) / nullif(greatest(abs({a}), abs({b})), 0) <= {relative!r}"] if relative is not None else []
     return f"(case when {a} is not null and {b} is not null then coalesce({' or '.join(tests)}, {equal(kind, a, b)}) else {a} is null and {b} is null end)"
 
 
 def deltas(kind: str, a: str, b: str) -> dict[str, str]:
-    if kind in ("INTEGER", "FLOAT"):
+    if kind == "INTEGER":
+        delta, base = f"({a}::bigint - {b}::bigint)", b
+    elif kind == "FLOAT":
         delta, base = f"({a} - {b})", b
     elif kind == "BOOLEAN":
         delta, base = f"({a}::bigint - {b}::bigint)", f"{b}::bigint"

@@ -51,7 +51,7 @@ class Column:
 
     @property
     def strategy(self) -> Kind:
-        return KINDS[self.kind]
+        return KINDS.get(f"{self.kind} {self.type}") or KINDS[self.kind]
 
     @property
     def supported(self) -> bool:
@@ -154,7 +154,20 @@ def intersect(a: Sequence[Column], b: Sequence[Column], keys: Sequence[str], coe
     lost = {n for n, _, _ in differs}
     if bad := [k for k in keys if k in lost]:
         raise KeyColumnError(f"key columns of different types: {', '.join(bad)}")
-    return Intersection([c for c in common if c.name not in lost], [c.name for c in a if c.name not in in_b], [c.name for c in b if c.name not in in_a], differs)
+    found = Intersection([c for c in common if c.name not in lost], [c.name for c in a if c.name not in in_b], [c.name for c in b if c.name not in in_a], differs)
+    check_key_names([in_a[k] for k in keys], found.values)
+    return found
+
+
+#: What the output adds to a column's name for its differences and flags.
+SUFFIXES = ("delta", "abs_delta", "rel_delta", "match", "mismatch", "len_delta", "max_abs_value_diff", "distance_meters", "within_tolerance", "eq")
+
+
+def check_key_names(keys: Iterable[Column], values: Iterable[Column]) -> None:
+    """Keys keep their names in the output, so none may be called like what stands beside them there."""
+    taken = {"in_a", "in_b"} | {f"{side}__{c.alias}" for c in values for side in "ab"} | {f"{c.alias}__{s}" for c in values for s in SUFFIXES}
+    if bad := [k.name for k in keys if k.alias in taken]:
+        raise KeyColumnError(f"key columns named like columns of the output: {', '.join(bad)}; rename them first")
 
 
 def check_tolerances(columns: Iterable[Column], settings: Settings) -> None:

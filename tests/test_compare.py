@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from rowparity import Comparison, Settings, Summary, Tolerance
 from rowparity.operators import breakdown as breakdowns
+from rowparity.operators.align import align
+from rowparity.sources.schema import KeyColumnError
 
 
 def compare(spark, schema, a, b, keys=("id",), **how):
@@ -223,3 +225,43 @@ def test_stream_batches(spark, tmp_path):
     query = spark.readStream.schema("id long, x int").parquet(str(tmp_path / "in")).writeStream.foreachBatch(comparer(expected, ["id"], lambda n, s: got.append(s))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [(s.rows_in_both_diff, s.rows_only_in_b) for s in got] == [(1, 0)]
+
+
+def test_small_integers_differ_without_overflow(spark):
+    a = spark.sql("select 1 as k, 100Y as t, 30000S as s, 2000000000 as i")
+    b = spark.sql("select 1 as k, -100Y as t, -30000S as s, -2000000000 as i")
+    row = Comparison(a, b, ["k"]).diff().first()
+    assert (row["t__delta"], row["s__delta"], row["i__abs_delta"]) == (200, 60000, 4000000000)
+
+
+def test_the_largest_differences_are_null_on_request(spark):
+    a, b = spark.sql("select 1 as k, -9223372036854775808L as v"), spark.sql("select 1 as k, 0L as v")
+    row = Comparison(a, b, ["k"], Settings(overflow="null")).diff().first()
+    assert (row["v__delta"], row["v__abs_delta"]) == (-(2**63), None)
+
+
+def test_instants_differ_across_a_change_of_the_clocks(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        a, b = (spark.sql(f"select 1 as k, timestamp_seconds({s}) as v") for s in (1730611800, 1730615400))  # 05:30 and 06:30 UTC
+        row = Comparison(a, b, ["k"]).diff().first()
+        assert row["v__delta"] == -3_600_000_000 and row["v__rel_delta"] == -3600 / 1730615400
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("name", ["in_a", "a__v", "v__delta"])
+def test_keys_named_like_the_output_are_refused(spark, name):
+    df = spark.createDataFrame([(1, 2)], f"{name} int, v int")
+    with pytest.raises(KeyColumnError, match="rename"):
+        Comparison(df, df, [name]).schema
+
+
+def test_null_keys_are_dealt_out(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, null, id) as k", "id as v")
+    c = Comparison(rows, rows, ["k"])
+    joined = align(c.a, c.b, c.key_columns, c.values)
+    sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 30_000 and (len(sizes) == 1 or max(sizes) < 2 * sum(sizes) / len(sizes))
+    assert joined.columns == ["k", "in_a", "in_b", "a__v", "b__v"]
