@@ -1,18 +1,23 @@
 """Signature sniffing of media columns: find magic bytes, confirm structure and lengths, correct types, carve what is embedded.
 
-An Aho-Corasick automaton over all magic strings locates candidates at any offset in one pass; the validator of a
-candidate's format then walks its structure (chunk lengths, checksums, end marks). Only confirmed media count, so text
-that happens to hold a magic string stays text. A confirmed medium at offset 0 corrects the declared type; the others
-are carved. Media inside a confirmed medium are reported with it, not on their own.
+An Aho-Corasick automaton over all magic strings and end marks locates candidates at any offset, and where media may
+end, in one pass; the validator of a candidate's format then walks its structure (chunk lengths, checksums) and looks
+its end up among the marks, so repeated magic bytes cost no search each. Only confirmed media count, so text that
+happens to hold a magic string stays text. A confirmed medium at offset 0 corrects the declared type; the others are
+carved. Media inside a confirmed medium are reported with it, not on their own. A PDF goes on over the sections that
+were added to it, a gzip file over all its members.
 
 Formats: WAV, PNG, GIF, JPEG, BMP, PDF, gzip, ZIP. Defined results: a null or empty value has the type
-`application/x-empty` and carves nothing; other columns pass unread; equal bytes give equal results.
+`application/x-empty` and carves nothing; values may be of any length that a row can hold; of candidates at one place
+the first in the list of magic bytes that holds counts; repeated rows are returned as often as they come, equal bytes
+with equal results; a null key or doc_id stays null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect_left
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,10 +37,31 @@ MAGIC = [
     (b"\x1f\x8b\x08", "application/gzip"),
     (b"PK\x03\x04", "application/zip"),
 ]
+#: The marks at which media end, or that must stand before their end.
+JPEG_END, PDF_END, PDF_TABLE, PDF_START, ZIP_END = b"\xff\xd9", b"%%EOF", b"startxref", b"%PDF-", b"PK\x05\x06"
 EMPTY, UNKNOWN, TEXT = "application/x-empty", "application/octet-stream", "text/plain"
 
 
-def wav(b: bytes, at: int) -> int | None:
+class Marks:
+    """Where the marks stand in a value."""
+
+    def __init__(self, b: bytes, places: dict[bytes, list[int]]):
+        self.places = places
+        self.archives: dict[int, int] = {}  # where a ZIP archive would begin -> its end, from each end record
+        for end in places[ZIP_END]:
+            if end + 22 <= len(b):
+                size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+                start = end - offset - size
+                if start >= 0 and end + 22 + note <= len(b) and b[end - size : end - size + 4] == b"PK\x01\x02":
+                    self.archives.setdefault(start, end + 22 + note)
+
+    def after(self, mark: bytes, at: int) -> int | None:
+        found = self.places[mark]
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else None
+
+
+def wav(b: bytes, at: int, marks: Marks) -> int | None:
     """The length of the medium at `at`, None if its structure does not hold; so in all validators."""
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return None
@@ -52,7 +78,7 @@ def wav(b: bytes, at: int) -> int | None:
     return end - at if p in (end, end + 1) and b"data" in seen else None
 
 
-def png(b: bytes, at: int) -> int | None:
+def png(b: bytes, at: int, marks: Marks) -> int | None:
     p = at + 8
     while p + 12 <= len(b):
         size, name = struct.unpack_from(">I4s", b, p)
@@ -66,7 +92,7 @@ def png(b: bytes, at: int) -> int | None:
     return None
 
 
-def gif(b: bytes, at: int) -> int | None:
+def gif(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 13:
         return None
     flags = b[at + 10]
@@ -93,7 +119,7 @@ def gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg(b: bytes, at: int) -> int | None:
+def jpeg(b: bytes, at: int, marks: Marks) -> int | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind, size = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
@@ -101,12 +127,12 @@ def jpeg(b: bytes, at: int) -> int | None:
             return None
         p += 2 + size
         if kind == 0xDA:  # entropy-coded data up to the end mark
-            end = b.find(b"\xff\xd9", p)
-            return end + 2 - at if end >= 0 else None
+            end = marks.after(JPEG_END, p)
+            return None if end is None else end + 2 - at
     return None
 
 
-def bmp(b: bytes, at: int) -> int | None:
+def bmp(b: bytes, at: int, marks: Marks) -> int | None:
     if len(b) < at + 30:
         return None
     size, reserved, pixels, header = struct.unpack_from("<IIII", b, at + 2)
@@ -115,34 +141,45 @@ def bmp(b: bytes, at: int) -> int | None:
     return size if fits and planes == 1 and depth in (1, 4, 8, 16, 24, 32) else None
 
 
-def pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 and b[at + 5 : at + 6].isdigit() else None
+def pdf(b: bytes, at: int, marks: Marks) -> int | None:
+    table, last = marks.after(PDF_TABLE, at), None
+    following = marks.after(PDF_START, at + 1)
+    while table is not None and b[at + 5 : at + 6].isdigit():
+        end = marks.after(PDF_END, table)
+        if end is None or (last is not None and following is not None and following < end):
+            break
+        last = end
+        table = marks.after(PDF_TABLE, end)
+    return None if last is None else last + 5 - at
 
 
-def gzipped(b: bytes, at: int) -> int | None:
+def member(b: bytes, at: int) -> int | None:
+    """Where the gzip member at `at` ends."""
     stream, p = zlib.decompressobj(31), at
     try:
         while p < len(b) and not stream.eof:  # in small steps: the output is not kept
             piece = stream.unconsumed_tail or b[p : p + 65536]
             p += 0 if stream.unconsumed_tail else len(piece)
             stream.decompress(piece, 1 << 20)
-        return p - len(stream.unused_data) - at if stream.eof else None
+        return p - len(stream.unused_data) if stream.eof else None
     except zlib.error:
         return None
 
 
-def zipped(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + offset + size == end and end + 22 + note <= len(b) and b[at + offset : at + offset + 4] == b"PK\x01\x02":
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+def gzipped(b: bytes, at: int, marks: Marks) -> int | None:
+    last, end = None, member(b, at)
+    while end is not None:
+        last = end
+        end = member(b, last) if b[last : last + 3] == b"\x1f\x8b\x08" else None
+    return None if last is None else last - at
+
+
+def zipped(b: bytes, at: int, marks: Marks) -> int | None:
+    end = marks.archives.get(at)
+    return None if end is None else end - at
 
 
-VALIDATE: dict[str, Callable[[bytes, int], int | None]] = {
+VALIDATE: dict[str, Callable[[bytes, int, Marks], int | None]] = {
     "audio/wav": wav,
     "image/png": png,
     "image/gif": gif,
@@ -159,16 +196,24 @@ def sniffer() -> Callable[[bytes], list[tuple[str, int, int]]]:
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for magic, kind in MAGIC:
-        automaton.add_word(magic.decode("latin-1"), (len(magic), kind))
+    ends = (JPEG_END, PDF_END, PDF_TABLE, PDF_START, ZIP_END)
+    kinds = {m: [k for magic, k in MAGIC if magic == m] for m in {*(m for m, _ in MAGIC), *ends}}
+    for mark, of in kinds.items():
+        automaton.add_word(mark.decode("latin-1"), (mark, of))
     automaton.make_automaton()
 
     def sniff(data: bytes) -> list[tuple[str, int, int]]:
+        places: dict[bytes, list[int]] = {m: [] for m in ends}
+        candidates = []
+        for last, (mark, of) in automaton.iter(data.decode("latin-1")):
+            at = last + 1 - len(mark)
+            candidates += [(at, kind) for kind in of]
+            if mark in places:
+                places[mark].append(at)
         found: list[tuple[str, int, int]] = []
-        free = 0
-        for last, (n, kind) in automaton.iter(data.decode("latin-1")):
-            at = last + 1 - n
-            if at >= free and (length := VALIDATE[kind](data, at)):
+        marks, free = Marks(data, places) if candidates else None, 0
+        for at, kind in candidates:
+            if at >= free and (length := VALIDATE[kind](data, at, marks)):
                 found.append((kind, at, length))
                 free = at + length
         return found
@@ -189,7 +234,7 @@ SNIFFED = "array<struct<kind:string,start:long,length:long,bytes:binary>>"
 
 
 def sniff_column(df: DataFrame, key: str, data: str, declared: str | None = None) -> DataFrame:
-    """(key, declared, actual, corrected, carved) for every row: the confirmed type and the media embedded in the value."""
+    """key, declared, actual, corrected, carved of every row: the confirmed type and the media embedded in the value."""
     cols = [F.col(key).alias("key"), F.col(data).cast("binary").alias("data"), (F.col(declared).cast("string") if declared else F.lit(None).cast("string")).alias("declared")]
     kind = df.schema[key].dataType.simpleString()
 
@@ -243,7 +288,7 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def read_back(stored: DataFrame, declared: str = UNKNOWN, tail: int = 64) -> DataFrame:
     """Sniff the stored bytes, correct the declared type, read the samples of the confirmed medium and describe them.
 
-    feature: the confirmed type, the number of samples, and the counts of samples below 32, of letters' range and above 127.
+    feature: the confirmed type, the number of samples, the counts of samples below 32 and above 127, and the types of media within.
     """
     names = [c.split()[0] for c in READ.split(", ")]
     low, high = bytes(range(32)), bytes(range(128, 256))

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -84,3 +85,19 @@ def test_broken_media_are_refused(spark):
     bad = spark.createDataFrame([(1, 3, SAMPLES["audio/wav"][:-1])], "doc_id long, n_bytes long, media binary")
     with pytest.raises(Exception, match="no whole WAV"):
         media.read_back(bad).collect()
+
+
+def test_added_sections_and_members_belong_to_the_medium():
+    sniff = media.sniffer()
+    added = SAMPLES["application/pdf"] + b"\n2 0 obj\nendobj\nstartxref\n41\n%%EOF"
+    assert sniff(b"--" + added + b" -- " + SAMPLES["application/pdf"]) == [("application/pdf", 2, len(added)), ("application/pdf", 6 + len(added), len(SAMPLES["application/pdf"]))]
+    members = gzip.compress(b"a" * 100) + gzip.compress(b"b" * 100)
+    assert sniff(members + b"\x1f\x8b\x08 no member") == [("application/gzip", 0, len(members))]
+
+
+@pytest.mark.parametrize("mark", [b"%PDF-1 ", b"PK\x03\x04abc", b"\xff\xd8\xff\xda\x00\x02ab", b"PK\x05\x06" + b"\x00" * 18 + b"PK\x03\x04", b"%PDF-1 startxref "])
+def test_repeated_magic_bytes_take_linear_time(mark):
+    sniff, data = media.sniffer(), mark * (560_000 // len(mark))
+    began = time.process_time()
+    assert sniff(data) == []
+    assert time.process_time() - began < 2
