@@ -92,8 +92,12 @@ class Model:
         return self.langs[first], float(loss[second] / total) if total > 0 else 0.5, self.langs[second]
 
 
-def train(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14, max_langs: int = 256) -> Model:
-    """Learn from the columns text and lang of all rows given."""
+def train(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14, max_langs: int = 1024) -> Model:
+    """Learn from the columns text and lang of all rows given.
+
+    Of more than max_langs languages those with the most rows are learned (of equal numbers the first by name); this
+    bounds what the driver holds, 2**bits counts a language.
+    """
     size = 1 << bits
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +105,6 @@ def train(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14,
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if lang not in sums:
-                    if len(sums) >= max_langs:
-                        raise ValueError(f"more than {max_langs} languages")
                     sums[lang] = np.zeros(size, dtype=np.int64)
                 sums[lang] += histogram(text, orders, bits)
         for lang, counts in sums.items():
@@ -110,11 +112,12 @@ def train(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14,
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    usual = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()
+    if len(usual) > max_langs:
+        labelled = labelled.where(F.col("lang").isin([r["lang"] for r in usual[:max_langs]]))
     found = labelled.mapInArrow(task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = found.toPandas()  # at most max_langs x 2**bits rows
     langs = sorted(rows["lang"].unique())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     counts = np.zeros((len(langs), size))
     index = {lang: i for i, lang in enumerate(langs)}
     counts[rows["lang"].map(index).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -72,9 +73,44 @@ def test_few_languages(documents, langs):
     assert model.predict("the thing")[0] == (langs or [language.UNDETERMINED])[0]
 
 
-def test_too_many_languages_and_empty_table(documents):
-    df = documents([(i, "some text", f"l{i}") for i in range(6)])
-    with pytest.raises(Exception, match="more than 3 languages"):
-        language.train(df, max_langs=3)
-    model = language.train(df)
+def test_more_languages_than_are_learned_and_empty_table(documents):
+    df = documents([(i, f"some text {'abcdef'[i % 6] * 9}", f"l{i % 6}") for i in range(40)])  # l0 to l3 have seven rows, the others six
+    assert language.train(df, max_langs=3).langs == ["l0", "l1", "l2"]
+    model = language.train(df, max_langs=6)
+    assert model.langs == [f"l{i}" for i in range(6)]
     assert language.identify(df.where("false"), model).count() == 0 == language.accepted(df.where("false"), model).count()
+
+
+def test_more_than_256_languages(documents):
+    r = random.Random(6)
+    rows = [(i, " ".join(chr(0x4E00 + 7 * (i % 300) + r.randrange(7)) for _ in range(20)), f"l{i % 300:03}") for i in range(900)]
+    got = language.identify(documents(rows), language.train(documents(rows))).collect()
+    assert sum(g["lang_pred"] == rows[g["doc_id"]][2] for g in got) >= 0.95 * len(rows)
+
+
+def test_training_and_decoding_match_a_plain_computation(documents):
+    rows = corpus(120, seed=5)
+    model = language.train(documents(rows), bits=8)
+    langs = sorted({lang for _, _, lang in rows})
+    counts = {lang: [0.0] * 256 for lang in langs}
+    for _, t, lang in rows:
+        for i, n in enumerate(language.histogram(t, (1, 2, 3), 8).tolist()):
+            counts[lang][i] += n
+    share = {lang: [(n + 0.5) / (sum(c) + 128) for n in c] for lang, c in counts.items()}
+    code = language.codewords(len(langs)).tolist()
+    mean = lambda x: sum(x) / len(x)
+    weights, scale, trust = [], [], []
+    for j in range(len(code[0])):
+        sides = [[share[lang] for lang, word in zip(langs, code) if word[j] == s] for s in (1, -1)]
+        w = [math.log(mean([x[i] for x in sides[0]]) / mean([x[i] for x in sides[1]])) for i in range(256)]
+        margins = [word[j] * sum(x * y for x, y in zip(share[lang], w)) for lang, word in zip(langs, code)]
+        weights.append(w)
+        scale.append(max(mean(margins), 1e-9))
+        trust.append(max(min(margins) / scale[-1], 0.05))
+    for _, t, _ in rows[:40]:
+        h = language.histogram(t, (1, 2, 3), 8).tolist()
+        margin = [sum(x * y for x, y in zip(h, w)) / sum(h) / s for w, s in zip(weights, scale)]
+        loss = [sum(math.log1p(math.exp(-4 * c * m)) * q / sum(trust) for c, m, q in zip(word, margin, trust)) for word in code]
+        best, second = sorted(range(len(langs)), key=loss.__getitem__)[:2]
+        lang, score, other = model.predict(t)
+        assert (lang, other) == (langs[best], langs[second]) and score == pytest.approx(loss[second] / (loss[best] + loss[second]))
