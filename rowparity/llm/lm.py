@@ -11,9 +11,10 @@ network once per block, not once per token, and answers are bare counts. A block
 events of expectation-maximisation (from the deleted documents' blocks alone) and, with the weights, the scores.
 Iterations are small aggregates over the events; only weights (buckets x orders) reach the driver.
 
-n-grams are known by 64-bit hashes. Defined results: a null text is empty, its only token the end; a null doc_id is
-held out; repeated rows count and are returned as often as they come; other columns are ignored; without training
-tokens every probability is uniform.
+n-grams are known by hashes of 20 bits more than it takes to number the corpus' n-grams (up to 64). Defined results: a
+null text is empty, its only token the end; texts may be of any length that a row can hold; a null doc_id is held out;
+repeated rows count and are returned as often as they come; equal texts have equal scores; other columns are ignored;
+without training tokens every probability is uniform; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ BUCKETS = 40
 LEAST_WEIGHT = 1e-6  # so that what the deleted documents never showed keeps a probability
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SHARD_TOKENS = 5 << 19  # of the corpus, for each order and shard: about a million n-grams that blocks ask for
+SPARE_BITS = 20  # of a hash beyond those that number the corpus' n-grams: one in a million meets another
 BLOCKS = "block long, deleted boolean, n_tokens long, doc_ids array<long>, roles binary, lengths binary, tokens binary, vocabulary binary"
 
 
@@ -138,7 +140,8 @@ class Block:
     of: list[np.ndarray]  # a token's place in them; for contexts see before
 
     @classmethod
-    def read(cls, row: dict, order: int) -> Block:
+    def read(cls, row: dict, order: int, bits: int = 64) -> Block:
+        """bits: of the hashes' highest ones that tell n-grams apart."""
         tokens, hashes = expand(row["tokens"], "<i4"), np.frombuffer(row["vocabulary"], dtype="<u8")
         lengths = np.frombuffer(row["lengths"], dtype="<i4")
         begin = mix(np.array([int.from_bytes(BEGIN, "big")], dtype=np.uint64))[0]
@@ -152,7 +155,7 @@ class Block:
                 back[inside] = h[np.flatnonzero(inside) - (n - 1)]
                 with np.errstate(over="ignore"):
                     gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + back + np.uint64(n))
-            k, i = np.unique(gram, return_inverse=True)
+            k, i = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
             keys.append(k)
             of.append(i)
         return cls(np.frombuffer(row["roles"], dtype=np.uint8), lengths, keys, of)
@@ -162,9 +165,9 @@ class Block:
         return np.bincount(self.of[n][chosen], minlength=len(self.keys[n])).astype("<u4")
 
 
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
+def shard_bounds(keys: np.ndarray, shards: int, bits: int) -> list[int]:
     """Where each shard, a range of the hashes, begins in the sorted keys."""
-    first = np.array([(s << 64) // shards for s in range(shards)], dtype=np.uint64)
+    first = np.array([(s << bits) // shards for s in range(shards)], dtype=np.uint64)
     return np.searchsorted(keys, first).tolist() + [len(keys)]
 
 
@@ -172,15 +175,15 @@ QUESTIONS = "block long, shard int, ord int, keys binary, kept binary, deleted b
 ANSWERS = "block long, shard int, ord int, kept binary, deleted binary, types long, kept_types long, total long, kept_total long"
 
 
-def questions(block_rows: DataFrame, order: int, shards: int) -> DataFrame:
+def questions(block_rows: DataFrame, order: int, shards: int, bits: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                block = Block.read(row, order)
+                block = Block.read(row, order, bits)
                 for n, keys in enumerate(block.keys):
                     kept, deleted = block.counts(n, KEPT), block.counts(n, DELETED)
-                    at = shard_bounds(keys, shards)
+                    at = shard_bounds(keys, shards, bits)
                     rows = [(row["block"], s, n, sorted_keys(keys[a:b]), squeeze(kept[a:b]), squeeze(deleted[a:b])) for s, (a, b) in enumerate(zip(at, at[1:])) if a < b]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in QUESTIONS.split(", ")])
 
@@ -236,13 +239,13 @@ def told_of(rows: pa.Table, order: int, kept_only: bool) -> list[np.ndarray]:
     return out
 
 
-def events(block_rows: DataFrame, told: DataFrame, totals: Totals, order: int) -> DataFrame:
+def events(block_rows: DataFrame, told: DataFrame, totals: Totals, order: int, bits: int) -> DataFrame:
     """From the deleted documents: bucket, estimates and number of the tokens that agree in them, a row per block."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            block = Block.read(row, order)
+            block = Block.read(row, order, bits)
             _, p, bucket = estimates(block, told_of(right, order, True), totals)
             distinct, n = np.unique(np.vstack([bucket, p]), axis=1, return_counts=True)
             out.append((distinct[0].astype("<i4").tobytes(), squeeze(np.ascontiguousarray(distinct[1:]).ravel()), n.astype("<i4").tobytes()))
@@ -286,25 +289,26 @@ def learn(observed: DataFrame, order: int, rounds: int = 25, tolerance: float =
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK_BYTES, shards: int | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BYTES, shards: int | None = None) -> DataFrame:
     """Base and interpolated log10 probabilities of every document."""
     made = saved(blocks(docs, block_bytes))
     size = made.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     shards = shards or max(16, -(-order * size // SHARD_TOKENS))  # grows with the corpus, so that a shard's counts fit into a task
-    told = saved(answers(questions(made, order, shards)))
+    bits = min(64, int(order * size).bit_length() + SPARE_BITS)
+    told = saved(answers(questions(made, order, shards, bits)))
     sums = told.where("ord = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "kept_types", "total", "kept_total")]).first()
     role = roles()
     n = docs.agg(F.count_if(role != HELD_OUT).alias("train"), F.count_if(role == KEPT).alias("kept")).first()
     totals, kept = Totals(sums["types"], sums["total"], n["train"]), Totals(sums["kept_types"], sums["kept_total"], n["kept"])
     deleted = made.where("deleted")
-    observed = saved(events(deleted, told.join(deleted.select("block"), "block", "left_semi"), kept, order))
+    observed = saved(events(deleted, told.join(deleted.select("block"), "block", "left_semi"), kept, order, bits))
     weights = learn(observed, order) if totals.tokens else np.eye(1, order + 1).repeat(BUCKETS, axis=0)
     smooth = np.log10(totals.tokens + 0.5 * (totals.types + 1))
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            block = Block.read(row, order)
+            block = Block.read(row, order, bits)
             count, p, bucket = estimates(block, told_of(right, order, False), totals)
             at = np.cumsum(block.lengths) - block.lengths
             add = lambda x: np.add.reduceat(x, at).tolist()
