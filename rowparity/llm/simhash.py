@@ -369,14 +369,56 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     return sided.select("u", "v", "x", "y").mapInArrow(task, "u long, v long")
 
 
+def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subtree: int) -> DataFrame:
+    """(u, v), u < v: candidates among the rows (node, wide, comp, t, p).
+
+    Without comp (null), the first row of every key stands for the rows with this key: it is paired with each of these
+    and with those of other keys. With it, of the rows of a key that are in one component the first stands for the
+    others, and only rows of different components are paired.
+    """
+    dealt = deal(keyed, ["t"], prefix, radius, 32, subtree)
+
+    def task(rows: pa.Table) -> pa.Table:
+        values, side = rows["p"].to_numpy().astype(np.uint64), ~rows["first"].to_numpy(zero_copy_only=False)
+        itself, starred = with_itself(rows), rows["comp"].null_count > 0
+        if itself:
+            side[:] = False
+        nodes = rows["node"].to_numpy()
+        comp = nodes if starred else rows["comp"].to_numpy()
+        order = np.lexsort((nodes, values, side) if starred else (nodes, comp, values, side))
+        values, side, nodes, comp = values[order], side[order], nodes[order], comp[order]
+        wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE)[order]
+        new = np.append(True, (values[1:] != values[:-1]) | (side[1:] != side[:-1]))
+        stars = np.zeros((2, 0), dtype=np.int64)
+        if starred:
+            hub = np.flatnonzero(new)[np.cumsum(new) - 1]
+            near = np.flatnonzero(~new & (np.bitwise_count(wide ^ wide[hub]).sum(axis=1, dtype=np.int64) <= limit)) if itself else []
+            stars = np.array([hub[near], near], dtype=np.int64)
+        else:
+            new |= np.append(True, comp[1:] != comp[:-1])
+        kept = np.flatnonzero(new)
+        found = list(candidates(values[kept], None if itself else side[kept], wide[kept], radius, limit, 32))
+        x, y = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*found) if found else ((), ())))
+        x, y = np.append(kept[x], stars[0]), np.append(kept[y], stars[1])
+        apart = comp[x] != comp[y]
+        x, y = nodes[x[apart]], nodes[y[apart]]
+        return pa.table({"u": np.minimum(x, y), "v": np.maximum(x, y)})
+
+    return dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long").where("u <> v")
+
+
 def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 60, subtree: int = SUBTREE, least: float = 0.8) -> DataFrame:
     """doc_id, component_id of the documents with an id: groups of texts whose shingle sets have a similarity of `least` or more.
 
     A pair is a candidate if one of sixteen 32-bit fingerprints of their words is within the radius (found by the trie
     join; 0.993 at a Jaccard similarity of the words of 0.8) and their 256-bit fingerprints of shingles differ in at most
     `limit` bits (39 on average at 0.8, standard deviation 6; 128 for unrelated texts). Candidates are links if their
-    sets of shingles, counted exactly, are that similar; all candidates of a group are counted, so a group of n texts
-    with different fingerprints costs up to n (n - 1) / 2. Texts with equal fingerprints are one.
+    sets of shingles, counted exactly, are that similar. Texts with equal fingerprints are one.
+
+    A large group is not compared pair by pair: first every text is compared with the first one that has its key in some
+    table; then, of what these links have joined, one text stands for all that share a key, and the pairs that are in
+    different groups are counted. A group of n texts so costs about n counts if they are alike; only texts that are all
+    candidates and none alike are counted pair by pair.
     """
     drawn = saved(sketches(docs, width).where(F.col("doc_id").isNotNull()))
     nodes = saved(drawn.groupBy("keys", "wide").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.xxhash64("keys", "wide")))
@@ -384,22 +426,15 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 60, s
     while n > subtree << prefix:
         prefix += 1
     table = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
-    keyed = nodes.select("node", "wide", table.alias("t"), "keys")
-    keyed = keyed.select("node", "wide", "t", F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p"))
-    dealt = deal(keyed, ["t"], prefix, radius, 32, subtree)
-
-    def task(rows: pa.Table) -> pa.Table:
-        values, side = rows["p"].to_numpy().astype(np.uint64), ~rows["first"].to_numpy(zero_copy_only=False)
-        sides = None if with_itself(rows) else side
-        order = np.argsort(values, kind="stable") if sides is None else np.lexsort((values, side))
-        wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE)[order]
-        found = list(candidates(values[order], None if sides is None else side[order], wide, radius, limit, 32))
-        x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*found) if found else ((), ())))
-        nodes = rows["node"].to_numpy()[order]
-        return pa.table({"u": np.minimum(nodes[x], nodes[y]), "v": np.maximum(nodes[x], nodes[y])})
-
-    edges = saved(dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long").distinct())
-    joined = components(verified(edges, nodes, docs, width, least)).withColumnRenamed("id", "node")
+    part = F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p")
+    keyed = lambda rows: rows.select("node", "wide", "comp", table.alias("t"), "keys").select("node", "wide", "comp", "t", part)
+    lone = nodes.withColumn("comp", F.lit(None).cast("long"))
+    stars = candidate_pairs(keyed(lone), radius, limit, prefix, subtree).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    first = saved(verified(saved(stars), nodes, docs, width, least))
+    joined = components(first).withColumnRenamed("id", "node")
+    grouped = saved(nodes.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    rest = saved(candidate_pairs(keyed(grouped), radius, limit, prefix, subtree).distinct())
+    joined = components(first.union(verified(rest, nodes, docs, width, least))).withColumnRenamed("id", "node")
     placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = placed.join(names, "component").select("keys", "wide", "component_id")
