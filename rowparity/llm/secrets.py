@@ -189,7 +189,7 @@ def redacted(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Da
     key, found, parts = (free_name(docs, n) for n in ("blob", "cuts", "parts"))
     ready = saved(cuts(findings).select(F.col("blob").alias(key), F.col("cuts").alias(found)))
     chunks = F.when(F.col(found).isNotNull(), F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
-    joined = docs.withColumn(key, _blob(_text())).join(ready.hint("rebalance"), key, "left").withColumn(parts, chunks)
+    joined = docs.withColumn(key, _blob(_text())).join(ready.hint("rebalance").hint("merge"), key, "left").withColumn(parts, chunks)
 
     def between(a: Column, b: Column) -> Column:
         """Code points a to b of the text, from its chunks: those between are taken whole."""

@@ -355,7 +355,7 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     """The edges (u, v) whose texts' sets of shingles have a Jaccard similarity of at least `least`, counted exactly."""
     linked = saved(edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "node").join(nodes, "node"))
     ids = linked.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
     sets = saved(sketches(texts, width, True).join(linked, ["doc_id", "keys", "wide"]).groupBy("node").agg(F.min("mers").alias("mers")))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +373,7 @@ def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subt
     """(u, v), u < v: candidates among the rows (node, wide, comp, t, p).
 
     Without comp (null), the first row of every key stands for the rows with this key: it is paired with each of these
-    and with those of other keys. With it, of the rows of a key that are in one component the first stands for the
+    and with those of other keys, and of a task's pairs those of each v with its least u are given. With it, of the rows of a key that are in one component the first stands for the
     others, and only rows of different components are paired.
     """
     dealt = deal(keyed, ["t"], prefix, radius, 32, subtree)
@@ -402,7 +402,13 @@ def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subt
         x, y = np.append(kept[x], stars[0]), np.append(kept[y], stars[1])
         apart = comp[x] != comp[y]
         x, y = nodes[x[apart]], nodes[y[apart]]
-        return pa.table({"u": np.minimum(x, y), "v": np.maximum(x, y)})
+        u, v = np.minimum(x, y), np.maximum(x, y)
+        if starred:  # a node needs its least partner alone
+            order = np.lexsort((u, v))
+            u, v = u[order], v[order]
+            least = np.append(True, v[1:] != v[:-1])[: len(v)]
+            u, v = u[least], v[least]
+        return pa.table({"u": u, "v": v})
 
     return dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long").where("u <> v")
 
