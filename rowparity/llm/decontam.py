@@ -12,7 +12,8 @@ the given share of the item's bytes, as far as T stays positive; items shorter t
 
 Defined results: null and empty texts hold nothing; null and empty items are in nothing; repeated documents and items
 each give their rows; ids may be null; other columns are ignored (and kept by clean()); of several places of an item in
-a document the one with the fewest edits, then the first, is reported.
+a document the one with the fewest edits, then the first, is reported. Very long texts are looked up in slices and
+searched whole. Without documents or without items nothing is found, and clean() keeps every row.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 FILTER_BITS = 22
 SLICE = 1 << 20  # positions of a text whose q-grams are looked up at a time
@@ -248,9 +251,14 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08) -> DataFrame:
-    """The rows of docs, with all columns, whose text holds no item."""
+    """The rows of docs, with all columns, whose text holds no item.
+
+    Between blocks of items what is left is written, so that a task holds the index of one block alone.
+    """
     at = docs.columns.index("text")
-    for index in indexes(benchmark, q, rate):
+    for k, index in enumerate(indexes(benchmark, q, rate)):
+        if k:
+            docs = saved(docs)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

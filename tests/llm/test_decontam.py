@@ -94,5 +94,8 @@ def test_blocks_of_items_and_empty_tables(spark, documents, monkeypatch):
     monkeypatch.setattr(decontam.indexes, "__defaults__", (10, 0.08, 600))
     assert sorted((x["doc_id"], x["item_id"]) for x in decontam.find(docs, bench).collect()) == [(i, i) for i in range(30)]
     assert decontam.clean(docs, bench).count() == 0
+    some = decontam.clean(docs.unionByName(documents([(99, "nothing of it")])), bench)
+    assert [x["doc_id"] for x in some.collect()] == [99]
+    assert some._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one index in a task
     assert decontam.find(docs, bench.where("false")).count() == 0 == decontam.find(docs.where("false"), bench).count()
     assert decontam.clean(docs, bench.where("false")).count() == 30
