@@ -9,7 +9,8 @@ output can be read back exactly. Only assistant texts are under the loss mask.
 
 Defined results: null texts and roles are empty ones; a null conv_id is a conversation of its own; turns sort by turn
 (null first), then role, then text, so ties and repeated rows have one order and all stay; other columns are ignored;
-an empty table gives no rows.
+an empty table gives no rows. Texts are formatted whole. A conversation becomes one value, so its formatted text must
+stay below the 2 GB that Spark allows a value; one with more ends the job.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ room. Weights are the pool's mean demands, so the scarce dimension counts most.
 
 Defined results: a null text is an empty one (its document is the end id alone); a null doc_id stays null; repeated
 rows are packed once each; other columns are ignored; an empty table gives no rows. Pieces of a document never overlap
-and together are the whole document, whatever its length.
+and together are the whole document, whatever its length. Of pieces that suit equally well the first in the pool is
+taken; the outcome depends on how the input is partitioned.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ unigram model: of equal scores the earliest start wins, a character without an e
 less ten, and counts as one piece a byte.
 
 Spaces become the mark U+2581 at the start of a word and no entry crosses a word, so words are independent and each is
-solved once per worker. Defined results: null and empty texts have no pieces; everything else counts, white space too.
+solved once per worker. Defined results: null and empty texts have no pieces; everything else counts, white space too;
+very long texts are counted whole, a word at a time; repeated rows are counted once each; a null doc_id stays null;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
