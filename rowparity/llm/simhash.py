@@ -295,7 +295,7 @@ TABLES = 16
 
 
 def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
-    """doc_id, keys, wide: sixteen 32-bit fingerprints of the set of words, and one of 256 bits of the set of shingles.
+    """doc_id, keys, wide: sixteen 32-bit fingerprints of the set of words; one of 256 bits of the set of shingles, and its size.
 
     With sets also mers, the sorted hashes of the set of shingles.
     """
@@ -312,7 +312,7 @@ def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
                         mers = mers * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mers)]
                 mers = np.unique(mers)
                 keys.append(majority(lanes(np.unique(h), TABLES // 2)))
-                wide.append(majority(lanes(mers, WIDE)))
+                wide.append(majority(lanes(mers, WIDE)) + len(mers).to_bytes(8, "little"))
                 own.append(mers.tobytes() if sets else None)
             columns = [pa.array(c, pa.binary()) for c in (keys, wide, *([own] if sets else []))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
@@ -320,8 +320,14 @@ def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, keys binary, wide binary" + (", mers binary" if sets else ""))
 
 
-def candidates(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, radius: int, limit: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs whose keys are within the radius and wide fingerprints within the limit.
+def may_be_alike(x: np.ndarray, y: np.ndarray, limit: int, least: float) -> np.ndarray:
+    """Of rows of wide fingerprints and sizes: within the limit, and of sizes that a Jaccard similarity of `least` allows."""
+    near = np.bitwise_count(x[:, :WIDE] ^ y[:, :WIDE]).sum(axis=1, dtype=np.int64) <= limit
+    return near & (np.minimum(x[:, WIDE], y[:, WIDE]) >= least * np.maximum(x[:, WIDE], y[:, WIDE]) - 1e-9)
+
+
+def candidates(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, radius: int, limit: int, bits: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs whose keys are within the radius and that may be alike.
 
     Rows are sorted by value; with sides, by side and value, and only rows of different sides are paired.
     """
@@ -347,7 +353,7 @@ def candidates(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, r
             x, y = first[i[of]] + t // count[j[of]], first[j[of]] + t % count[j[of]]
             ok = (i[of] != j[of]) | (x < y)
             x, y = x[ok], y[ok]
-            ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= limit
+            ok = may_be_alike(wide[x], wide[y], limit, least)
             yield x[ok], y[ok]
 
 
@@ -369,7 +375,7 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     return sided.select("u", "v", "x", "y").mapInArrow(task, "u long, v long")
 
 
-def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subtree: int) -> DataFrame:
+def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subtree: int, similarity: float) -> DataFrame:
     """(u, v), u < v: candidates among the rows (node, wide, comp, t, p).
 
     Without comp (null), the first row of every key stands for the rows with this key: it is paired with each of these
@@ -387,17 +393,17 @@ def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subt
         comp = nodes if starred else rows["comp"].to_numpy()
         order = np.lexsort((nodes, values, side) if starred else (nodes, comp, values, side))
         values, side, nodes, comp = values[order], side[order], nodes[order], comp[order]
-        wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE)[order]
+        wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE + 1)[order]
         new = np.append(True, (values[1:] != values[:-1]) | (side[1:] != side[:-1]))
         stars = np.zeros((2, 0), dtype=np.int64)
         if starred:
             hub = np.flatnonzero(new)[np.cumsum(new) - 1]
-            near = np.flatnonzero(~new & (np.bitwise_count(wide ^ wide[hub]).sum(axis=1, dtype=np.int64) <= limit)) if itself else []
+            near = np.flatnonzero(~new & may_be_alike(wide, wide[hub], limit, similarity)) if itself else []
             stars = np.array([hub[near], near], dtype=np.int64)
         else:
             new |= np.append(True, comp[1:] != comp[:-1])
         kept = np.flatnonzero(new)
-        found = list(candidates(values[kept], None if itself else side[kept], wide[kept], radius, limit, 32))
+        found = list(candidates(values[kept], None if itself else side[kept], wide[kept], radius, limit, 32, similarity))
         x, y = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*found) if found else ((), ())))
         x, y = np.append(kept[x], stars[0]), np.append(kept[y], stars[1])
         apart = comp[x] != comp[y]
@@ -418,8 +424,8 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 60, s
 
     A pair is a candidate if one of sixteen 32-bit fingerprints of their words is within the radius (found by the trie
     join; 0.993 at a Jaccard similarity of the words of 0.8) and their 256-bit fingerprints of shingles differ in at most
-    `limit` bits (39 on average at 0.8, standard deviation 6; 128 for unrelated texts). Candidates are links if their
-    sets of shingles, counted exactly, are that similar. Texts with equal fingerprints are one.
+    `limit` bits (39 on average at 0.8, standard deviation 6; 128 for unrelated texts); sets of sizes that rule the
+    similarity out are none. Candidates are links if their sets of shingles, counted exactly, are that similar. Texts with equal fingerprints are one.
 
     A large group is not compared pair by pair: first every text is compared with the first one that has its key in some
     table; then, of what these links have joined, one text stands for all that share a key, and the pairs that are in
@@ -435,11 +441,11 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 60, s
     part = F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p")
     keyed = lambda rows: rows.select("node", "wide", "comp", table.alias("t"), "keys").select("node", "wide", "comp", "t", part)
     lone = nodes.withColumn("comp", F.lit(None).cast("long"))
-    stars = candidate_pairs(keyed(lone), radius, limit, prefix, subtree).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    stars = candidate_pairs(keyed(lone), radius, limit, prefix, subtree, least).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     first = saved(verified(saved(stars), nodes, docs, width, least))
     joined = components(first).withColumnRenamed("id", "node")
     grouped = saved(nodes.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
-    rest = saved(candidate_pairs(keyed(grouped), radius, limit, prefix, subtree).distinct())
+    rest = saved(candidate_pairs(keyed(grouped), radius, limit, prefix, subtree, least).distinct())
     joined = components(first.union(verified(rest, nodes, docs, width, least))).withColumnRenamed("id", "node")
     placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
