@@ -290,15 +290,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 # --- groups of similar texts beyond the radius of one fingerprint
 
-WIDE = 4  # lanes of 64 bits
+WIDE = 4  # words of 64 bits
 TABLES = 16
+COUNTED = 1 << 13  # pairs of texts whose sets a task counts
+
+
+def minima(mers: np.ndarray) -> bytes:
+    """64 * WIDE bits, each of the least of the mers in an order of its own: two sets differ in one with (1 - similarity) / 2."""
+    order = lanes(np.zeros(1, dtype=np.uint64), 64 * WIDE)[0] | np.uint64(1)
+    if not len(mers):
+        return bytes(8 * WIDE)
+    least = np.full(64 * WIDE, np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(mers), 4096):
+            np.minimum(least, (mers[at : at + 4096, None] * order).min(axis=0), out=least)
+        bits = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
-    """doc_id, keys, wide: sixteen 32-bit fingerprints of the set of words; one of 256 bits of the set of shingles, and its size.
+    """doc_id, keys, wide: sixteen 32-bit fingerprints of the set of words and a hash of the set of shingles; 256 bits of this set's minima, and its size.
 
     With sets also mers, the sorted hashes of the set of shingles.
     """
+    import xxhash
+
     names = ["doc_id", "keys", "wide", *(["mers"] if sets else [])]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +327,8 @@ def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
                     for k in range(1, min(width, len(h))):
                         mers = mers * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mers)]
                 mers = np.unique(mers)
-                keys.append(majority(lanes(np.unique(h), TABLES // 2)))
-                wide.append(majority(lanes(mers, WIDE)) + len(mers).to_bytes(8, "little"))
+                keys.append(majority(lanes(np.unique(h), TABLES // 2)) + xxhash.xxh64_digest(mers.tobytes()))
+                wide.append(minima(mers) + len(mers).to_bytes(8, "little"))
                 own.append(mers.tobytes() if sets else None)
             columns = [pa.array(c, pa.binary()) for c in (keys, wide, *([own] if sets else []))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
@@ -320,10 +336,14 @@ def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, keys binary, wide binary" + (", mers binary" if sets else ""))
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bits in which rows of minima differ."""
+    return np.bitwise_count(x[:, :WIDE] ^ y[:, :WIDE]).sum(axis=1, dtype=np.int64)
+
+
 def may_be_alike(x: np.ndarray, y: np.ndarray, limit: int, least: float) -> np.ndarray:
-    """Of rows of wide fingerprints and sizes: within the limit, and of sizes that a Jaccard similarity of `least` allows."""
-    near = np.bitwise_count(x[:, :WIDE] ^ y[:, :WIDE]).sum(axis=1, dtype=np.int64) <= limit
-    return near & (np.minimum(x[:, WIDE], y[:, WIDE]) >= least * np.maximum(x[:, WIDE], y[:, WIDE]) - 1e-9)
+    """Of rows of minima and sizes: within the limit, and of sizes that a Jaccard similarity of `least` allows."""
+    return (apart(x, y) <= limit) & (np.minimum(x[:, WIDE], y[:, WIDE]) >= least * np.maximum(x[:, WIDE], y[:, WIDE]) - 1e-9)
 
 
 def candidates(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, radius: int, limit: int, bits: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -357,6 +377,12 @@ def candidates(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, r
             yield x[ok], y[ok]
 
 
+def common_values(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    values = np.sort(np.concatenate([p, q]), kind="stable")  # merges two runs
+    return int(np.count_nonzero(values[1:] == values[:-1]))
+
+
 def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The edges (u, v) whose texts' sets of shingles have a Jaccard similarity of at least `least`, counted exactly."""
     linked = saved(edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "node").join(nodes, "node"))
@@ -367,20 +393,21 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, le
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches, 64):
             x, y = ([np.frombuffer(m, dtype=np.uint64) for m in batch.column(c).to_pylist()] for c in (2, 3))
-            both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
+            both = [common_values(p, q) for p, q in zip(x, y)]
             keep = pa.array([n >= least * (len(p) + len(q) - n) - 1e-9 for n, p, q in zip(both, x, y)], pa.bool_())
             yield batch.select(["u", "v"]).filter(keep)
 
-    sided = edges.join(sets.select(F.col("node").alias("u"), F.col("mers").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("mers").alias("y")), "v")
+    parts = 1 + edges.count() // COUNTED  # a small table of pairs is read by few tasks, and these carry two sets a pair
+    sided = edges.repartition(parts, "u").join(sets.select(F.col("node").alias("u"), F.col("mers").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("mers").alias("y")), "v")
     return sided.select("u", "v", "x", "y").mapInArrow(task, "u long, v long")
 
 
 def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subtree: int, similarity: float) -> DataFrame:
-    """(u, v), u < v: candidates among the rows (node, wide, comp, t, p).
+    """(u, v, d): candidates among the rows (node, wide, comp, t, p) and the bits in which their minima differ.
 
     Without comp (null), the first row of every key stands for the rows with this key: it is paired with each of these
-    and with those of other keys, and of a task's pairs those of each v with its least u are given. With it, of the rows of a key that are in one component the first stands for the
-    others, and only rows of different components are paired.
+    and with those of other keys, and a task gives each u with its nearest v alone. With it, of the rows of a key that
+    are in one component the first stands for the others, only rows of different components are paired, and u < v.
     """
     dealt = deal(keyed, ["t"], prefix, radius, 32, subtree)
 
@@ -406,30 +433,40 @@ def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subt
         found = list(candidates(values[kept], None if itself else side[kept], wide[kept], radius, limit, 32, similarity))
         x, y = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*found) if found else ((), ())))
         x, y = np.append(kept[x], stars[0]), np.append(kept[y], stars[1])
-        apart = comp[x] != comp[y]
-        x, y = nodes[x[apart]], nodes[y[apart]]
-        u, v = np.minimum(x, y), np.maximum(x, y)
-        if starred:  # a node needs its least partner alone
-            order = np.lexsort((u, v))
-            u, v = u[order], v[order]
-            least = np.append(True, v[1:] != v[:-1])[: len(v)]
-            u, v = u[least], v[least]
-        return pa.table({"u": u, "v": v})
+        differ = comp[x] != comp[y]
+        x, y = x[differ], y[differ]
+        d = apart(wide[x], wide[y])
+        x, y = nodes[x], nodes[y]
+        if starred:
+            u, v, d = np.append(x, y), np.append(y, x), np.append(d, d)
+            order = np.lexsort((v, d, u))
+            u, v, d = u[order], v[order], d[order]
+            first = np.append(True, u[1:] != u[:-1])[: len(u)]
+            return pa.table({"u": u[first], "v": v[first], "d": d[first]})
+        return pa.table({"u": np.minimum(x, y), "v": np.maximum(x, y), "d": d})
+
+    return dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long, d long")
 
-    return dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long").where("u <> v")
 
+def nearest(pairs: DataFrame) -> DataFrame:
+    """pairs(u, v, d) -> (u, v), u < v: of every u the pair with its nearest v."""
+    best = pairs.groupBy("u").agg(F.min(F.struct("d", "v")).alias("to")).select("u", F.col("to.v").alias("v"))
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 60, subtree: int = SUBTREE, least: float = 0.8) -> DataFrame:
+
+def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 43, subtree: int = SUBTREE, least: float = 0.8) -> DataFrame:
     """doc_id, component_id of the documents with an id: groups of texts whose shingle sets have a similarity of `least` or more.
 
     A pair is a candidate if one of sixteen 32-bit fingerprints of their words is within the radius (found by the trie
-    join; 0.993 at a Jaccard similarity of the words of 0.8) and their 256-bit fingerprints of shingles differ in at most
-    `limit` bits (39 on average at 0.8, standard deviation 6; 128 for unrelated texts); sets of sizes that rule the
-    similarity out are none. Candidates are links if their sets of shingles, counted exactly, are that similar. Texts with equal fingerprints are one.
-
-    A large group is not compared pair by pair: first every text is compared with the first one that has its key in some
-    table; then, of what these links have joined, one text stands for all that share a key, and the pairs that are in
-    different groups are counted. A group of n texts so costs about n counts if they are alike; only texts that are all
+    join; 0.993 at a Jaccard similarity of the words of 0.8) and the 256 bits of their shingles' minima differ in at most
+    `limit` (26 on average at 0.8, standard deviation 5; 128 for unrelated texts); sets of sizes that rule the
+    similarity out are none. Candidates are links if their sets of shingles, counted exactly, are that similar. Texts
+    with equal fingerprints and sets of shingles are one.
+
+    A large group is not compared pair by pair. Every text is first compared with the nearest of those that stand for a
+    key; then, of what these links have joined, one text stands for all that share a key, and the pairs that are in
+    different groups are candidates. Of these the nearest of every text are counted, then those whose ends are still in
+    different groups. A group of n texts so costs about n counts if they are alike; only texts that are all
     candidates and none alike are counted pair by pair.
     """
     drawn = saved(sketches(docs, width).where(F.col("doc_id").isNotNull()))
@@ -439,17 +476,27 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 60, s
         prefix += 1
     table = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
     part = F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p")
-    keyed = lambda rows: rows.select("node", "wide", "comp", table.alias("t"), "keys").select("node", "wide", "comp", "t", part)
-    lone = nodes.withColumn("comp", F.lit(None).cast("long"))
-    stars = candidate_pairs(keyed(lone), radius, limit, prefix, subtree, least).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    first = saved(verified(saved(stars), nodes, docs, width, least))
-    joined = components(first).withColumnRenamed("id", "node")
-    grouped = saved(nodes.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
-    rest = saved(candidate_pairs(keyed(grouped), radius, limit, prefix, subtree, least).distinct())
-    joined = components(first.union(verified(rest, nodes, docs, width, least))).withColumnRenamed("id", "node")
-    placed = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = placed.join(names, "component").select("keys", "wide", "component_id")
+
+    def pairs(placed: DataFrame) -> DataFrame:
+        keyed = placed.select("node", "wide", "comp", table.alias("t"), "keys").select("node", "wide", "comp", "t", part)
+        return candidate_pairs(keyed, radius, limit, prefix, subtree, least)
+
+    def grouped(links: DataFrame) -> DataFrame:
+        joined = components(links).withColumnRenamed("id", "node")
+        return nodes.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+    stars = saved(nearest(pairs(nodes.withColumn("comp", F.lit(None).cast("long")))))
+    links = saved(verified(stars, nodes, docs, width, least))
+    rest = saved(pairs(saved(grouped(links))).groupBy("u", "v").agg(F.min("d").alias("d")))
+    both = rest.union(rest.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+    close = saved(nearest(both))
+    links = saved(links.union(verified(close, nodes, docs, width, least)))
+    comp = saved(grouped(links).select("node", "comp"))
+    ends = [comp.select(F.col("node").alias(e), F.col("comp").alias(f"comp_{e}")) for e in ("u", "v")]
+    left = rest.join(close, ["u", "v"], "left_anti").join(ends[0], "u").join(ends[1], "v").where("comp_u <> comp_v").select("u", "v")
+    placed = grouped(links.union(verified(saved(left), nodes, docs, width, least)))
+    names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    classes = placed.join(names, "comp").select("keys", "wide", "component_id")
     return drawn.join(classes, ["keys", "wide"]).select("doc_id", "component_id")
 
 
