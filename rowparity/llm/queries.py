@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, lm, media, packing, passages, secrets, simhash, token_counts
+from . import chat, decontam, divergence, jaccard, language, lm, media, packing, passages, secrets, simhash, token_counts, whitening
 from .common import new_path, table
 
 
@@ -61,6 +61,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_decontamination": op2_decontamination,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 
@@ -116,4 +131,41 @@ select conv_id, count(*) as n_turns,
 from marked group by conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scans": _op1_sql(), "op9_chat_formatting": _op9_sql()}
+def _op12_sql() -> str:
+    """Whole numbers of 128 bits throughout."""
+    share = lambda n, total: f"(1 + {divergence.UNIT}::hugeint * ({n} + {divergence.PRIOR}) // ({total} + {divergence.PRIOR}::hugeint * v))"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with docs as (
+    select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+    from documents
+),
+said as (select d, lang, source, unnest(terms) as term from docs),
+kept as (select lang, term, count(*) as total from said group by lang, term having count(distinct d) >= 30),
+langs as (select lang, count(*) as v, sum(total) as lang_total from kept group by lang),
+own as (select lang, source, term, count(*) as n from said semi join kept using (lang, term) group by lang, source, term),
+groups as (
+    select g.lang, g.source, coalesce(v, 0) as v, coalesce(lang_total, 0) as lang_total, coalesce(own_total, 0) as own_total
+    from (select distinct lang, source from docs) g left join langs using (lang)
+        left join (select lang, source, sum(n) as own_total from own group by lang, source) using (lang, source)
+),
+dense as (
+    select g.lang, g.source, k.term, coalesce(n, 0) as n, {share("coalesce(n, 0)", "own_total")} as p, {share("total", "lang_total")} as q
+    from groups g join kept k using (lang) left join own using (lang, source, term)
+),
+pairs as (
+    select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from dense x join dense y using (lang, term) where x.source <> y.source group by all) f
+            on f.lang = a.lang and f.source = a.source and f.item = b.source
+),
+found as (
+    select lang, source, 'pair' as part, item, value from pairs
+    union all select lang, source, 'term', term, (p - q)::bigint from dense where n > 0 and p > q
+),
+placed as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
+select * from placed where part = 'pair' or rank <= 50"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scans": _op1_sql(), "op9_chat_formatting": _op9_sql(), "op12_source_divergence": _op12_sql()}
