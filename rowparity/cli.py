@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import os
 import tempfile
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 
 from . import report
 from .operators.breakdown import totals
+from .operators.skew import HOT_ROWS
 from .plans.compare import Comparison
 from .plans.result import Summary, cache_path
 from .sources import tables
@@ -30,7 +32,8 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--kll-rel-tol", type=float, default=0.05)
     common.add_argument("--detect-partitions", action="store_true")
     common.add_argument("--coerce-numeric", action="store_true")
-    common.add_argument("--overflow", choices=["error", "null"], default="error")
+    common.add_argument("--overflow", choices=["auto", "error", "null"], default="auto")
+    common.add_argument("--hot-rows", type=int, default=HOT_ROWS, help="keys with so many rows are dealt out over several tasks; 0: none")
     common.add_argument("--fail-on-diff", action="store_true")
     shown = argparse.ArgumentParser(add_help=False)
     shown.add_argument("--format", choices=sorted(report.FORMATS), default="verbose")
@@ -62,14 +65,14 @@ def parser() -> argparse.ArgumentParser:
     breakdown = verbs.add_parser("breakdown", parents=[common])
     breakdown.add_argument("--dimension", required=True)
     breakdown.add_argument("--delta-col")
-    breakdown.add_argument("--limit", type=int)
+    breakdown.add_argument("--limit", type=int, default=1000, help="buckets to show, the first by the dimension; the totals are of all")
     return top
 
 
 def comparison(spark: SparkSession, o: argparse.Namespace) -> Comparison:
     return Comparison.of_tables(
         spark, o.table_a, o.table_b, split_names(o.keys) or [], o.tolerance, o.rel_tolerance, o.detect_partitions, o.kll_abs_tol, o.kll_rel_tol, o.partition_filter_a, o.partition_filter_b,
-        sketches=split_names(o.kll_cols) or [], int_sketches=split_names(o.kll_int_cols) or [], geography=split_names(o.geo_cols) or [], coerce_numeric=o.coerce_numeric, overflow=o.overflow,
+        sketches=split_names(o.kll_cols) or [], int_sketches=split_names(o.kll_int_cols) or [], geography=split_names(o.geo_cols) or [], coerce_numeric=o.coerce_numeric, overflow=o.overflow, hot_rows=o.hot_rows or None,
     )
 
 
@@ -85,14 +88,35 @@ def run_diff(c: Comparison, o: argparse.Namespace) -> bool:
         n = tables.persist(c.diff(columns), o.output_table, o.write_mode, o.expiration_hours)
         print(f"{n:,} rows in {o.output_table}")
         return n > 0
-    rows = c.diff(columns, o.limit).collect()
-    lines = report.rows_text(rows)
-    print(f"{len(rows):,} differing rows (limit {o.limit:,})", *lines[: o.max_display_rows], sep="\n")
-    if len(lines) > o.max_display_rows:
-        path = Path(tempfile.gettempdir()) / f"rowparity_diff_{time.strftime('%Y%m%d_%H%M%S')}.txt"
-        path.write_text("\n".join(lines) + "\n")
-        print(f"... all {len(lines):,} rows are in {path}")
-    return bool(rows)
+    rows = c.diff(columns, o.limit)
+    n, path = show(rows.toLocalIterator(), o.max_display_rows)
+    print(f"{n:,} differing rows (limit {o.limit:,})")
+    if path:
+        print(f"... all {n:,} rows are in {path}")
+    return n > 0
+
+
+def show(rows: Iterator[Row], most: int) -> tuple[int, Path | None]:
+    """Print the first rows; if there are more, all go to a file as they come, so that only a partition's are held. (rows, the file)"""
+    n, path, out = 0, None, None
+    first: list[str] = []
+    try:
+        for row in rows:
+            n += 1
+            line = report.rows_text([row])[0]
+            if n <= most:
+                first.append(line)
+                print(line)
+                continue
+            if out is None:
+                handle, name = tempfile.mkstemp(prefix=f"rowparity_diff_{time.strftime('%Y%m%d_%H%M%S')}_", suffix=".txt")
+                path, out = Path(name), os.fdopen(handle, "w")
+                out.writelines(f"{x}\n" for x in first)
+            out.write(line + "\n")
+    finally:
+        if out is not None:
+            out.close()
+    return n, path
 
 
 def run_summary(c: Comparison, o: argparse.Namespace) -> bool:
@@ -106,10 +130,17 @@ def run_summary(c: Comparison, o: argparse.Namespace) -> bool:
 
 
 def run_breakdown(c: Comparison, o: argparse.Namespace) -> bool:
-    buckets = c.breakdown(o.dimension, o.delta_col, o.limit).persist()
-    rows = buckets.collect()
-    print(report.breakdown(o.dimension, rows, totals(buckets).first()))
-    return any(r["total"] for r in rows)
+    buckets = c.breakdown(o.dimension, o.delta_col).persist()
+    try:
+        all_ = totals(buckets).first()
+        rows = buckets.limit(o.limit).collect()
+        n = buckets.count()
+    finally:
+        buckets.unpersist()
+    print(report.breakdown(o.dimension, rows, all_))
+    if n > len(rows):
+        print(f"  ... the first {len(rows):,} of {n:,} buckets (--limit)")
+    return bool(all_["total"])
 
 
 def run_verify(c: Comparison, o: argparse.Namespace) -> bool:

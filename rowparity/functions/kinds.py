@@ -18,17 +18,20 @@ from .tolerance import Tolerance
 class Settings:
     """What a comparison's expressions depend on beside the columns.
 
-    overflow: what a difference of whole numbers beyond their type gives, an "error" or "null".
+    overflow: what a difference of whole numbers beyond 64 bits gives, an "error" or "null" (a summary then
+    warns). "auto": null in summaries, an error in diffs.
+    hot_rows: keys with so many rows, or pairs of rows, are dealt out over parts of the join; None: no key is.
     """
 
     tolerance: Tolerance = Tolerance()
     sketch_absolute: float = 0.0
     sketch_relative: float = 0.05
-    overflow: str = "error"
+    overflow: str = "auto"
+    hot_rows: int | None = None
 
     def __post_init__(self) -> None:
-        if self.overflow not in ("error", "null"):
-            raise ValueError("overflow must be error or null")
+        if self.overflow not in ("auto", "error", "null"):
+            raise ValueError("overflow must be auto, error or null")
 
 
 class Kind:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import Settings
 from ..sources.schema import Column
+from .skew import dealt, hot_keys
 
 
 def all_of(conditions: Sequence[Expr]) -> Expr:
@@ -32,18 +33,26 @@ def spread(side: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
     return side.withColumn(f"{name} spread", F.when(none, F.xxhash64(*[F.col(f"`{c}`") for c in side.columns])).otherwise(F.lit(0).cast("long")))
 
 
-def align(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column]) -> DataFrame:
+def align(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column], hot_rows: int | None = None) -> DataFrame:
     """keys, in_a, in_b, and a__<column>, b__<column> for every value.
 
     Keys match by plain equality, so a null key matches nothing. A row is in a table if its first key there is not null.
     Rows with a null key only pass through the join; a part of the key made of their values deals them out over all tasks.
+    hot_rows: keys with so many rows, or pairs of rows, are dealt out as well, at the cost of reading the keys before.
     """
     columns = [*keys, *values]
     left, right = spread(leaves(a, columns, "a__"), keys, "a"), spread(leaves(b, columns, "b__"), keys, "b")
     parts = [F.col(f"a__{k.alias}") == F.col(f"b__{k.alias}") for k in keys] + [F.col("a spread") == F.col("b spread")]
+    if hot_rows is not None:
+        hot = hot_keys(leaves(a, keys), leaves(b, keys), [k.alias for k in keys], hot_rows)
+        left, right = (dealt(x, n, [f"{n}__{k.alias}" for k in keys], hot) for x, n in ((left, "a"), (right, "b")))
+        parts.append(F.col("a part") == F.col("b part"))
     joined = left.join(right, all_of(parts), "full_outer")
-    merged = [F.coalesce(f"a__{k.alias}", f"b__{k.alias}").alias(k.alias) for k in keys]
     first = keys[0].alias
+    if hot_rows is not None:  # a repeated row has its partner in another part
+        alone = F.col(f"a__{first}").isNull() | F.col(f"b__{first}").isNull()
+        joined = joined.where(~(alone & F.coalesce("a hot", "b hot")))
+    merged = [F.coalesce(f"a__{k.alias}", f"b__{k.alias}").alias(k.alias) for k in keys]
     present = [F.col(f"{side}__{first}").isNotNull().alias(f"in_{side}") for side in "ab"]
     return joined.select(*merged, *present, *[F.col(f"{side}__{v.alias}") for v in values for side in "ab"])
 

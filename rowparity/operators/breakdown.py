@@ -22,7 +22,7 @@ def breakdown(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequen
     aliases = {v.name: v.alias for v in values}
     if dimension in aliases:
         c = aliases[dimension]
-        rows = differing(align(a, b, keys, values), [Pair(v, how) for v in values]).withColumn("dimension", F.coalesce(f"a__{c}", f"b__{c}"))
+        rows = differing(align(a, b, keys, values, how.hot_rows), [Pair(v, how) for v in values]).withColumn("dimension", F.coalesce(f"a__{c}", f"b__{c}"))
         measured = next((Pair(v, how) for v in values if v.name == delta_column and isinstance(v.strategy, Numeric)), None)
         deltas = measured.deltas if measured else {}
     else:

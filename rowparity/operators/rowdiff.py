@@ -27,7 +27,7 @@ def differing(aligned: DataFrame, pairs: Sequence[Pair], columns: Collection[str
 def diff(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column], how: Settings = Settings(), columns: Collection[str] | None = None) -> DataFrame:
     """keys, in_a, in_b, then for every chosen column a__, b__, its differences and, with a tolerance, __within_tolerance."""
     pairs = [Pair(v, how) for v in values]
-    rows = differing(align(a, b, keys, values), pairs, columns)
+    rows = differing(align(a, b, keys, values, how.hot_rows), pairs, columns)
     out = [F.col(k.alias) for k in keys] + [F.col("in_a"), F.col("in_b")]
     for p in pairs:
         if columns is not None and p.column.name not in columns:
@@ -46,4 +46,4 @@ def first_rows(rows: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
 
 def count(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column], how: Settings = Settings()) -> DataFrame:
     """One row: diff_rows."""
-    return differing(align(a, b, keys, values), [Pair(v, how) for v in values]).agg(F.count("*").alias("diff_rows"))
+    return differing(align(a, b, keys, values, how.hot_rows), [Pair(v, how) for v in values]).agg(F.count("*").alias("diff_rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column as Expr
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import Settings
 from ..sources.schema import Column
-from .align import Pair, align, all_of, excusable
+from .align import Pair, align, all_of, any_of, excusable
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class Layers:
 
 def layers(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column], how: Settings = Settings()) -> Layers:
     pairs = [Pair(v, how) for v in values]
-    flagged = align(a, b, keys, values).withColumns({f"{p.column.alias}__eq": p.equal for p in pairs} or {"__none": F.lit(None)})
+    flagged = align(a, b, keys, values, how.hot_rows).withColumns({f"{p.column.alias}__eq": p.equal for p in pairs} or {"__none": F.lit(None)})
     same = all_of([F.col(f"{p.column.alias}__eq") for p in pairs])
     rows = flagged.where(~(F.col("in_a") & F.col("in_b") & same))
     return Layers(rows, pairs, excusable(pairs))
@@ -70,7 +70,13 @@ def statistics(found: Layers, legacy: bool = False) -> dict[str, Expr]:
     return out
 
 
-def summarize(found: Layers, legacy: bool = False, flags_only: bool = False) -> DataFrame:
-    """One row. flags_only: what the breaker needs, without differences."""
-    wanted = row_counts(found) | ({} if flags_only else statistics(found, legacy))
+def overflowed(found: Layers) -> Expr:
+    """Rows of which a difference of whole numbers is beyond 64 bits, and so null."""
+    lost = [p.a.isNotNull() & p.b.isNotNull() & p.deltas["delta"].isNull() for p in found.pairs if p.kind.name == "INTEGER" and p.how.overflow == "null"]
+    return F.count_if(found.both & any_of(lost))
+
+
+def summarize(found: Layers, legacy: bool = False, flags_only: bool = False, more: Mapping[str, Expr] | None = None) -> DataFrame:
+    """One row. flags_only: what the breaker needs, without differences; more: further aggregates."""
+    wanted = row_counts(found) | ({} if flags_only else statistics(found, legacy)) | (more or {})
     return found.rows.agg(*[x.alias(name) for name, x in wanted.items()])

@@ -22,10 +22,12 @@ def verify(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[
     parents = {n.split(".")[0] for n in differing if "." in n}
     kept = [v for v in values if v.name not in differing and v.name.split(".")[0] not in parents and v.kind not in NOT_BY_VALUE]
     columns = [*keys, *kept]
+    names = [f"`{c.alias}`" for c in columns]
     sides = []
-    for df in (a, b):
-        flat = leaves(df, columns)
-        sides.append(flat.withColumns({v.alias: F.array_sort(v.alias) for v in kept if v.kind == "ARRAY"} or {keys[0].alias: F.col(keys[0].alias)}))
-    names = [c.alias for c in columns]
-    tagged = [x.subtract(y).select(F.lit(which).alias("which"), *names) for which, x, y in (("missing_in_a", sides[1], sides[0]), ("missing_in_b", sides[0], sides[1]))]
-    return tagged[0].unionAll(tagged[1]).orderBy(*[F.col(k.alias).asc_nulls_first() for k in keys], "which")
+    for here, df in (("b", a), ("a", b)):  # a row of a may be missing in b
+        flat = leaves(df, columns).select(*[F.array_sort(n).alias(c.alias) if c.kind == "ARRAY" else F.col(n) for n, c in zip(names, columns)])
+        sides.append(flat.select(*names, F.lit(f"missing_in_{here}").alias("which")))
+    # one aggregate by the whole row: it is in one table only if all its copies say the same
+    rows = sides[0].unionAll(sides[1]).groupBy(*names).agg(F.min("which").alias("which"), F.max("which").alias("__other"))
+    only = rows.where(F.col("which") == F.col("__other")).select("which", *names)
+    return only.orderBy(*[F.col(f"`{k.alias}`").asc_nulls_first() for k in keys], "which")

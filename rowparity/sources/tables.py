@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 import warnings
 from collections.abc import Mapping
 from datetime import datetime, timedelta, timezone
@@ -40,11 +41,26 @@ def any_partition(column: str, sentinel: str = SENTINEL_DATE) -> Column:
     return c.isNull() | (F.to_date(c) != F.lit(sentinel).cast("date"))
 
 
+def partition_columns(df: DataFrame) -> list[str]:
+    """The columns that partition the files a frame reads, in their order: of the scan's own file index, so paths count too."""
+    found: dict[str, None] = {}
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found |= dict.fromkeys(leaf.relation().partitionSchema().fieldNames())
+        elif leaf.getClass().getSimpleName() == "HiveTableRelation":
+            cols = leaf.partitionCols()
+            found |= dict.fromkeys(cols.apply(k).name() for k in range(cols.size()))
+    return list(found)
+
+
 def partition_column(spark: SparkSession, table: str) -> str | None:
-    """The first partition column of a catalog table; None if there is none or it cannot be told."""
+    """The first partition column of a table by name or path; None if there is none or it cannot be told."""
     try:
-        return next((c.name for c in spark.catalog.listColumns(table) if c.isPartition), None)
-    except Exception as e:  # a path, a view, or no such table: detection never fails
+        df = open_table(spark, table)
+        return next((c for c in partition_columns(df) if c in df.columns), None)
+    except Exception as e:  # no such table, or one that cannot be read: detection never fails
         warnings.warn(f"no partition column found for {table}: {type(e).__name__}", stacklevel=2)
         return None
 
@@ -61,18 +77,77 @@ def scan(spark: SparkSession, table: str, predicate: str | None = None, require_
 # --- sinks
 
 
+MODES = ("replace", "if_not_exists", "error")
+#: How long tables that a broken-off commit leaves behind may stay until purge_expired() drops them.
+STAGED_HOURS = 24
+
+
 def persist(df: DataFrame, table: str, mode: str = "replace", expiry_hours: float | None = None) -> int:
     """Write as a catalog table and return its number of rows. mode: replace, if_not_exists or error."""
-    modes = {"replace": "overwrite", "if_not_exists": "ignore", "error": "errorifexists"}
-    if mode not in modes:
-        raise ValueError(f"mode must be one of {', '.join(modes)}")
-    spark = df.sparkSession
-    fresh = not spark.catalog.tableExists(table)
-    df.write.mode(modes[mode]).saveAsTable(table)
-    if expiry_hours and (fresh or mode != "if_not_exists"):
-        at = datetime.now(timezone.utc) + timedelta(hours=expiry_hours)
+    return commit({table: df}, mode, expiry_hours)[table]
+
+
+def commit(frames: Mapping[str, DataFrame], mode: str = "replace", expiry_hours: float | None = None) -> dict[str, int]:
+    """Write all of them as catalog tables, or none: table -> its number of rows.
+
+    Every frame is written to a table of its own beside its target first. Only when all are there do targets change, by
+    renaming, and a failure on the way renames back what has changed. A table to be replaced can be read until then, by
+    the frames too. Between the renames of one table there is a moment without it.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if not frames:
+        return {}
+    spark = next(iter(frames.values())).sparkSession
+    there = {t for t in frames if spark.catalog.tableExists(t)}
+    if mode == "error" and there:
+        raise ValueError(f"the table already exists: {', '.join(sorted(there))}")
+    new = {t: df for t, df in frames.items() if mode != "if_not_exists" or t not in there}
+    tag = uuid.uuid4().hex[:12]
+    staged, old = {t: f"{t}__new_{tag}" for t in new}, {t: f"{t}__old_{tag}" for t in new if t in there}
+    counts = {}
+    try:
+        for t, df in new.items():
+            df.write.mode("errorifexists").saveAsTable(staged[t])
+            set_expiry(spark, staged[t], STAGED_HOURS)
+            counts[t] = spark.table(staged[t]).count()
+        swap(spark, staged, old)
+    except BaseException:
+        for name in staged.values():
+            spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
+        raise
+    for t in new:
+        set_expiry(spark, t, expiry_hours)
+    for name in old.values():
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
+    return {t: counts[t] if t in counts else spark.table(t).count() for t in frames}
+
+
+def swap(spark: SparkSession, staged: Mapping[str, str], old: Mapping[str, str]) -> None:
+    """Put every staged table in its target's place, whose former table gets the name in old; all, or back to before."""
+    done: list[tuple[str, str]] = []
+    try:
+        for target, name in staged.items():
+            for start, end in ([(target, old[target])] if target in old else []) + [(name, target)]:
+                rename(spark, start, end)
+                done.append((start, end))
+    except BaseException:
+        for start, end in reversed(done):
+            rename(spark, end, start)
+        raise
+
+
+def rename(spark: SparkSession, start: str, end: str) -> None:
+    spark.sql(f"ALTER TABLE {quoted(start)} RENAME TO {quoted(end)}")
+
+
+def set_expiry(spark: SparkSession, table: str, hours: float | None) -> None:
+    """When purge_expired() may drop the table; never, without hours."""
+    if hours:
+        at = datetime.now(timezone.utc) + timedelta(hours=hours)
         spark.sql(f"ALTER TABLE {quoted(table)} SET TBLPROPERTIES ('{EXPIRES_AT}' = '{at.isoformat()}')")
-    return spark.table(table).count()
+    else:
+        spark.sql(f"ALTER TABLE {quoted(table)} UNSET TBLPROPERTIES IF EXISTS ('{EXPIRES_AT}')")
 
 
 def quoted(table: str) -> str:
