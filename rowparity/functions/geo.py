@@ -68,22 +68,21 @@ def _vertices(words: Column) -> Column:
     return F.transform(F.split(words, ","), one)
 
 
-def _part(kind: int, rings: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), rings.alias("rings"))
+def _part(kind: int | Column, rings: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, int) else kind).alias("kind"), rings.alias("rings"))
 
 
 def _member(words: Column) -> Column:
     """The parts of one geometry, compact and upper-case, without the brackets around its body."""
     name = F.regexp_extract(words, NAMES, 2)
     body = F.regexp_replace(F.regexp_replace(words, "^[A-Z]+", ""), r"^\(+|\)+$", "")
+    kind = F.when(name == "POINT", 0).when(name == "LINESTRING", 1).otherwise(2)
+    body = F.when(name == "POINT", F.regexp_replace(body, "[()]", "")).otherwise(body)
+    between_parts = F.when(name == "POINT", ",").when(name == "LINESTRING", r"\),\(").otherwise(r"\)\),\(\(")
     rings = lambda x: F.transform(F.split(x, r"\),\("), _vertices)
     none = F.array().cast(f"array<struct<kind:int,rings:array<array<{VERTEX}>>>>")
-    return (
-        F.when((name != "") & words.endswith("EMPTY"), none)
-        .when(name == "POINT", F.transform(F.split(F.regexp_replace(body, "[()]", ""), ","), lambda p: _part(0, F.array(_vertices(p)))))
-        .when(name == "LINESTRING", F.transform(F.split(body, r"\),\("), lambda p: _part(1, F.array(_vertices(p)))))
-        .when(name == "POLYGON", F.transform(F.split(body, r"\)\),\(\("), lambda p: _part(2, rings(p))))
-    )
+    parts = F.transform(F.split(body, between_parts), lambda p: _part(kind, rings(p)))
+    return F.when(name != "", F.when(words.endswith("EMPTY"), none).otherwise(parts))
 
 
 def shape(value: Column, struct: bool = False) -> Column:
@@ -102,6 +101,11 @@ def shape(value: Column, struct: bool = False) -> Column:
     return F.when(opened, let(parts, lambda ps: F.when(F.forall(ps, sound), ps)))
 
 
+def of_both(a: Column, b: Column, what: Callable[[Column], Column], then: Callable[[Column, Column], Column]) -> Column:
+    """then(what(a), what(b)), with what() in the expression once."""
+    return let(F.transform(F.array(a, b), lambda v: what(v)), lambda xs: then(F.get(xs, 0), F.get(xs, 1)))
+
+
 # --- the same shape
 
 
@@ -197,7 +201,8 @@ def equal(a: Column, b: Column, struct: bool) -> Column:
     same = (lat_a == lat_b) & ((F.abs(lat_a) == 90) | (lon_a == lon_b) | ((F.abs(lon_a) == 180) & (F.abs(lon_b) == 180)))
     if struct:
         return F.when(points, same).otherwise(a.eqNullSafe(b))
-    shapes = let(shape(a), lambda x: let(shape(b), lambda y: F.when(x.isNotNull() & y.isNotNull(), canonical(x) == canonical(y)).otherwise(F.lit(False))))
+    same_shape = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), of_both(x, y, canonical, lambda p, q: p == q)).otherwise(F.lit(False))
+    shapes = of_both(a, b, shape, same_shape)
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(a == b, F.lit(True)).when(points, same).otherwise(shapes)
 
 
@@ -230,23 +235,19 @@ def meeting(d: Column, p: Column, q: Column) -> Column:
     return F.struct(d.alias("d"), p.alias("p"), q.alias("q"))
 
 
-def to_arc(p: Column, arc: Column, turned: bool) -> Column:
-    """meeting() of a point and an arc; turned: the point belongs to the second shape."""
-    a, b = arc.getField("a"), arc.getField("b")
-    met = lambda d, q: meeting(d, q, p) if turned else meeting(d, p, q)
+def to_arc(case: Column) -> Column:
+    """meeting() of a point p and the arc from a to b; turned: the point belongs to the second shape."""
+    p, a, b = (case.getField(n) for n in "pab")
 
     def found(n: Column) -> Column:
         # n: normal of the arc's great circle; the foot is on the arc if p is ahead of a and before b
         on = (dot(cross(n, a), p) > 0) & (dot(cross(b, n), p) > 0)
+        flat = let(F.try_divide(dot(n, p), dot(n, n)), lambda share: of_xyz(*(x - share * y for x, y in zip(xyz(p), xyz(n)))))
+        foot = let(flat, lambda f: let(norm(f), lambda size: of_xyz(*(F.try_divide(x, size) for x in xyz(f)))))
+        return F.array_min(F.transform(F.when(on, F.array(foot)).otherwise(F.array(a, b)), lambda q: meeting(angle(p, q), p, q)))
 
-        def foot() -> Column:
-            along = lambda size: F.transform(F.array(of_xyz(*(x - F.try_divide(dot(n, p) * y, size) for x, y in zip(xyz(p), xyz(n))))), lambda f: of_xyz(*(F.try_divide(x, norm(f)) for x in xyz(f))))
-            return let(dot(n, n), lambda size: let(F.get(along(size), 0), lambda f: met(angle(p, f), f)))
-
-        ends = F.least(met(angle(p, a), a), met(angle(p, b), b))
-        return F.when(on, foot()).otherwise(ends)
-
-    return let(cross(a, b), found)
+    turn = lambda m: F.when(case.getField("turned"), meeting(m.getField("d"), m.getField("q"), m.getField("p"))).otherwise(m)
+    return let(let(cross(a, b), found), turn)
 
 
 def crosses(s: Column, t: Column) -> Column:
@@ -263,8 +264,9 @@ def crosses(s: Column, t: Column) -> Column:
 
 def arc_pair(s: Column, t: Column) -> Column:
     zero = meeting(F.lit(0.0), s.getField("a"), s.getField("a"))
-    tries = [to_arc(s.getField("a"), t, False), to_arc(s.getField("b"), t, False), to_arc(t.getField("a"), s, True), to_arc(t.getField("b"), s, True)]
-    return F.when(crosses(s, t), zero).otherwise(F.array_min(F.array(*tries)))
+    case = lambda end, mine, theirs, turned: F.struct(mine.getField(end).alias("p"), theirs.getField("a").alias("a"), theirs.getField("b").alias("b"), F.lit(turned).alias("turned"))
+    cases = F.array(case("a", s, t, False), case("b", s, t, False), case("a", t, s, True), case("b", t, s, True))
+    return F.when(crosses(s, t), zero).otherwise(F.array_min(F.transform(cases, to_arc)))
 
 
 def inside(parts: Column, p: Column) -> Column:
@@ -284,13 +286,14 @@ def inside(parts: Column, p: Column) -> Column:
 def closest(a: Column, b: Column) -> Column:
     """meeting() of two shapes; null if either is empty. A shape inside a polygon of the other is at no distance."""
 
-    def covered(x: Column, y: Column) -> Column:
-        """A first vertex of y's parts that x's polygons hold."""
-        firsts = F.transform(y, lambda p: vector(F.get(F.get(p.getField("rings"), 0), 0)))
-        return F.get(F.filter(firsts, lambda v: inside(x, v)), 0)
+    def covered(pair: Column) -> Column:
+        """The first vertices of y's parts that x's polygons hold."""
+        firsts = F.transform(pair.getField("y"), lambda p: vector(F.get(F.get(p.getField("rings"), 0), 0)))
+        return F.filter(firsts, lambda v: inside(pair.getField("x"), v))
 
-    pairs = let(arcs(a), lambda s: let(arcs(b), lambda t: F.array_min(F.flatten(F.transform(s, lambda x: F.transform(t, lambda y: arc_pair(x, y)))))))
-    held = F.coalesce(covered(a, b), covered(b, a))
+    pairs = of_both(a, b, arcs, lambda s, t: F.array_min(F.flatten(F.transform(s, lambda x: F.transform(t, lambda y: arc_pair(x, y))))))
+    ways = F.array(F.struct(a.alias("x"), b.alias("y")), F.struct(b.alias("x"), a.alias("y")))
+    held = F.get(F.flatten(F.transform(ways, covered)), 0)
     return let(held, lambda v: F.when(v.isNotNull(), meeting(F.lit(0.0), v, v)).otherwise(pairs))
 
 
@@ -314,17 +317,23 @@ def apart(a: Column, b: Column) -> Column:
         wide = (p.getField("r") > 1.5) | (q.getField("r") > 1.5)
         return F.when(wide, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), angle(p.getField("c"), q.getField("c")) - r - 1e-9))
 
-    return let(cap(a), lambda p: let(cap(b), lambda q: F.coalesce(found(p, q), F.lit(0.0))))
+    return of_both(a, b, cap, lambda p, q: F.coalesce(found(p, q), F.lit(0.0)))
 
 
 def _by_kind(a: Column, b: Column, struct: bool, points: Callable[..., Column], shapes: Callable[[Column, Column], Column]) -> Column:
     """points(radians of both) where both are points, else shapes(parts of both); null if either is null or no shape."""
     where = [F.radians(coordinate(x, p, struct)) for x in (a, b) for p in ("lon", "lat")]
-    both = where[0].isNotNull() & where[1].isNotNull() & where[2].isNotNull() & where[3].isNotNull()
-    if struct:
-        return F.when(both, points(*where))
-    other = let(shape(a), lambda x: let(shape(b), lambda y: F.when(x.isNotNull() & y.isNotNull(), shapes(x, y))))
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(both, points(*where)).otherwise(other))
+    of = lambda x: [x.getField(f"c{i}") for i in range(4)]
+    at = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(where)])
+
+    def chosen(x: Column) -> Column:
+        both = of(x)[0].isNotNull() & of(x)[1].isNotNull() & of(x)[2].isNotNull() & of(x)[3].isNotNull()
+        if struct:
+            return F.when(both, points(*of(x)))
+        known = lambda p, q: F.when(p.isNotNull() & q.isNotNull(), shapes(p, q))
+        return F.when(both, points(*of(x))).otherwise(of_both(a, b, shape, known))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(at, chosen))
 
 
 def sphere_distance(a: Column, b: Column, struct: bool) -> Column:
@@ -334,19 +343,24 @@ def sphere_distance(a: Column, b: Column, struct: bool) -> Column:
 
 def spheroid_distance(a: Column, b: Column, struct: bool) -> Column:
     """Metres along a geodesic of the ellipsoid; of shapes, between the places that are nearest on the sphere."""
+    ends = lambda *where: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(where)])
 
-    def ends(met: Column) -> Column:
+    def nearest(met: Column) -> Column:
         where = [f for v in (met.getField("p"), met.getField("q")) for f in (F.atan2(v.getField("y"), v.getField("x")), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.getField("z")))))]
-        return F.when(met.getField("d") == 0, F.lit(0.0)).otherwise(geodesic.distance(*where))
+        return F.when(met.getField("d") == 0, ends(*[F.lit(0.0)] * 4)).otherwise(ends(*where))
 
-    return _by_kind(a, b, struct, geodesic.distance, lambda x, y: let(closest(x, y), ends))
+    found = _by_kind(a, b, struct, ends, lambda x, y: let(closest(x, y), nearest))
+    return let(found, lambda x: geodesic.distance(*[x.getField(f"c{i}") for i in range(4)]))
 
 
 def within(a: Column, b: Column, absolute: float | None, struct: bool) -> Column:
-    """Never null: on the sphere, absolute only; both null: true; no bound: true. Caps rule far shapes out."""
+    """Never null: on the sphere, absolute only; both null: true; no bound: true. Caps rule far shapes out.
+
+    What has no distance compares as it stands: two empty shapes are together, text that is no shape only with itself.
+    """
     if absolute is None:
         return F.lit(True)
     angle_ = F.lit(absolute / SPHERE_RADIUS)
-    shapes = lambda x, y: F.when(apart(x, y) > angle_, F.lit(False)).otherwise(F.lit(SPHERE_RADIUS) * closest(x, y).getField("d") <= absolute)
+    shapes = lambda x, y: F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(True)).when(apart(x, y) > angle_, F.lit(False)).otherwise(F.lit(SPHERE_RADIUS) * closest(x, y).getField("d") <= absolute)
     near = _by_kind(a, b, struct, lambda *where: F.lit(SPHERE_RADIUS) * sphere_points(*where) <= absolute, shapes)
-    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(near, equal(a, b, struct))).otherwise(a.isNull() & b.isNull())
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(near, a.eqNullSafe(b))).otherwise(a.isNull() & b.isNull())

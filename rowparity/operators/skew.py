@@ -74,7 +74,8 @@ def dealt(side: DataFrame, name: str, keys: Sequence[str], hot: DataFrame) -> Da
     on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"`hot {i}`") for i, k in enumerate(keys)])
     joined = side.join(F.broadcast(known), on, "left")
     parts = F.coalesce("`hot parts`", F.lit(1))
-    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in side.columns]), parts).cast("int")
+    # by the row and the partition it comes from: a repeated task deals alike, and copies of a row are not all in one part
+    own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in side.columns], F.spark_partition_id()), parts).cast("int")
     repeated = F.coalesce("`hot both`", F.lit(False)) & (F.col("`hot side`") != name)
     every = F.when(repeated, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
     kept = [F.col(f"`{c}`") for c in side.columns]

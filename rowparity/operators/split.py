@@ -50,15 +50,16 @@ def may_match(source: DataFrame, hashed: Expr, bits: DataFrame) -> DataFrame:
 
 
 def side(source: DataFrame, keys: Sequence[Column], which: str, wanted: DataFrame) -> DataFrame:
-    """Rows of the source whose key is marked for it: a semi-join, so duplicate keys don't multiply.
+    """Rows of the source whose key is marked for it, joined with the distinct keys, so duplicate keys don't multiply.
 
-    A filter of the keys, broadcast, drops most other rows before the source is shuffled.
+    A filter of the keys, broadcast, drops most other rows before the source is shuffled. (A semi-join would be planned
+    below the filter's join, which would then come too late.)
     """
     names = [f"__key_{k.alias}" for k in keys]
-    mine = wanted.where(f"for_{which}").select(*[F.col(f"`{n}`") for n in names])
+    mine = wanted.where(f"for_{which}").select(*[F.col(f"`{n}`") for n in names]).distinct()
     own = source.withColumns({f"__own_{k.alias}": F.col(k.path) for k in keys})
     own_names = [f"__own_{k.alias}" for k in keys]
     known = own.where(all_of([F.col(f"`{n}`").isNotNull() for n in own_names]))
     left = may_match(known, _place(known, own_names), key_filter(mine, names))
     on = all_of([F.col(f"`{o}`") == F.col(f"`{n}`") for o, n in zip(own_names, names)])
-    return left.join(mine, on, "left_semi").select(*[F.col(f"`{c}`") for c in source.columns])
+    return left.join(mine, on).select(*[F.col(f"`{c}`") for c in source.columns])

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import Settings
-from ..functions.tolerance import DEFAULT_ABSOLUTE, DEFAULT_RELATIVE, Tolerance, from_options, parse
+from ..functions.tolerance import DEFAULT_ABSOLUTE, DEFAULT_RELATIVE, Tolerance
 from ..operators import breakdown as breakdowns
 from ..operators import rowdiff, summary
 from ..operators.align import Pair, align
 from ..sources.schema import describe, intersect
 from ..sources.tables import any_partition
-from . import oracle
+from . import kept, oracle, places
 from .compare import Comparison
 from .oracle import Spec
 
@@ -126,6 +126,11 @@ def compared(spark: SparkSession, sf_dir: str, s: Spec) -> Comparison:
     return Comparison(frame(spark, sf_dir, s.a), frame(spark, sf_dir, s.b), list(s.keys), how)
 
 
+def hot(spark: SparkSession, sf_dir: str) -> Comparison:
+    """A comparison whose hot keys are dealt out, from a few rows on."""
+    return Comparison(frame(spark, sf_dir, kept.HOT.a), frame(spark, sf_dir, kept.HOT.b), list(kept.HOT.keys), Settings(hot_rows=kept.HOT_ROWS))
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Sums of floating-point numbers depend on their order."""
     return df.select(*[F.round(F.col(n).cast("double"), places).alias(n) if t in ("double", "float") or t.startswith("decimal") else F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
@@ -281,15 +286,6 @@ def column_kinds(spark: SparkSession, d: str) -> DataFrame:
 COLUMN_KINDS_SQL = "select * from (values ('p_partkey', 'INTEGER', 'bigint', false), ('p_brand', 'STRING', 'string', false), ('p_retailprice', 'FLOAT', 'double', false), ('more.p_size', 'INTEGER', 'int', false), ('more.names', 'ARRAY', 'array<string>', false), ('pairs', 'ARRAY', 'array<struct<p_size:int,p_brand:string>>', false), ('grid', 'UNSUPPORTED', 'array<array<int>>', true), ('by_brand', 'UNSUPPORTED', 'map<string,int>', true)) t(column_name, kind, type, excluded)"
 
 
-def tolerance_options(spark: SparkSession, d: str) -> DataFrame:
-    """Options as on the command line, one set merged with another."""
-    sets = {"defaults": from_options(None, None), "off": from_options("0", "1e-6"), "columns": parse("x:0.5,y:2", "1e-6"), "merged": parse("x:0.5,y:2", "1e-6").merged(parse("0.25", "y:1e-3"))}
-    return spark.createDataFrame([(name, c, t.absolute_of(c), t.relative_of(c)) for name, t in sets.items() for c in ("x", "y", "z")], "options string, column_name string, absolute double, relative double")
-
-
-TOLERANCE_SQL = "select options, column_name, absolute::double as absolute, relative::double as relative from (values ('defaults', 'x', 1e-15, 1e-12), ('defaults', 'y', 1e-15, 1e-12), ('defaults', 'z', 1e-15, 1e-12), ('off', 'x', null, 1e-6), ('off', 'y', null, 1e-6), ('off', 'z', null, 1e-6), ('columns', 'x', 0.5, 1e-6), ('columns', 'y', 2, 1e-6), ('columns', 'z', null, 1e-6), ('merged', 'x', 0.5, 1e-6), ('merged', 'y', 2, 1e-3), ('merged', 'z', 0.25, 1e-6)) t(options, column_name, absolute, relative)"
-
-
 def differing_columns_sql(s: Spec) -> str:
     rows = " union all ".join(f"select '{v}' as column_name, {v}__diff_count as diff_rows from found where {v}__diff_count > 0" for v in s.kinds)
     return f"with found as ({oracle.summary(s)}) {rows}"
@@ -357,7 +353,14 @@ QUERIES: dict[str, Query] = {name: summary_of(*how) for name, how in SUMMARIES.i
     "breakdown_totals": lambda s, d: breakdowns.totals(compared(s, d, TOLERANT).breakdown("o_orderstatus")),
     "summary_result": summary_result,
     "column_kinds": column_kinds,
-    "tolerance_options": tolerance_options,
+    "tolerance_options": kept.tolerances_applied(BY_COLUMN, lambda s, d: (frame(s, d, BY_COLUMN.a), frame(s, d, BY_COLUMN.b))),
+    "persisted_diff": lambda s, d: kept.persisted_diff(compared(s, d, TOLERANT)),
+    "split_written": lambda s, d: kept.split_written(compared(s, d, TOLERANT)),
+    "partition_detect": kept.partition_detect,
+    "report_cells": lambda s, d: kept.report_cells(compared(s, d, TOLERANT)),
+    "hot_key_rows": lambda s, d: hot(s, d).diff(),
+    "hot_key_summary": lambda s, d: rounded(summary.summarize(hot(s, d).layers())),
+    **places.QUERIES,
     "kll_bigint": kll_bigint,
     "kll_stats": lambda s, d: kll_bigint(s, d, True),
     "geo_counts": geo_counts,
@@ -409,7 +412,14 @@ ORACLE_SQL: dict[str, str] = {name: _duck(oracle.summary(s, legacy)) for name, (
     "breakdown_totals": f"select sum(only_in_a)::bigint as only_in_a, sum(only_in_b)::bigint as only_in_b, sum(in_both_diff)::bigint as in_both_diff, sum(total)::bigint as total from ({oracle.breakdown(TOLERANT, 'o_orderstatus')})",
     "summary_result": summary_result_sql(),
     "column_kinds": COLUMN_KINDS_SQL,
-    "tolerance_options": TOLERANCE_SQL,
+    "tolerance_options": kept.tolerances_sql(BY_COLUMN),
+    "persisted_diff": oracle.diff(TOLERANT),
+    "split_written": kept.split_written_sql(TOLERANT),
+    "partition_detect": kept.PARTITION_SQL,
+    "report_cells": kept.report_sql(TOLERANT),
+    "hot_key_rows": oracle.diff(kept.HOT),
+    "hot_key_summary": oracle.summary(kept.HOT),
+    **places.ORACLE_SQL,
     "kll_bigint": kll_bigint_sql(),
     "kll_stats": kll_bigint_sql(True),
     "geo_counts": geo_counts_sql(),
