@@ -45,8 +45,8 @@ def may_match(source: DataFrame, hashed: Expr, bits: DataFrame) -> DataFrame:
     """The rows whose key's bit is set: none with a wanted key is lost, few others stay while the keys are few."""
     bit = F.bitmap_bit_position(hashed)
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = source.join(F.broadcast(bits), F.bitmap_bucket_number(hashed) == F.col("__bucket"))
-    return near.where(F.expr("1") == F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1))).select(*[F.col(f"`{c}`") for c in source.columns])
+    marked_bit = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return source.join(F.broadcast(bits), (F.bitmap_bucket_number(hashed) == F.col("__bucket")) & marked_bit, "left_semi")
 
 
 def side(source: DataFrame, keys: Sequence[Column], which: str, wanted: DataFrame) -> DataFrame:
