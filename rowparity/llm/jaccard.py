@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, saved
-from .simhash import in_parts, word_hashes
+from .texts import in_parts, word_hashes
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: The share of n-grams, by their hashes, that the first count looks at.
@@ -312,12 +312,16 @@ def dealt(placed: DataFrame, joined: DataFrame, most_rows: int, most_grams: int)
     return rows.join(pairs, "chunk").select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") <= F.col("other")).alias("first"), "node", "mers")
 
 
-def links(sets: DataFrame, percent: int, most_rows: int = ROWS, most_grams: int = ENTRIES, pivots: int = PIVOTS) -> DataFrame:
-    """sets(node, n, mers) -> (u, v): links that join all that the whole product would join."""
+def blocks_of(sets: DataFrame, percent: int) -> DataFrame:
+    """node, block of the sets whose head shares an n-gram with another's."""
     head = saved(heads(sets, percent))
     hub = head.groupBy("gram").agg(F.min("node").alias("v"), F.count("*").alias("df")).where("df > 1").select("gram", "v")
     touching = head.withColumnRenamed("node", "u").join(hub, "gram").where("u <> v").select("u", "v").distinct()
-    blocks = components(touching).select(F.col("id").alias("node"), F.col("component").alias("block"))
+    return components(touching).select(F.col("id").alias("node"), F.col("component").alias("block"))
+
+
+def products(sets: DataFrame, blocks: DataFrame, percent: int, most_rows: int = ROWS, most_grams: int = ENTRIES, pivots: int = PIVOTS) -> DataFrame:
+    """sets(node, n, mers), blocks(node, block) -> (u, v): links that join all that the products of the blocks would join."""
     placed = saved(sets.join(blocks, "node"))
     sizes = saved(placed.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")))
     large = (F.col("rows") > most_rows) | (F.col("grams") > most_grams)
@@ -346,7 +350,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, low: float = LOW
     found = saved(prints(docs, width))
     left = saved(remaining(docs, found, width, percent, low))
     sets = saved(sets_of(docs, found, left, width))
-    joined = components(links(sets, percent, **how)).withColumnRenamed("id", "node")
+    joined = components(products(sets, blocks_of(sets, percent), percent, **how)).withColumnRenamed("id", "node")
     nodes = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = nodes.join(names, "component").select("node", "component_id")

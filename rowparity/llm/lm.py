@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .simhash import in_parts, words
+from .texts import in_parts, words
 
 HELD_OUT, KEPT, DELETED = 0, 1, 2
 END, BEGIN = b"\n", b"\n\n"  # no word holds white space

@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import components, saved
+from .texts import in_parts, words
 
 SEED = 42
 SUBTREE = 1 << 17  # fingerprints a task may hold of one subtree, twice
@@ -41,11 +43,6 @@ FRONTIER = 1 << 17  # node pairs that are expanded at a time
 BIT_COUNT = np.array([[(b >> (7 - k)) & 1 for k in range(8)] for b in range(256)], dtype=np.int64)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between the ASCII white space characters."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def shingles(tokens: list[bytes], width: int) -> list[bytes]:
     if len(tokens) < width:
         return [b" ".join(tokens)] if tokens else []
@@ -70,21 +67,6 @@ def majority(h: np.ndarray) -> bytes:
     return np.packbits((2 * (seen @ BIT_COUNT) > len(h)).ravel()).tobytes()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words."""
-    import xxhash
-
-    tokens = words(text)
-    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype=np.uint64, count=len(tokens))
-
-
-def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller ones, so that few texts are Python strings at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def lanes(h: np.ndarray, n: int) -> np.ndarray:
     """n independent hashes of each value (finalizer of splitmix64 over offsets)."""
     with np.errstate(over="ignore"):
@@ -292,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 WIDE = 4  # words of 64 bits
 TABLES = 16
-COUNTED = 1 << 13  # pairs of texts whose sets a task counts
+PAIRS = 1 << 19  # pairs that a task looks at together
 
 
 def minima(mers: np.ndarray) -> bytes:
@@ -308,196 +290,126 @@ def minima(mers: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def sketches(docs: DataFrame, width: int = 5, sets: bool = False) -> DataFrame:
-    """doc_id, keys, wide: sixteen 32-bit fingerprints of the set of words and a hash of the set of shingles; 256 bits of this set's minima, and its size.
-
-    With sets also mers, the sorted hashes of the set of shingles.
-    """
-    import xxhash
-
-    names = ["doc_id", "keys", "wide", *(["mers"] if sets else [])]
+def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, node (named by the set of shingles), keys: sixteen 32-bit fingerprints of that set, wide: 256 bits of its minima and its size."""
+    names = ["doc_id", "node", "keys", "wide"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            keys, wide, own = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = word_hashes(text)
-                mers = h[: max(1, len(h) - width + 1)].copy() if len(h) else h
-                with np.errstate(over="ignore"):
-                    for k in range(1, min(width, len(h))):
-                        mers = mers * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mers)]
-                mers = np.unique(mers)
-                keys.append(majority(lanes(np.unique(h), TABLES // 2)) + xxhash.xxh64_digest(mers.tobytes()))
-                wide.append(minima(mers) + len(mers).to_bytes(8, "little"))
-                own.append(mers.tobytes() if sets else None)
-            columns = [pa.array(c, pa.binary()) for c in (keys, wide, *([own] if sets else []))]
+            sets = [jaccard.grams(text, width) for text in batch.column(1).to_pylist()]
+            columns = [
+                pa.array([jaccard.node_of(m) for m in sets], pa.int64()),
+                pa.array([majority(lanes(m, TABLES // 2)) for m in sets], pa.binary()),
+                pa.array([minima(m) + len(m).to_bytes(8, "little") for m in sets], pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, keys binary, wide binary" + (", mers binary" if sets else ""))
-
-
-def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The bits in which rows of minima differ."""
-    return np.bitwise_count(x[:, :WIDE] ^ y[:, :WIDE]).sum(axis=1, dtype=np.int64)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, node long, keys binary, wide binary")
 
 
 def may_be_alike(x: np.ndarray, y: np.ndarray, limit: int, least: float) -> np.ndarray:
-    """Of rows of minima and sizes: within the limit, and of sizes that a Jaccard similarity of `least` allows."""
-    return (apart(x, y) <= limit) & (np.minimum(x[:, WIDE], y[:, WIDE]) >= least * np.maximum(x[:, WIDE], y[:, WIDE]) - 1e-9)
-
-
-def candidates(values: np.ndarray, sides: np.ndarray | None, wide: np.ndarray, radius: int, limit: int, bits: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs whose keys are within the radius and that may be alike.
-
-    Rows are sorted by value; with sides, by side and value, and only rows of different sides are paired.
-    """
-    n_first = len(values) if sides is None else int((~sides).sum())
-    parts = [np.unique(v, return_index=True) for v in ((values,) if sides is None else (values[:n_first], values[n_first:]))]
-    first = np.concatenate([at + shift for (_, at), shift in zip(parts, (0, n_first))])  # where each key's rows begin
-    count = np.diff(np.append(first, len(values)))
-    shift = 0 if sides is None else len(parts[0][0])
-
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, j in trie_join(parts[0][0], None if sides is None else parts[1][0], radius, bits):
-            yield i, j + shift
-        if sides is None:
-            own = np.flatnonzero(count > 1)
-            yield own, own
-
-    for i, j in pairs():
-        ends = np.cumsum(count[i] * count[j])
-        for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 19):
-            t = np.arange(at, min(at + (1 << 19), int(ends[-1])))
-            of = np.searchsorted(ends, t, side="right")
-            t = t - (ends - count[i] * count[j])[of]
-            x, y = first[i[of]] + t // count[j[of]], first[j[of]] + t % count[j[of]]
-            ok = (i[of] != j[of]) | (x < y)
-            x, y = x[ok], y[ok]
-            ok = may_be_alike(wide[x], wide[y], limit, least)
-            yield x[ok], y[ok]
-
-
-def common_values(p: np.ndarray, q: np.ndarray) -> int:
-    """How many values two sorted sets share."""
-    values = np.sort(np.concatenate([p, q]), kind="stable")  # merges two runs
-    return int(np.count_nonzero(values[1:] == values[:-1]))
-
-
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The edges (u, v) whose texts' sets of shingles have a Jaccard similarity of at least `least`, counted exactly."""
-    linked = saved(edges.select("u").union(edges.select("v")).distinct().withColumnRenamed("u", "node").join(nodes, "node"))
-    ids = linked.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = saved(sketches(texts, width, True).join(linked, ["doc_id", "keys", "wide"]).groupBy("node").agg(F.min("mers").alias("mers")))
+    """Of rows of minima and sizes: at most `limit` bits apart, and of sizes that a Jaccard similarity of `least` allows."""
+    apart = np.bitwise_count(x[:, :WIDE] ^ y[:, :WIDE]).sum(axis=1, dtype=np.int64)
+    return (apart <= limit) & (np.minimum(x[:, WIDE], y[:, WIDE]) >= least * np.maximum(x[:, WIDE], y[:, WIDE]) - 1e-9)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches, 64):
-            x, y = ([np.frombuffer(m, dtype=np.uint64) for m in batch.column(c).to_pylist()] for c in (2, 3))
-            both = [common_values(p, q) for p, q in zip(x, y)]
-            keep = pa.array([n >= least * (len(p) + len(q) - n) - 1e-9 for n, p, q in zip(both, x, y)], pa.bool_())
-            yield batch.select(["u", "v"]).filter(keep)
 
-    parts = 1 + edges.count() // COUNTED  # a small table of pairs is read by few tasks, and these carry two sets a pair
-    sided = edges.repartition(parts, "u").join(sets.select(F.col("node").alias("u"), F.col("mers").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("mers").alias("y")), "v")
-    return sided.select("u", "v", "x", "y").mapInArrow(task, "u long, v long")
+def products(blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The index pairs of blocks (from, rows, from, rows), some at a time."""
+    ends = np.cumsum(blocks[:, 1] * blocks[:, 3])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        t = np.arange(at, min(at + PAIRS, int(ends[-1])))
+        of = np.searchsorted(ends, t, side="right")
+        t = t - (ends - blocks[:, 1] * blocks[:, 3])[of]
+        yield blocks[of, 0] + t // blocks[of, 3], blocks[of, 2] + t % blocks[of, 3]
 
 
-def candidate_pairs(keyed: DataFrame, radius: int, limit: int, prefix: int, subtree: int, similarity: float) -> DataFrame:
-    """(u, v, d): candidates among the rows (node, wide, comp, t, p) and the bits in which their minima differ.
+def join_alike(values: np.ndarray, side: np.ndarray | None, wide: np.ndarray, groups: Groups, radius: int, limit: int, bits: int, least: float) -> None:
+    """Join in groups all rows whose keys are within the radius and that may be alike.
 
-    Without comp (null), the first row of every key stands for the rows with this key: it is paired with each of these
-    and with those of other keys, and a task gives each u with its nearest v alone. With it, of the rows of a key that
-    are in one component the first stands for the others, only rows of different components are paired, and u < v.
+    Rows are sorted by side and value; with sides, only rows of different ones are paired. Of the rows with a key, those
+    like the first of them are a group at once, so of two keys whose first rows are alike only the others are paired.
     """
+    starts = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (side[1:] != side[:-1] if side is not None else False)))
+    sizes = np.diff(np.append(starts, len(values)))
+    hub = np.repeat(starts, sizes)
+    like = may_be_alike(wide, wide[hub], limit, least)
+    own = np.flatnonzero(like & (hub != np.arange(len(values))))
+    groups.add(hub[own], own)
+    # within a key, rows like its first come before the others
+    order = np.lexsort((~like, hub))
+    alike = np.add.reduceat(like, starts).astype(np.int64)
+
+    def add(blocks: list[np.ndarray]) -> None:
+        every = np.concatenate([b.T for b in blocks])
+        for x, y in products(every[(every[:, 1] > 0) & (every[:, 3] > 0)]):
+            x, y = order[x], order[y]
+            ok = (x != y) & may_be_alike(wide[x], wide[y], limit, least)
+            groups.add(x[ok], y[ok])
+
+    if side is None:
+        rest = starts + alike
+        add([np.array([rest, sizes - alike, starts, sizes])])
+    keys = values[starts]
+    first = len(keys) if side is None else int(np.count_nonzero(~side[starts]))
+    for i, j in trie_join(keys[:first], None if side is None else keys[first:], radius, bits):
+        j = j if side is None else j + first
+        met = may_be_alike(wide[starts[i]], wide[starts[j]], limit, least)
+        groups.add(starts[i][met], starts[j][met])
+        a, b = i[met], j[met]
+        add([
+            np.array([starts[a] + alike[a], sizes[a] - alike[a], starts[b], sizes[b]]),
+            np.array([starts[a], alike[a], starts[b] + alike[b], sizes[b] - alike[b]]),
+            np.array([starts[i][~met], sizes[i][~met], starts[j][~met], sizes[j][~met]]),
+        ])
+
+
+def candidate_links(keyed: DataFrame, radius: int, limit: int, prefix: int, subtree: int, similarity: float) -> DataFrame:
+    """(u, v): of the rows (node, wide, t, p), those that may be alike joined in each task, as edges to its least node."""
     dealt = deal(keyed, ["t"], prefix, radius, 32, subtree)
 
     def task(rows: pa.Table) -> pa.Table:
         values, side = rows["p"].to_numpy().astype(np.uint64), ~rows["first"].to_numpy(zero_copy_only=False)
-        itself, starred = with_itself(rows), rows["comp"].null_count > 0
+        itself = with_itself(rows)
         if itself:
             side[:] = False
-        nodes = rows["node"].to_numpy()
-        comp = nodes if starred else rows["comp"].to_numpy()
-        order = np.lexsort((nodes, values, side) if starred else (nodes, comp, values, side))
-        values, side, nodes, comp = values[order], side[order], nodes[order], comp[order]
+        order = np.lexsort((rows["node"].to_numpy(), values, side))
         wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE + 1)[order]
-        new = np.append(True, (values[1:] != values[:-1]) | (side[1:] != side[:-1]))
-        stars = np.zeros((2, 0), dtype=np.int64)
-        if starred:
-            hub = np.flatnonzero(new)[np.cumsum(new) - 1]
-            near = np.flatnonzero(~new & may_be_alike(wide, wide[hub], limit, similarity)) if itself else []
-            stars = np.array([hub[near], near], dtype=np.int64)
-        else:
-            new |= np.append(True, comp[1:] != comp[:-1])
-        kept = np.flatnonzero(new)
-        found = list(candidates(values[kept], None if itself else side[kept], wide[kept], radius, limit, 32, similarity))
-        x, y = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (zip(*found) if found else ((), ())))
-        x, y = np.append(kept[x], stars[0]), np.append(kept[y], stars[1])
-        differ = comp[x] != comp[y]
-        x, y = x[differ], y[differ]
-        d = apart(wide[x], wide[y])
-        x, y = nodes[x], nodes[y]
-        if starred:
-            u, v, d = np.append(x, y), np.append(y, x), np.append(d, d)
-            order = np.lexsort((v, d, u))
-            u, v, d = u[order], v[order], d[order]
-            first = np.append(True, u[1:] != u[:-1])[: len(u)]
-            return pa.table({"u": u[first], "v": v[first], "d": d[first]})
-        return pa.table({"u": np.minimum(x, y), "v": np.maximum(x, y), "d": d})
-
-    return dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long, d long")
-
-
-def nearest(pairs: DataFrame) -> DataFrame:
-    """pairs(u, v, d) -> (u, v), u < v: of every u the pair with its nearest v."""
-    best = pairs.groupBy("u").agg(F.min(F.struct("d", "v")).alias("to")).select("u", F.col("to.v").alias("v"))
-    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        groups = Groups(rows["node"].to_numpy()[order])
+        join_alike(values[order], None if itself else side[order], wide, groups, radius, limit, 32, similarity)
+        return groups.rows().select(["u", "v"])
+
+    return dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long").where("u <> v")
+
+
+def verified(blocks: DataFrame, drawn: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """(u, v): links of blocks (node, block) by the exact Jaccard similarity of their sets, enough to join all that are linked."""
+    sets = saved(jaccard.sets_of(docs, drawn, blocks, width))
+    return jaccard.products(sets, blocks, round(100 * least))
 
 
 def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 43, subtree: int = SUBTREE, least: float = 0.8) -> DataFrame:
     """doc_id, component_id of the documents with an id: groups of texts whose shingle sets have a similarity of `least` or more.
 
-    A pair is a candidate if one of sixteen 32-bit fingerprints of their words is within the radius (found by the trie
-    join; 0.993 at a Jaccard similarity of the words of 0.8) and the 256 bits of their shingles' minima differ in at most
-    `limit` (26 on average at 0.8, standard deviation 5; 128 for unrelated texts); sets of sizes that rule the
-    similarity out are none. Candidates are links if their sets of shingles, counted exactly, are that similar. Texts
-    with equal fingerprints and sets of shingles are one.
-
-    A large group is not compared pair by pair. Every text is first compared with the nearest of those that stand for a
-    key; then, of what these links have joined, one text stands for all that share a key, and the pairs that are in
-    different groups are candidates. Of these the nearest of every text are counted, then those whose ends are still in
-    different groups. A group of n texts so costs about n counts if they are alike; only texts that are all
-    candidates and none alike are counted pair by pair.
+    Two sets are candidates if one of sixteen 32-bit SimHash fingerprints of their shingles is within the radius (found by
+    the trie join; 0.99 of the pairs at a similarity of 0.8, more above) and 256 bits of their minima differ in at most
+    `limit` (26 on average at 0.8, standard deviation 5; 128 for unrelated texts); sets of sizes that rule the similarity
+    out are none. A task gives a spanning forest of its candidates, never pairs, and the components of these are blocks.
+    Inside a block all sets are compared exactly, by the blocked product of the n-gram join, so a link has a similarity of
+    0.8 or more, and one inside a block is found even if its two ends were no candidates.
     """
     drawn = saved(sketches(docs, width).where(F.col("doc_id").isNotNull()))
-    nodes = saved(drawn.groupBy("keys", "wide").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.xxhash64("keys", "wide")))
+    nodes = saved(drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("wide").alias("wide")))
     n, prefix = nodes.count(), 0
     while n > subtree << prefix:
         prefix += 1
     table = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
     part = F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p")
-
-    def pairs(placed: DataFrame) -> DataFrame:
-        keyed = placed.select("node", "wide", "comp", table.alias("t"), "keys").select("node", "wide", "comp", "t", part)
-        return candidate_pairs(keyed, radius, limit, prefix, subtree, least)
-
-    def grouped(links: DataFrame) -> DataFrame:
-        joined = components(links).withColumnRenamed("id", "node")
-        return nodes.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-
-    stars = saved(nearest(pairs(nodes.withColumn("comp", F.lit(None).cast("long")))))
-    links = saved(verified(stars, nodes, docs, width, least))
-    rest = saved(pairs(saved(grouped(links))).groupBy("u", "v").agg(F.min("d").alias("d")))
-    both = rest.union(rest.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-    close = saved(nearest(both))
-    links = saved(links.union(verified(close, nodes, docs, width, least)))
-    comp = saved(grouped(links).select("node", "comp"))
-    ends = [comp.select(F.col("node").alias(e), F.col("comp").alias(f"comp_{e}")) for e in ("u", "v")]
-    left = rest.join(close, ["u", "v"], "left_anti").join(ends[0], "u").join(ends[1], "v").where("comp_u <> comp_v").select("u", "v")
-    placed = grouped(links.union(verified(saved(left), nodes, docs, width, least)))
+    keyed = nodes.select("node", "wide", table.alias("t"), "keys").select("node", "wide", "t", part)
+    blocks = saved(components(candidate_links(keyed, radius, limit, prefix, subtree, least)).select(F.col("id").alias("node"), F.col("component").alias("block")))
+    joined = components(verified(blocks, drawn, docs, width, least)).withColumnRenamed("id", "node")
+    placed = nodes.select("node", "doc_id").join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    classes = placed.join(names, "comp").select("keys", "wide", "component_id")
-    return drawn.join(classes, ["keys", "wide"]).select("doc_id", "component_id")
+    return drawn.join(placed.join(names, "comp").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, **how) -> DataFrame:
