@@ -42,11 +42,30 @@ JPEG_END, PDF_END, PDF_TABLE, PDF_START, ZIP_END = b"\xff\xd9", b"%%EOF", b"star
 EMPTY, UNKNOWN, TEXT = "application/x-empty", "application/octet-stream", "text/plain"
 
 
+def _times(x: int, y: int) -> int:
+    """The product of two polynomials over two elements, lowest power in the highest bit, by the checksum's modulus."""
+    product = 0
+    for bit in range(31, -1, -1):
+        if x >> bit & 1:
+            product ^= y
+        y = y >> 1 ^ (0xEDB88320 if y & 1 else 0)
+    return product
+
+
+#: The powers 8, 16, 32, ... of the variable: what 1, 2, 4, ... zero bytes do to a checksum.
+_ZEROS = [1 << 23]
+for _ in range(40):
+    _ZEROS.append(_times(_ZEROS[-1], _ZEROS[-1]))
+CRC_STEP = 1 << 12
+
+
 class Marks:
-    """Where the marks stand in a value."""
+    """Where the marks stand in a value, and what was found out about it on the way."""
 
     def __init__(self, b: bytes, places: dict[bytes, list[int]]):
-        self.places = places
+        self.places, self.b = places, b
+        self.ends: dict[str, dict[int, int | None]] = {}  # of chains of blocks, from each of their places
+        self.sums: list[int] = [0]  # checksums of the first 0, 1, 2, ... steps
         self.archives: dict[int, int] = {}  # where a ZIP archive would begin -> its end, from each end record
         for end in places[ZIP_END]:
             if end + 22 <= len(b):
@@ -55,6 +74,36 @@ class Marks:
                 if start >= 0 and end + 22 + note <= len(b) and b[end - size : end - size + 4] == b"PK\x01\x02":
                     self.archives.setdefault(start, end + 22 + note)
 
+    def walk(self, chain: str, at: int, step: Callable[[int], int | None]) -> int | None:
+        """Where a chain of blocks ends: step gives a block's end, its complement if it is the last, None if it is none."""
+        ends, path = self.ends.setdefault(chain, {}), []
+        p: int | None = at
+        while p is not None and p >= 0 and p not in ends:
+            path.append(p)
+            p = step(p)
+        end = None if p is None else ~p if p < 0 else ends[p]
+        for place in path:
+            ends[place] = end
+        return end
+
+    def crc(self, start: int, end: int) -> int:
+        """The CRC-32 of a range, from sums of the value's beginnings: no range is read over and over."""
+        while len(self.sums) * CRC_STEP <= end:
+            k = len(self.sums) - 1
+            self.sums.append(zlib.crc32(self.b[k * CRC_STEP : (k + 1) * CRC_STEP], self.sums[k]))
+
+        def upto(p: int) -> int:
+            return zlib.crc32(self.b[p - p % CRC_STEP : p], self.sums[p // CRC_STEP])
+
+        if end - start <= 2 * CRC_STEP:
+            return zlib.crc32(self.b[start:end])
+        moved, n, k = upto(start), end - start, 0
+        while n:
+            if n & 1:
+                moved = _times(_ZEROS[k], moved)
+            n, k = n >> 1, k + 1
+        return upto(end) ^ moved
+
     def after(self, mark: bytes, at: int) -> int | None:
         found = self.places[mark]
         i = bisect_left(found, at)
@@ -79,44 +128,48 @@ def wav(b: bytes, at: int, marks: Marks) -> int | None:
 
 
 def png(b: bytes, at: int, marks: Marks) -> int | None:
-    p = at + 8
-    while p + 12 <= len(b):
+    """A header of 13 bytes, then chunks with right checksums up to the last; chunks that candidates share are walked once."""
+    if b[at + 8 : at + 16] != b"\x00\x00\x00\rIHDR":
+        return None
+
+    def step(p: int) -> int | None:
+        if p + 12 > len(b):
+            return None
         size, name = struct.unpack_from(">I4s", b, p)
         if p + 12 + size > len(b) or (p == at + 8) != (name == b"IHDR"):
             return None
-        if zlib.crc32(b[p + 4 : p + 8 + size]) != struct.unpack_from(">I", b, p + 8 + size)[0]:
+        if marks.crc(p + 4, p + 8 + size) != struct.unpack_from(">I", b, p + 8 + size)[0]:
             return None
-        p += 12 + size
-        if name == b"IEND":
-            return p - at
-    return None
+        return ~(p + 12 + size) if name == b"IEND" else p + 12 + size
+
+    end = marks.walk("png", at + 8, step)
+    return None if end is None else end - at
 
 
 def gif(b: bytes, at: int, marks: Marks) -> int | None:
+    """A header, then extensions and images of sub-blocks up to the trailer; each place is walked once, whoever comes by."""
     if len(b) < at + 13:
         return None
     flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
 
-    def blocks(p: int) -> int | None:
-        while p < len(b):
-            if not b[p]:
-                return p + 1
-            p += 1 + b[p]
-        return None
+    def sub_block(p: int) -> int | None:
+        return None if p >= len(b) else p + 1 + b[p] if b[p] else ~(p + 1)
 
-    while p is not None and p < len(b):
+    def block(p: int) -> int | None:
+        if p >= len(b):
+            return None
         kind = b[p]
         if kind == 0x3B:
-            return p + 1 - at
+            return ~(p + 1)
         if kind == 0x21:
-            p = blocks(p + 2)
-        elif kind == 0x2C and p + 10 <= len(b):
+            return marks.walk("sub-blocks", p + 2, sub_block)
+        if kind == 0x2C and p + 10 <= len(b):
             local = b[p + 9]
-            p = blocks(p + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
-        else:
-            return None
-    return None
+            return marks.walk("sub-blocks", p + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0), sub_block)
+        return None
+
+    end = marks.walk("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), block)
+    return None if end is None else end - at
 
 
 def jpeg(b: bytes, at: int, marks: Marks) -> int | None:

@@ -101,3 +101,47 @@ def test_repeated_magic_bytes_take_linear_time(mark):
     began = time.process_time()
     assert sniff(data) == []
     assert time.process_time() - began < 2
+
+
+def chunk(name, data=b""):
+    return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+
+HEADER = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0))
+
+
+@pytest.mark.parametrize(
+    "mark",
+    [b"GIF89aAAAAAAA!", b"GIF87a" + b"\x01\x00" * 3 + b"\x00\x21\x01\x01\x00", b"GIF89aAAAA\x00AA!\xf9\x00,", HEADER, b"\x89PNG\r\n\x1a\n", HEADER + chunk(b"tEXt", b"a")],
+)
+def test_repeated_gif_and_png_take_linear_time(mark):
+    sniff = media.sniffer()
+    for n in (140_000, 560_000):
+        began = time.process_time()
+        assert sniff(mark * (n // len(mark))) == []
+        assert time.process_time() - began < 1.5
+
+
+def test_png_chunks_that_overlap_are_not_read_again_and_again():
+    """Every candidate claims a chunk up to the end, of which only the checksum tells that it is none."""
+    sniff, n = media.sniffer(), 600_000
+    unit = len(HEADER) + 8
+    data = b"".join(HEADER + struct.pack(">I4s", n - (k + 1) * unit - 12, b"IDAT") for k in range(n // unit - 1))
+    began = time.process_time()
+    assert sniff(data + b"x" * (n - len(data))) == []
+    assert time.process_time() - began < 12
+
+
+def test_checksums_of_ranges():
+    data = bytes(range(256)) * 400
+    marks = media.Marks(data, {m: [] for m in (media.ZIP_END,)})
+    for start, end in ((0, 0), (0, 100), (3, 50_000), (4096, 12_288), (1, len(data)), (77, 8_300)):
+        assert marks.crc(start, end) == zlib.crc32(data[start:end])
+
+
+def test_chains_that_meet_are_right_for_both():
+    """Two GIFs, the second begun inside a comment of the first, whose chains of blocks come together."""
+    tail = b"\x2c" + b"\x00" * 8 + b"\x00" + b"\x02" + b"\x01\x44\x00" + b"\x3b"
+    inner = b"GIF89a" + b"\x01\x00\x01\x00\x00\x00\x00"
+    outer = b"GIF89a" + b"\x01\x00\x01\x00\x00\x00\x00" + b"\x21\xfe" + bytes([len(inner)]) + inner + b"\x00" + tail
+    assert media.sniffer()(b".." + outer + b"..") == [("image/gif", 2, len(outer))]
