@@ -51,22 +51,29 @@ def counter(vocab: list[tuple[str, float]]) -> Callable[[str], int]:
     automaton.make_automaton()
     unknown = min(score for _, score in vocab) - UNKNOWN_PENALTY
 
+    longest = max(map(len, scores), default=1)
+
     def count(word: str) -> int:
-        n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, found in automaton.iter(word):
-            ending[end + 1].append(found)
-        best, pieces = [0.0] * (n + 1), [0] * (n + 1)
+        # best and pieces of the last `longest` places alone, so a word of any length takes the same room
+        n, room = len(word), longest + 1
+        best, pieces = [0.0] * room, [0] * room
+        matches = automaton.iter(word)
+        ahead = next(matches, None)
         for end in range(1, n + 1):
-            found = ending[end]
-            score = None
+            found = []
+            while ahead is not None and ahead[0] == end - 1:
+                found.append(ahead[1])
+                ahead = next(matches, None)
+            score, most = None, 0
             for length, gain in sorted(found, reverse=True):  # longest, that is earliest start, first
-                if score is None or best[end - length] + gain > score:
-                    score, pieces[end] = best[end - length] + gain, pieces[end - length] + 1
-            if not any(length == 1 for length, _ in found) and (score is None or best[end - 1] + unknown > score):
-                score, pieces[end] = best[end - 1] + unknown, pieces[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-            best[end] = score
-        return pieces[n]
+                start = (end - length) % room
+                if score is None or best[start] + gain > score:
+                    score, most = best[start] + gain, pieces[start] + 1
+            before = (end - 1) % room
+            if not any(length == 1 for length, _ in found) and (score is None or best[before] + unknown > score):
+                score, most = best[before] + unknown, pieces[before] + len(word[end - 1].encode("utf-8", "surrogatepass"))
+            best[end % room], pieces[end % room] = score, most
+        return pieces[n % room]
 
     return count
 
@@ -84,21 +91,28 @@ def solver(path: str | None) -> tuple[Callable[[str], int], dict[str, int]]:
     return counter(vocabulary(path)), {}
 
 
+KEPT_LENGTH, KEPT_CHARS = 64, 12_000_000
+
+
 def token_counts(docs: DataFrame, path: str | None = None, most: int = 600_000) -> DataFrame:
-    """doc_id, n_chars, n_words, n_tokens of every document; `most` bounds the words that a worker remembers."""
+    """doc_id, n_chars, n_words, n_tokens of every document.
+
+    A worker remembers at most `most` words of up to KEPT_LENGTH characters, KEPT_CHARS in all; the others are counted anew.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known = solver(path)
+        chars = sum(map(len, known))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = words(text)
                 new = {w: count(w) for w in set(parts).difference(known)}
-                if len(known) > most:  # full: what is new is not remembered
-                    total = sum(new[w] if w in new else known[w] for w in parts)
-                else:
-                    known.update(new)
-                    total = sum(map(known.__getitem__, parts))
+                total = sum(new[w] if w in new else known[w] for w in parts)
+                if len(known) <= most and chars <= KEPT_CHARS:
+                    short = {w: c for w, c in new.items() if len(w) <= KEPT_LENGTH}
+                    known.update(short)
+                    chars += sum(map(len, short))
                 rows.append((doc, len(text), len(parts), total))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 4, names=["doc_id", "n_chars", "n_words", "n_tokens"])
 

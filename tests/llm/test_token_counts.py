@@ -45,3 +45,21 @@ def test_a_full_memory_changes_nothing(documents, odd_rows):
     key = lambda r: str(tuple(r))
     tc.solver.cache_clear()
     assert sorted(tc.token_counts(documents(odd_rows), most=0).collect(), key=key) == sorted(tc.token_counts(documents(odd_rows)).collect(), key=key)
+
+
+def test_a_word_of_any_length_takes_little_room():
+    import tracemalloc
+
+    count = tc.counter(tc.vocabulary(None))
+    word = tc.MARK + "abcdefghij" * 30_000
+    tracemalloc.start()
+    pieces = count(word)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert pieces > 30_000 and peak < 5_000_000
+
+
+def test_what_is_not_remembered_is_counted_the_same(documents):
+    rows = [(i, f"word{i} " + "x" * (i % 90) + " again") for i in range(200)]
+    all_ = sorted(tuple(r) for r in tc.token_counts(documents(rows)).collect())
+    assert all_ == sorted(tuple(r) for r in tc.token_counts(documents(rows), most=0).collect())
