@@ -92,11 +92,12 @@ class Model:
         return self.langs[first], float(loss[second] / total) if total > 0 else 0.5, self.langs[second]
 
 
-def train(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14, max_langs: int = 1024) -> Model:
+def train(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14, max_langs: int | None = None) -> Model:
     """Learn from the columns text and lang of all rows given.
 
-    Of more than max_langs languages those with the most rows are learned (of equal numbers the first by name); this
-    bounds what the driver holds, 2**bits counts a language.
+    Every language that occurs is learned, however few rows it has. The driver holds 2**bits counts of four bytes a
+    language (66 kB), which come to it language by language: labels are names of languages, a set that no corpus makes grow.
+    max_langs: learn only so many, those with the most rows (of equal numbers the first by name).
     """
     size = 1 << bits
 
@@ -112,15 +113,17 @@ def train(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 14,
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    usual = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()
-    if len(usual) > max_langs:
-        labelled = labelled.where(F.col("lang").isin([r["lang"] for r in usual[:max_langs]]))
+    if max_langs is not None:
+        usual = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+        labelled = labelled.where(F.col("lang").isin([r["lang"] for r in usual]))
     found = labelled.mapInArrow(task, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = found.toPandas()  # at most max_langs x 2**bits rows
-    langs = sorted(rows["lang"].unique())
-    counts = np.zeros((len(langs), size))
-    index = {lang: i for i, lang in enumerate(langs)}
-    counts[rows["lang"].map(index).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
+    each = found.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns"))  # at most 2**bits of a language
+    learned: dict[str, np.ndarray] = {}
+    for row in each.toLocalIterator():
+        learned[row["lang"]] = np.zeros(size, dtype=np.float32)
+        learned[row["lang"]][row["buckets"]] = row["ns"]
+    langs = sorted(learned)
+    counts = np.array([learned.pop(lang) for lang in langs], dtype=np.float64).reshape(len(langs), size)
     share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * size)
     code = codewords(len(langs))
     weights = np.zeros((size, code.shape[1]))

@@ -114,3 +114,14 @@ def test_training_and_decoding_match_a_plain_computation(documents):
         best, second = sorted(range(len(langs)), key=loss.__getitem__)[:2]
         lang, score, other = model.predict(t)
         assert (lang, other) == (langs[best], langs[second]) and score == pytest.approx(loss[second] / (loss[best] + loss[second]))
+
+
+def test_no_language_is_too_rare_to_be_learned(documents):
+    """Over a thousand languages with one row each, and a common one."""
+    import hashlib
+
+    text = lambda k: " ".join(hashlib.sha256(f"{k} {j}".encode()).hexdigest()[:9] for j in range(12))
+    rows = [(k, text(k), f"l{k:04d}") for k in range(1100)] + [(2000 + k, text(-1), "common") for k in range(40)]
+    model = language.train(documents(rows))
+    assert len(model.langs) == 1101 and "l1099" in model.langs
+    assert np.isfinite(model.weights).all()
