@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder and driver and executors are one process, as in tests.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-#: The tables that the open scratch() blocks have written, the innermost last.
-_scopes: list[list[str]] = []
+#: The tables that this thread's open scratch() blocks have written, the innermost last: runs side by side keep theirs apart.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,7 @@ def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
     """saved(), and the table's path."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -50,11 +51,12 @@ def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables that are saved in this block are deleted at its end, but for those that are taken off the list it gives."""
     made: list[str] = []
-    _scopes.append(made)
+    before = _scopes.get()
+    _scopes.set((*before, made))
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.set(before)
         for path in made:
             dropped(spark, path)
 

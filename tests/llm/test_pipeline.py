@@ -92,3 +92,28 @@ def test_an_empty_table_goes_through(spark, tmp_path):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_runs_side_by_side_delete_only_their_own_tables(spark):
+    """Two threads with open scratch() blocks: the first to end leaves the other's table alone."""
+    import threading
+
+    from rowparity.llm import common
+
+    saved_one, may_end, found = threading.Event(), threading.Event(), {}
+
+    def other():
+        with common.scratch(spark):
+            found["table"], found["path"] = common.saved_at(spark.range(5))
+            saved_one.set()
+            may_end.wait(60)
+            found["rows"] = found["table"].count()
+
+    thread = threading.Thread(target=other)
+    with common.scratch(spark) as mine:
+        thread.start()
+        assert saved_one.wait(60)
+        assert found["path"] not in mine
+    may_end.set()
+    thread.join()
+    assert found["rows"] == 5 and not common.exists(spark, found["path"])
