@@ -6,4 +6,19 @@ from .plans.compare import Comparison
 from .plans.result import ColumnFound, SideCounts, Summary
 from .sources.schema import Column, Intersection, KeyColumnError, describe, intersect
 
-__all__ = ["KINDS", "Column", "ColumnFound", "Comparison", "Intersection", "KeyColumnError", "Kind", "Settings", "SideCounts", "Summary", "Tolerance", "describe", "intersect", "parse"]
+__all__ = [
+    "KINDS",
+    "Column",
+    "ColumnFound",
+    "Comparison",
+    "Intersection",
+    "KeyColumnError",
+    "Kind",
+    "Settings",
+    "SideCounts",
+    "Summary",
+    "Tolerance",
+    "describe",
+    "intersect",
+    "parse",
+]

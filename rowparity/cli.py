@@ -120,7 +120,13 @@ def show(rows: Iterator[Row], most: int) -> tuple[int, Path | None]:
 
 
 def run_summary(c: Comparison, o: argparse.Namespace) -> bool:
-    targets = tables.split_targets(o.table_a, o.table_b, o.diff_table_a, o.diff_table_b, o.diff_write_mode) if o.write_diffs or o.diff_table_a or o.diff_table_b else None
+    targets = tables.split_targets(
+        o.table_a,
+        o.table_b,
+        o.diff_table_a,
+        o.diff_table_b,
+        o.diff_write_mode,
+    ) if o.write_diffs or o.diff_table_a or o.diff_table_b else None
     found = c.summary(o.max_diff_pct / 100, o.legacy, targets, o.diff_write_mode, o.diff_expiration_hours)
     print(report.render(found, o.format, o.sort_columns))
     path = Path(o.output_json) if o.output_json else cache_path(o.table_a, o.table_b, c.keys)

@@ -95,7 +95,9 @@ def shape(value: Column, struct: bool = False) -> Column:
     opened = F.regexp_count(compact, F.lit(r"\(")) == F.regexp_count(compact, F.lit(r"\)"))
     members = F.split(F.regexp_replace(compact, r"GEOMETRYCOLLECTION\(", ""), ",(?=[A-Z])")
     empty = F.array().cast(f"array<struct<kind:int,rings:array<array<{VERTEX}>>>>")
-    parts = F.when(compact == "GEOMETRYCOLLECTIONEMPTY", empty).otherwise(F.flatten(F.transform(members, lambda m: _member(F.when(m.contains("EMPTY"), F.regexp_replace(m, r"\)+$", "")).otherwise(m)))))
+    parts = F.when(compact == "GEOMETRYCOLLECTIONEMPTY", empty).otherwise(
+        F.flatten(F.transform(members, lambda m: _member(F.when(m.contains("EMPTY"), F.regexp_replace(m, r"\)+$", "")).otherwise(m))))
+    )
     known = lambda v: v.getField("lon").isNotNull() & v.getField("lat").isNotNull()
     sound = lambda p: F.forall(p.getField("rings"), lambda r: F.forall(r, known) & ((p.getField("kind") == 0) | (F.size(r) >= 2)))
     return F.when(opened, let(parts, lambda ps: F.when(F.forall(ps, sound), ps)))
@@ -159,7 +161,10 @@ def between(a: Column, b: Column, c: Column) -> Column:
 def thinned(ring: Column, closed: bool) -> Column:
     """Without repeated vertices and without those on the arc between their neighbours; closed rings without the last vertex."""
     distinct = F.filter(ring, lambda v, i: (i == 0) | (v != F.get(ring, i - 1)))
-    opened = let(distinct, lambda r: F.when((F.size(r) > 1) & (F.get(r, 0) == F.get(r, F.size(r) - 1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)) if closed else distinct
+    opened = let(
+        distinct,
+        lambda r: F.when((F.size(r) > 1) & (F.get(r, 0) == F.get(r, F.size(r) - 1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r),
+    ) if closed else distinct
 
     def corners(r: Column) -> Column:
         n = F.size(r)
@@ -189,7 +194,9 @@ def canonical(parts: Column) -> Column:
     nothing to an arc. Lines of one straight arc that is cut in two at different places stay apart.
     """
     of = lambda kind: F.filter(parts, lambda p: p.getField("kind") == kind)
-    every = lambda kind, closed: F.flatten(F.transform(of(kind), lambda p: F.flatten(F.transform(p.getField("rings"), lambda r: edges(r, closed)))))
+    every = lambda kind, closed: F.flatten(
+        F.transform(of(kind), lambda p: F.flatten(F.transform(p.getField("rings"), lambda r: edges(r, closed))))
+    )
     points = F.transform(of(0), lambda p: F.get(F.get(p.getField("rings"), 0), 0))
     return F.struct(*[F.array_sort(F.array_distinct(x)).alias(n) for n, x in (("points", points), ("lines", every(1, False)), ("areas", every(2, True)))])
 
@@ -264,7 +271,12 @@ def crosses(s: Column, t: Column) -> Column:
 
 def arc_pair(s: Column, t: Column) -> Column:
     zero = meeting(F.lit(0.0), s.getField("a"), s.getField("a"))
-    case = lambda end, mine, theirs, turned: F.struct(mine.getField(end).alias("p"), theirs.getField("a").alias("a"), theirs.getField("b").alias("b"), F.lit(turned).alias("turned"))
+    case = lambda end, mine, theirs, turned: F.struct(
+        mine.getField(end).alias("p"),
+        theirs.getField("a").alias("a"),
+        theirs.getField("b").alias("b"),
+        F.lit(turned).alias("turned"),
+    )
     cases = F.array(case("a", s, t, False), case("b", s, t, False), case("a", t, s, True), case("b", t, s, True))
     return F.when(crosses(s, t), zero).otherwise(F.array_min(F.transform(cases, to_arc)))
 
@@ -273,12 +285,23 @@ def inside(parts: Column, p: Column) -> Column:
     """Whether the polygons among the parts, each within half the globe, hold the point p: an arc to a far point crosses oddly often."""
 
     def of_polygon(polygon: Column) -> Column:
-        total = lambda sides: F.aggregate(sides, of_xyz(*[F.lit(0.0)] * 3), lambda sum_, s: of_xyz(*(x + y for x, y in zip(xyz(sum_), xyz(s.getField("a"))))))
+        total = lambda sides: F.aggregate(
+            sides,
+            of_xyz(*[F.lit(0.0)] * 3),
+            lambda sum_,
+            s: of_xyz(*(x + y for x, y in zip(xyz(sum_), xyz(s.getField("a"))))),
+        )
         # square to the middle: outside, and less than half round from any point inside
         far = lambda middle: cross(middle, of_xyz(F.lit(0.3141), F.lit(0.5926), F.lit(0.7413)))
         odd = lambda sides, q: F.size(F.filter(sides, lambda s: crosses(F.struct(p.alias("a"), q.alias("b")), s))) % 2 == 1
         ahead = lambda middle: dot(middle, p) > 0
-        return let(arcs(F.array(polygon)), lambda sides: let(total(sides), lambda m: ahead(m) & let(far(m), lambda q: let(of_xyz(*(F.try_divide(x, norm(q)) for x in xyz(q))), lambda u: odd(sides, u)))))
+        return let(
+            arcs(F.array(polygon)),
+            lambda sides: let(
+                total(sides),
+                lambda m: ahead(m) & let(far(m), lambda q: let(of_xyz(*(F.try_divide(x, norm(q)) for x in xyz(q))), lambda u: odd(sides, u))),
+            ),
+        )
 
     return F.exists(F.filter(parts, lambda x: x.getField("kind") == 2), of_polygon)
 
@@ -346,7 +369,12 @@ def spheroid_distance(a: Column, b: Column, struct: bool) -> Column:
     ends = lambda *where: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(where)])
 
     def nearest(met: Column) -> Column:
-        where = [f for v in (met.getField("p"), met.getField("q")) for f in (F.atan2(v.getField("y"), v.getField("x")), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.getField("z")))))]
+        where = [
+            f for v in (met.getField("p"), met.getField("q")) for f in (
+                F.atan2(v.getField("y"), v.getField("x")),
+                F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.getField("z")))),
+            )
+        ]
         return F.when(met.getField("d") == 0, ends(*[F.lit(0.0)] * 4)).otherwise(ends(*where))
 
     found = _by_kind(a, b, struct, ends, lambda x, y: let(closest(x, y), nearest))
@@ -361,6 +389,8 @@ def within(a: Column, b: Column, absolute: float | None, struct: bool) -> Column
     if absolute is None:
         return F.lit(True)
     angle_ = F.lit(absolute / SPHERE_RADIUS)
-    shapes = lambda x, y: F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(True)).when(apart(x, y) > angle_, F.lit(False)).otherwise(F.lit(SPHERE_RADIUS) * closest(x, y).getField("d") <= absolute)
+    shapes = lambda x, y: F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(True)).when(apart(x, y) > angle_, F.lit(False)).otherwise(
+        F.lit(SPHERE_RADIUS) * closest(x, y).getField("d") <= absolute
+    )
     near = _by_kind(a, b, struct, lambda *where: F.lit(SPHERE_RADIUS) * sphere_points(*where) <= absolute, shapes)
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(near, a.eqNullSafe(b))).otherwise(a.isNull() & b.isNull())

@@ -80,7 +80,10 @@ def _by_substitution(sin1: Column, cos1: Column, sin2: Column, cos2: Column, lon
 
 def _from_azimuth(sin1: Column, cos1: Column, sin2: Column, cos2: Column, azimuth: Column) -> Column:
     """a, sigma, s, c, m as in _arc, and omega, the longitude on the sphere, of the geodesic that leaves with the azimuth."""
-    sine = let(F.sin(azimuth) * cos1, lambda a: named(a=a, c1=F.cos(azimuth) * cos1, c2=F.sqrt(F.greatest(F.lit(0.0), F.pow(F.cos(azimuth) * cos1, 2) + (cos2 - cos1) * (cos2 + cos1)))))
+    sine = let(
+        F.sin(azimuth) * cos1,
+        lambda a: named(a=a, c1=F.cos(azimuth) * cos1, c2=F.sqrt(F.greatest(F.lit(0.0), F.pow(F.cos(azimuth) * cos1, 2) + (cos2 - cos1) * (cos2 + cos1)))),
+    )
 
     def found(x: Column) -> Column:
         a, c1, c2 = (x.getField(n) for n in ("a", "c1", "c2"))
@@ -88,7 +91,14 @@ def _from_azimuth(sin1: Column, cos1: Column, sin2: Column, cos2: Column, azimut
 
         def arc(y: Column) -> Column:
             sigma = y.getField("s2") - y.getField("s1")
-            return named(a=a, sigma=sigma, s=F.sin(sigma), c=F.cos(sigma), m=F.cos(y.getField("s1") + y.getField("s2")), omega=y.getField("w2") - y.getField("w1"))
+            return named(
+                a=a,
+                sigma=sigma,
+                s=F.sin(sigma),
+                c=F.cos(sigma),
+                m=F.cos(y.getField("s1") + y.getField("s2")),
+                omega=y.getField("w2") - y.getField("w1"),
+            )
 
         return let(places, arc)
 

@@ -208,7 +208,21 @@ class Unsupported(Kind):
     name, short = "UNSUPPORTED", "-"
 
 
-KINDS: dict[str, Kind] = {k.name: k for k in (Integer(), Float(), String(), Timestamp(), Date(), Boolean(), Geography(), Array(), Sketch("KLL_FLOAT64", "KLLf", "double"), Sketch("KLL_INT64", "KLLi", "bigint"), Unsupported())}
+KINDS: dict[str, Kind] = {
+    k.name: k for k in (
+        Integer(),
+        Float(),
+        String(),
+        Timestamp(),
+        Date(),
+        Boolean(),
+        Geography(),
+        Array(),
+        Sketch("KLL_FLOAT64", "KLLf", "double"),
+        Sketch("KLL_INT64", "KLLi", "bigint"),
+        Unsupported(),
+    )
+}
 #: Kinds for one of several types of a kind.
 KINDS["TIMESTAMP timestamp"] = Instant()
 SKETCHES = ("KLL_FLOAT64", "KLL_INT64")

@@ -13,7 +13,16 @@ from .align import Pair, align
 from .rowdiff import diff, differing
 
 
-def breakdown(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column], dimension: str, delta_column: str | None = None, limit: int | None = None, how: Settings = Settings()) -> DataFrame:
+def breakdown(
+    a: DataFrame,
+    b: DataFrame,
+    keys: Sequence[Column],
+    values: Sequence[Column],
+    dimension: str,
+    delta_column: str | None = None,
+    limit: int | None = None,
+    how: Settings = Settings(),
+) -> DataFrame:
     """dimension, only_in_a, only_in_b, in_both_diff, total and, for a numeric delta column, max_abs_delta and max_rel_delta.
 
     dimension: a column of the diff (a key, in_a, a__col, ...), or a value column, of which A's value counts where it has
@@ -31,7 +40,12 @@ def breakdown(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequen
         measured = next((v for v in values if v.name == delta_column and isinstance(v.strategy, Numeric)), None)
         deltas = {s: F.col(f"{measured.alias}__{s}") for s in ("abs_delta", "rel_delta")} if measured else {}
     in_a, in_b = F.col("in_a"), F.col("in_b")
-    wanted = [F.count_if(in_a & ~in_b).alias("only_in_a"), F.count_if(in_b & ~in_a).alias("only_in_b"), F.count_if(in_a & in_b).alias("in_both_diff"), F.count("*").alias("total")]
+    wanted = [
+        F.count_if(in_a & ~in_b).alias("only_in_a"),
+        F.count_if(in_b & ~in_a).alias("only_in_b"),
+        F.count_if(in_a & in_b).alias("in_both_diff"),
+        F.count("*").alias("total"),
+    ]
     if deltas:
         wanted += [F.max(deltas["abs_delta"]).cast("double").alias("max_abs_delta"), F.max(F.abs(deltas["rel_delta"])).alias("max_rel_delta")]
     out = rows.groupBy("dimension").agg(*wanted).orderBy(F.col("dimension").asc_nulls_first())

@@ -24,7 +24,14 @@ def differing(aligned: DataFrame, pairs: Sequence[Pair], columns: Collection[str
     return rows if excuse is None else rows.where(~(both & excuse))
 
 
-def diff(a: DataFrame, b: DataFrame, keys: Sequence[Column], values: Sequence[Column], how: Settings = Settings(), columns: Collection[str] | None = None) -> DataFrame:
+def diff(
+    a: DataFrame,
+    b: DataFrame,
+    keys: Sequence[Column],
+    values: Sequence[Column],
+    how: Settings = Settings(),
+    columns: Collection[str] | None = None,
+) -> DataFrame:
     """keys, in_a, in_b, then for every chosen column a__, b__, its differences and, with a tolerance, __within_tolerance."""
     pairs = [Pair(v, how) for v in values]
     rows = differing(align(a, b, keys, values, how.hot_rows), pairs, columns)

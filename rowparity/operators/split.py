@@ -38,7 +38,10 @@ def _place(df: DataFrame, names: Sequence[str]) -> Expr:
 def key_filter(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """bucket, bits: a bitmap of the keys' hashes, in pieces."""
     at = _place(rows, names)
-    return rows.select(F.bitmap_bucket_number(at).alias("__bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    return rows.select(
+        F.bitmap_bucket_number(at).alias("__bucket"),
+        F.bitmap_bit_position(at).alias("bit"),
+    ).groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__bits"))
 
 
 def may_match(source: DataFrame, hashed: Expr, bits: DataFrame) -> DataFrame:

@@ -40,12 +40,14 @@ def orders(absolute: float | None = None, relative: float | None = None) -> Spec
 
 PART = Spec(
     "select p_partkey, p_brand, p_size, p_retailprice from {part}",
-    "select p_partkey, p_brand, case when p_partkey % 5 = 0 then p_size + 3 else p_size end as p_size, case when p_partkey % 3 = 0 then p_retailprice - 1.25 else p_retailprice end as p_retailprice from {part} where p_partkey % 50 <> 0",
+    "select p_partkey, p_brand, case when p_partkey % 5 = 0 then p_size + 3 else p_size end as p_size, case when p_partkey % 3 = 0 then "
+    "p_retailprice - 1.25 else p_retailprice end as p_retailprice from {part} where p_partkey % 50 <> 0",
     ["p_partkey"], {"p_brand": "STRING", "p_size": "INTEGER", "p_retailprice": "FLOAT"},
 )
 BOOLEAN = Spec(
     "select o_orderkey, o_orderstatus = 'F' as done from {orders}",
-    "select o_orderkey, case when o_orderkey % 5 = 0 then not (o_orderstatus = 'F') when o_orderkey % 7 = 0 then null else o_orderstatus = 'F' end as done from {orders}",
+    "select o_orderkey, case when o_orderkey % 5 = 0 then not (o_orderstatus = 'F') when o_orderkey % 7 = 0 then null else o_orderstatus = 'F' end "
+    "as done from {orders}",
     ["o_orderkey"], {"done": "BOOLEAN"},
 )
 DATE = Spec(
@@ -55,12 +57,15 @@ DATE = Spec(
 )
 EVENTS = Spec(
     "select event_id, ts, user_id, event_type, value from {events}",
-    "select event_id, case when event_id % 9 = 0 then ts + interval 90 second else ts end as ts, user_id, case when event_id % 10 = 0 then upper(event_type) when event_id % 33 = 0 then null else event_type end as event_type, case when event_id % 6 = 0 then value * 1.5 else value end as value from {events} where event_id % 71 <> 0",
+    "select event_id, case when event_id % 9 = 0 then ts + interval 90 second else ts end as ts, user_id, case when event_id % 10 = 0 then "
+    "upper(event_type) when event_id % 33 = 0 then null else event_type end as event_type, case when event_id % 6 = 0 then value * 1.5 else value "
+    "end as value from {events} where event_id % 71 <> 0",
     ["event_id"], {"ts": "TIMESTAMP", "user_id": "INTEGER", "event_type": "STRING", "value": "FLOAT"}, DEFAULT_ABSOLUTE, DEFAULT_RELATIVE,
 )
 TEXTS = Spec(
     "select doc_id, text, lang, source from {documents}",
-    "select doc_id, case when doc_id % 4 = 0 then concat(text, ' ') else text end as text, case when doc_id % 6 = 0 then upper(lang) else lang end as lang, source from {documents}",
+    "select doc_id, case when doc_id % 4 = 0 then concat(text, ' ') else text end as text, case when doc_id % 6 = 0 then upper(lang) else lang end "
+    "as lang, source from {documents}",
     ["doc_id"], {"text": "STRING", "lang": "STRING", "source": "STRING"},
 )
 DECIMAL = Spec(
@@ -75,43 +80,58 @@ NULL_KEYS = Spec(
 )
 LINES = Spec(
     "select l_orderkey, l_linenumber, l_quantity, l_returnflag from {lineitem}",
-    "select l_orderkey, l_linenumber, case when l_orderkey % 5 = 0 then l_quantity + 1 else l_quantity end as l_quantity, l_returnflag from {lineitem} where l_orderkey % 89 <> 0",
+    "select l_orderkey, l_linenumber, case when l_orderkey % 5 = 0 then l_quantity + 1 else l_quantity end as l_quantity, l_returnflag from "
+    "{lineitem} where l_orderkey % 89 <> 0",
     ["l_orderkey", "l_linenumber"], {"l_quantity": "FLOAT", "l_returnflag": "STRING"},
 )
 TURNS = Spec(
     "select conv_id, turn, role, text from {conversations}",
-    "select conv_id, turn, case when turn % 3 = 2 then 'tool' else role end as role, case when conv_id % 7 = 0 then concat(text, '!') else text end as text from {conversations} where (conv_id + turn) % 23 <> 0",
+    "select conv_id, turn, case when turn % 3 = 2 then 'tool' else role end as role, case when conv_id % 7 = 0 then concat(text, '!') else text end "
+    "as text from {conversations} where (conv_id + turn) % 23 <> 0",
     ["conv_id", "turn"], {"role": "STRING", "text": "STRING"},
 )
 CUSTOMERS = Spec(
     "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from {customer}",
-    "select c_custkey, c_name, c_nationkey, case when c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal, c_mktsegment from {customer} where c_custkey % 60 <> 0 union all select -c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from {customer} where c_custkey % 32 = 0",
+    "select c_custkey, c_name, c_nationkey, case when c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal, c_mktsegment from "
+    "{customer} where c_custkey % 60 <> 0 union all select -c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from {customer} where c_custkey "
+    "% 32 = 0",
     ["c_custkey"], {"c_name": "STRING", "c_nationkey": "INTEGER", "c_acctbal": "FLOAT", "c_mktsegment": "STRING"},
 )
 ARRAYS = Spec(
     "select vec_id, embedding from {embeddings}",
-    "select vec_id, case when vec_id % 3 = 0 then {reversed} when vec_id % 7 = 0 then {shortened} when vec_id % 31 = 0 then null else embedding end as embedding from {embeddings}",
+    "select vec_id, case when vec_id % 3 = 0 then {reversed} when vec_id % 7 = 0 then {shortened} when vec_id % 31 = 0 then null else embedding end "
+    "as embedding from {embeddings}",
     ["vec_id"], {"embedding": "ARRAY"},
 )
 #: The only expressions that differ between the engines.
 ARRAY_WORDS = {"reversed": ("reverse(embedding)", "list_reverse(embedding)"), "shortened": ("slice(embedding, 1, 63)", "embedding[1:63]")}
 SMALL_INTS = Spec(
-    "select o_orderkey, cast(case when o_orderkey % 3 = 0 then 100 else o_orderkey % 50 end as tinyint) as t, cast(case when o_orderkey % 3 = 0 then 30000 else o_orderkey % 50 end as smallint) as s, cast(case when o_orderkey % 3 = 0 then 2000000000 else o_orderkey % 50 end as int) as i from {orders}",
-    "select o_orderkey, cast(case when o_orderkey % 6 = 0 then -100 else o_orderkey % 50 end as tinyint) as t, cast(case when o_orderkey % 6 = 0 then -30000 else o_orderkey % 50 end as smallint) as s, cast(case when o_orderkey % 6 = 0 then -2000000000 else o_orderkey % 50 end as int) as i from {orders}",
+    "select o_orderkey, cast(case when o_orderkey % 3 = 0 then 100 else o_orderkey % 50 end as tinyint) as t, cast(case when o_orderkey % 3 = 0 then "
+    "30000 else o_orderkey % 50 end as smallint) as s, cast(case when o_orderkey % 3 = 0 then 2000000000 else o_orderkey % 50 end as int) as i from "
+    "{orders}",
+    "select o_orderkey, cast(case when o_orderkey % 6 = 0 then -100 else o_orderkey % 50 end as tinyint) as t, cast(case when o_orderkey % 6 = 0 "
+    "then -30000 else o_orderkey % 50 end as smallint) as s, cast(case when o_orderkey % 6 = 0 then -2000000000 else o_orderkey % 50 end as int) as "
+    "i from {orders}",
     ["o_orderkey"], {"t": "INTEGER", "s": "INTEGER", "i": "INTEGER"},
 )
 HALF_NULL = Spec(
     "select case when o_orderkey % 2 = 0 then null else o_orderkey end as k, o_orderdate, o_totalprice from {orders}",
-    "select case when o_orderkey % 4 < 2 then null else o_orderkey end as k, o_orderdate, case when o_orderkey % 5 = 0 then o_totalprice + 2 else o_totalprice end as o_totalprice from {orders}",
+    "select case when o_orderkey % 4 < 2 then null else o_orderkey end as k, o_orderdate, case when o_orderkey % 5 = 0 then o_totalprice + 2 else "
+    "o_totalprice end as o_totalprice from {orders}",
     ["k", "o_orderdate"], {"o_totalprice": "FLOAT"},
 )
 BY_COLUMN = Spec(
     "select p_partkey, p_retailprice as price, cast(p_size as double) as weight from {part}",
-    "select p_partkey, case when p_partkey % 3 = 0 then p_retailprice - 1.25 when p_partkey % 11 = 0 then p_retailprice + 3 else p_retailprice end as price, cast(case when p_partkey % 5 = 0 then p_size + 3 when p_partkey % 7 = 0 then p_size + 0.25 else p_size end as double) as weight from {part}",
+    "select p_partkey, case when p_partkey % 3 = 0 then p_retailprice - 1.25 when p_partkey % 11 = 0 then p_retailprice + 3 else p_retailprice end "
+    "as price, cast(case when p_partkey % 5 = 0 then p_size + 3 when p_partkey % 7 = 0 then p_size + 0.25 else p_size end as double) as weight from "
+    "{part}",
     ["p_partkey"], {"price": "FLOAT", "weight": "FLOAT"}, 0.5, None, {"price": 2.0}, {"weight": 0.05},
 )
 GEO_A = "select c_custkey, cast(c_custkey % 360 - 180 as double) as lon, cast(c_custkey % 121 - 60 as double) as lat from {customer}"
-GEO_B = "select c_custkey, cast(c_custkey % 360 - 180 as double) + case when c_custkey % 4 = 0 then 0.001 else 0 end as lon, cast(c_custkey % 121 - 60 as double) + case when c_custkey % 6 = 0 then 0.25 else 0 end as lat from {customer}"
+GEO_B = (
+    "select c_custkey, cast(c_custkey % 360 - 180 as double) + case when c_custkey % 4 = 0 then 0.001 else 0 end as lon, cast(c_custkey % 121 - 60 "
+    "as double) + case when c_custkey % 6 = 0 then 0.25 else 0 end as lat from {customer}"
+)
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -133,7 +153,9 @@ def hot(spark: SparkSession, sf_dir: str) -> Comparison:
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Sums of floating-point numbers depend on their order."""
-    return df.select(*[F.round(F.col(n).cast("double"), places).alias(n) if t in ("double", "float") or t.startswith("decimal") else F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
+    return df.select(
+        *[F.round(F.col(n).cast("double"), places).alias(n) if t in ("double", "float") or t.startswith("decimal") else F.col(n).cast("long").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes]
+    )
 
 
 def summary_of(s: Spec, legacy: bool = False) -> Query:
@@ -146,38 +168,76 @@ def breaker_of(s: Spec, fraction: float) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         c = compared(spark, d, s)
         counts = summary.summarize(c.layers(), flags_only=True).crossJoin(c.duplicate_check().select("total_rows_a", "total_rows_b"))
-        return counts.select((F.col("rows_in_both_diff") > F.greatest("total_rows_a", "total_rows_b") * F.lit(fraction)).alias("aborted"), "rows_only_in_a", "rows_only_in_b", "rows_in_both_diff", "total_rows_a", "total_rows_b")
+        return counts.select(
+            (F.col("rows_in_both_diff") > F.greatest("total_rows_a", "total_rows_b") * F.lit(fraction)).alias("aborted"),
+            "rows_only_in_a",
+            "rows_only_in_b",
+            "rows_in_both_diff",
+            "total_rows_a",
+            "total_rows_b",
+        )
 
     return query
 
 
 def breaker_sql(s: Spec, fraction: float) -> str:
-    return f"select rows_in_both_diff > greatest(total_rows_a, total_rows_b) * {fraction}::double as aborted, rows_only_in_a, rows_only_in_b, rows_in_both_diff, total_rows_a, total_rows_b from ({oracle.summary(s)}) cross join ({oracle.duplicates(s)})"
+    return (
+        f"select rows_in_both_diff > greatest(total_rows_a, total_rows_b) * {fraction}::double as aborted, rows_only_in_a, rows_only_in_b, "
+        f"rows_in_both_diff, total_rows_a, total_rows_b from ({oracle.summary(s)}) cross join ({oracle.duplicates(s)})"
+    )
 
 
 def struct_compare(spark: SparkSession, d: str) -> DataFrame:
-    nested = [frame(spark, d, sql).select("c_custkey", F.struct(F.struct("c_name", F.col("c_acctbal").alias("bal")).alias("inner"), F.col("c_mktsegment").alias("seg")).alias("info")) for sql in (CUSTOMERS.a, CUSTOMERS.b)]
+    nested = [
+        frame(spark, d, sql).select(
+            "c_custkey",
+            F.struct(F.struct("c_name", F.col("c_acctbal").alias("bal")).alias("inner"), F.col("c_mktsegment").alias("seg")).alias("info"),
+        ) for sql in (CUSTOMERS.a, CUSTOMERS.b)
+    ]
     return rounded(summary.summarize(Comparison(*nested, keys=["c_custkey"]).layers()))
 
 
-STRUCT = Spec(*[f"select c_custkey, c_name as info__inner__c_name, c_acctbal as info__inner__bal, c_mktsegment as info__seg from ({sql})" for sql in (CUSTOMERS.a, CUSTOMERS.b)], ["c_custkey"], {"info__inner__c_name": "STRING", "info__inner__bal": "FLOAT", "info__seg": "STRING"})
+STRUCT = Spec(
+    *[f"select c_custkey, c_name as info__inner__c_name, c_acctbal as info__inner__bal, c_mktsegment as info__seg from ({sql})" for sql in (CUSTOMERS.a, CUSTOMERS.b)],
+    ["c_custkey"],
+    {"info__inner__c_name": "STRING", "info__inner__bal": "FLOAT", "info__seg": "STRING"},
+)
 
 
 def array_of_struct(spark: SparkSession, d: str) -> DataFrame:
     """The lines of an order as an array of structs, in no order."""
-    sides = [frame(spark, d, sql).groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag")).alias("lines")) for sql in (LINES.a, LINES.b)]
+    sides = [
+        frame(spark, d, sql).groupBy("l_orderkey").agg(
+            F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag")).alias("lines")
+        ) for sql in (LINES.a, LINES.b)
+    ]
     return rounded(summary.summarize(Comparison(*sides, keys=["l_orderkey"]).layers()))
 
 
-LINES_AS_LISTS = Spec(*[f"select l_orderkey, list(struct_pack(l_linenumber := l_linenumber, l_quantity := l_quantity, l_returnflag := l_returnflag)) as lines from ({sql}) group by l_orderkey" for sql in (LINES.a, LINES.b)], ["l_orderkey"], {"lines": "ARRAY"})
+LINES_AS_LISTS = Spec(
+    *[f"select l_orderkey, list(struct_pack(l_linenumber := l_linenumber, l_quantity := l_quantity, l_returnflag := l_returnflag)) as lines from ({sql}) "
+        "group by l_orderkey" for sql in (LINES.a, LINES.b)],
+    ["l_orderkey"],
+    {"lines": "ARRAY"},
+)
 
 
 def kll_compare(spark: SparkSession, d: str) -> DataFrame:
-    sides = [frame(spark, d, sql).groupBy("p_brand").agg(F.call_function("kll_sketch_agg_double", F.col("p_retailprice")).alias("sketch")) for sql in (PART.a, PART.b)]
+    sides = [
+        frame(spark, d, sql).groupBy("p_brand").agg(
+            F.call_function("kll_sketch_agg_double", F.col("p_retailprice")).alias("sketch")
+        ) for sql in (PART.a, PART.b)
+    ]
     c = Comparison(*sides, keys=["p_brand"], settings=Settings(sketch_absolute=0.0, sketch_relative=0.0005), sketches=["sketch"])
     pair = Pair(c.values[0], c.settings)
     rows = align(c.a, c.b, c.key_columns, c.values)
-    return rows.select("p_brand", pair.equal.alias("same"), pair.shown[0].alias("median_a"), pair.shown[1].alias("median_b"), F.round(pair.deltas["max_abs_value_diff"], 6).alias("largest"))
+    return rows.select(
+        "p_brand",
+        pair.equal.alias("same"),
+        pair.shown[0].alias("median_a"),
+        pair.shown[1].alias("median_b"),
+        F.round(pair.deltas["max_abs_value_diff"], 6).alias("largest"),
+    )
 
 
 def kll_sql() -> str:
@@ -185,7 +245,10 @@ def kll_sql() -> str:
     side = lambda sql: f"(select p_brand, [{', '.join(f'quantile_disc(p_retailprice, {p})' for p in oracle.PROBES)}] as q from ({oracle.plain(sql)}) group by p_brand)"
     ok = " and ".join(f"(abs(a.q[{i}] - b.q[{i}]) <= 0 or abs(a.q[{i}] - b.q[{i}]) / greatest(abs(a.q[{i}]), abs(b.q[{i}])) <= 0.0005)" for i in range(1, 6))
     largest = ", ".join(f"abs(a.q[{i}] - b.q[{i}])" for i in range(1, 6))
-    return f"select a.p_brand, {ok} as same, a.q[3] as median_a, b.q[3] as median_b, round(greatest({largest}), 6) as largest from {side(PART.a)} a join {side(PART.b)} b using (p_brand)"
+    return (
+        f"select a.p_brand, {ok} as same, a.q[3] as median_a, b.q[3] as median_b, round(greatest({largest}), 6) as largest from {side(PART.a)} a join "
+        f"{side(PART.b)} b using (p_brand)"
+    )
 
 
 def geo_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -202,25 +265,41 @@ def geo_distance(spark: SparkSession, d: str) -> DataFrame:
 def geo_sql() -> str:
     h = "pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)"
     far = f"2 * 6371010.0 * asin(least(1.0, sqrt({h})))"
-    return f"select a.c_custkey, a.lon = b.lon and a.lat = b.lat as same, {far} <= 1000 as near, round({far}, 3) as metres from ({oracle.plain(GEO_A)}) a join ({oracle.plain(GEO_B)}) b using (c_custkey)"
+    return (
+        f"select a.c_custkey, a.lon = b.lon and a.lat = b.lat as same, {far} <= 1000 as near, round({far}, 3) as metres from ({oracle.plain(GEO_A)}) a "
+        f"join ({oracle.plain(GEO_B)}) b using (c_custkey)"
+    )
 
 
 def kll_bigint(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """Sketches of whole numbers: each pair, or the summary's statistics of them."""
-    sides = [frame(spark, d, sql).groupBy("p_brand").agg(F.call_function("kll_sketch_agg_bigint", F.col("p_size").cast("bigint")).alias("sketch")) for sql in (PART.a, PART.b)]
+    sides = [
+        frame(spark, d, sql).groupBy("p_brand").agg(
+            F.call_function("kll_sketch_agg_bigint", F.col("p_size").cast("bigint")).alias("sketch")
+        ) for sql in (PART.a, PART.b)
+    ]
     c = Comparison(*sides, keys=["p_brand"], settings=Settings(sketch_absolute=1.0, sketch_relative=0.0), int_sketches=["sketch"])
     if whole:
         return rounded(summary.summarize(c.layers()))
     pair = Pair(c.values[0], c.settings)
     rows = align(c.a, c.b, c.key_columns, c.values)
-    return rows.select("p_brand", pair.equal.alias("same"), pair.shown[0].alias("median_a"), pair.shown[1].alias("median_b"), pair.deltas["max_abs_value_diff"].alias("largest"))
+    return rows.select(
+        "p_brand",
+        pair.equal.alias("same"),
+        pair.shown[0].alias("median_a"),
+        pair.shown[1].alias("median_b"),
+        pair.deltas["max_abs_value_diff"].alias("largest"),
+    )
 
 
 def kll_bigint_sql(whole: bool = False) -> str:
     side = lambda sql: f"(select p_brand, [{', '.join(f'quantile_disc(p_size::bigint, {p})' for p in oracle.PROBES)}] as q from ({oracle.plain(sql)}) group by p_brand)"
     ok = " and ".join(f"abs(a.q[{i}] - b.q[{i}]) <= 1" for i in range(1, 6))
     largest = ", ".join(f"abs(a.q[{i}] - b.q[{i}])" for i in range(1, 6))
-    rows = f"select a.p_brand, {ok} as same, a.q[3] as median_a, b.q[3] as median_b, greatest({largest})::double as largest from {side(PART.a)} a join {side(PART.b)} b using (p_brand)"
+    rows = (
+        f"select a.p_brand, {ok} as same, a.q[3] as median_a, b.q[3] as median_b, greatest({largest})::double as largest from {side(PART.a)} a join "
+        f"{side(PART.b)} b using (p_brand)"
+    )
     return rows if not whole else f"select 0::bigint as rows_only_in_a, 0::bigint as rows_only_in_b, count(*) as rows_in_both_diff, count(*) as sketch__diff_count, count(*) as sketch__mismatches, max(largest) as sketch__max_value_diff, round(avg(largest), 6) as sketch__avg_value_diff from ({rows}) where not same"
 
 
@@ -234,7 +313,10 @@ def timestamp_ltz(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "in_a", "in_b", "t__delta", "t__abs_delta", F.round("t__rel_delta", 12).alias("t__rel_delta"))
 
 
-TIMESTAMP_LTZ_SQL = "select event_id, true as in_a, true as in_b, -3600000000 as t__delta, 3600000000 as t__abs_delta, round(-3600000000::double / ((1730610000 + event_id % 10000 + 3600) * 1000000)::double, 12) as t__rel_delta from events where event_id % 9 = 0"
+TIMESTAMP_LTZ_SQL = (
+    "select event_id, true as in_a, true as in_b, -3600000000 as t__delta, 3600000000 as t__abs_delta, round(-3600000000::double / ((1730610000 + "
+    "event_id % 10000 + 3600) * 1000000)::double, 12) as t__rel_delta from events where event_id % 9 = 0"
+)
 
 
 def array_text(spark: SparkSession, d: str) -> DataFrame:
@@ -243,47 +325,99 @@ def array_text(spark: SparkSession, d: str) -> DataFrame:
     return Comparison(*sides, keys=["l_orderkey"]).diff()
 
 
-NUMBERS = Spec("select l_orderkey, cast(l_linenumber * 7 as int) as x from {lineitem}", "select l_orderkey, cast(l_linenumber * 7 as int) as x from {lineitem} where l_orderkey % 5 <> 0 or l_linenumber <> 2", ["l_orderkey"], {})
-NUMBERS_AS_LISTS = Spec(*[f"select l_orderkey, list(x) as xs from ({sql}) group by l_orderkey" for sql in (NUMBERS.a, NUMBERS.b)], ["l_orderkey"], {"xs": "ARRAY"})
+NUMBERS = Spec(
+    "select l_orderkey, cast(l_linenumber * 7 as int) as x from {lineitem}",
+    "select l_orderkey, cast(l_linenumber * 7 as int) as x from {lineitem} where l_orderkey % 5 <> 0 or l_linenumber <> 2",
+    ["l_orderkey"],
+    {},
+)
+NUMBERS_AS_LISTS = Spec(
+    *[f"select l_orderkey, list(x) as xs from ({sql}) group by l_orderkey" for sql in (NUMBERS.a, NUMBERS.b)],
+    ["l_orderkey"],
+    {"xs": "ARRAY"},
+)
 
 
 def array_text_sql() -> str:
     text = lambda x: f"coalesce('[' || array_to_string(list_sort(list_transform({x}, lambda e: e::varchar)), ',') || ']', '[]')"
-    return f"select l_orderkey, in_a, in_b, {text('a__xs')} as a__xs, {text('b__xs')} as b__xs, len(a__xs) - len(b__xs) as xs__len_delta, not {oracle.equal('ARRAY', 'a__xs', 'b__xs')} as xs__mismatch from {oracle.differing(NUMBERS_AS_LISTS)}"
+    return (
+        f"select l_orderkey, in_a, in_b, {text('a__xs')} as a__xs, {text('b__xs')} as b__xs, len(a__xs) - len(b__xs) as xs__len_delta, not "
+        f"{oracle.equal('ARRAY', 'a__xs', 'b__xs')} as xs__mismatch from {oracle.differing(NUMBERS_AS_LISTS)}"
+    )
 
 
 def geo_counts(spark: SparkSession, d: str) -> DataFrame:
     """Places within and outside a tolerance in metres, as a summary counts them."""
     sides = [frame(spark, d, sql).select("c_custkey", F.struct("lon", "lat").alias("place")) for sql in (GEO_A, GEO_B)]
     c = Comparison(*sides, keys=["c_custkey"], settings=Settings(Tolerance(absolute=1000.0)), geography=["place"])
-    return summary.summarize(c.layers()).select("rows_in_both_diff", "rows_in_both_diff_post_tolerance", "place__diff_count", "place__within", "place__outside")
+    return summary.summarize(c.layers()).select(
+        "rows_in_both_diff",
+        "rows_in_both_diff_post_tolerance",
+        "place__diff_count",
+        "place__within",
+        "place__outside",
+    )
 
 
 def geo_counts_sql() -> str:
-    return f"select count(*) as rows_in_both_diff, count(*) filter (not near) as rows_in_both_diff_post_tolerance, count(*) as place__diff_count, count(*) filter (near) as place__within, count(*) filter (not near) as place__outside from ({geo_sql()}) where not same"
+    return (
+        "select count(*) as rows_in_both_diff, count(*) filter (not near) as rows_in_both_diff_post_tolerance, count(*) as place__diff_count, "
+        f"count(*) filter (near) as place__within, count(*) filter (not near) as place__outside from ({geo_sql()}) where not same"
+    )
 
 
 def summary_result(spark: SparkSession, d: str) -> DataFrame:
     """What a summary derives from its counts."""
     found = compared(spark, d, TOLERANT).summary()
-    return spark.createDataFrame([(found.rows_matched, found.rows_identical, found.rows_different, found.identical, len(found.differing))], "rows_matched long, rows_identical long, rows_different long, identical boolean, differing_columns long")
+    return spark.createDataFrame(
+        [(found.rows_matched, found.rows_identical, found.rows_different, found.identical, len(found.differing))],
+        "rows_matched long, rows_identical long, rows_different long, identical boolean, differing_columns long",
+    )
 
 
 def summary_result_sql() -> str:
     count = " + ".join(f"({v}__diff_count > 0)::bigint" for v in ORDERS_KINDS)
-    return f"select total_rows_a - rows_only_in_a as rows_matched, total_rows_a - rows_only_in_a - rows_in_both_diff as rows_identical, rows_in_both_diff_post_tolerance as rows_different, rows_only_in_a + rows_only_in_b + rows_in_both_diff_post_tolerance = 0 as identical, {count} as differing_columns from ({oracle.summary(TOLERANT)}) cross join ({oracle.duplicates(TOLERANT)})"
+    return (
+        "select total_rows_a - rows_only_in_a as rows_matched, total_rows_a - rows_only_in_a - rows_in_both_diff as rows_identical, "
+        "rows_in_both_diff_post_tolerance as rows_different, rows_only_in_a + rows_only_in_b + rows_in_both_diff_post_tolerance = 0 as identical, "
+        f"{count} as differing_columns from ({oracle.summary(TOLERANT)}) cross join ({oracle.duplicates(TOLERANT)})"
+    )
 
 
 def column_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Every column's kind and type, and whether a comparison leaves it out."""
-    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", "p_retailprice", F.struct("p_size", F.array("p_name").alias("names")).alias("more"), F.array(F.struct("p_size", "p_brand")).alias("pairs"), F.array(F.array("p_size")).alias("grid"), F.create_map("p_brand", "p_size").alias("by_brand"))
-    part = part.select(F.col("p_partkey").cast("bigint"), "p_brand", "p_retailprice", F.col("more").cast("struct<p_size:int,names:array<string>>"), F.col("pairs").cast("array<struct<p_size:int,p_brand:string>>"), F.col("grid").cast("array<array<int>>"), F.col("by_brand").cast("map<string,int>"))
+    part = spark.read.parquet(f"{d}/part.parquet").select(
+        "p_partkey",
+        "p_brand",
+        "p_retailprice",
+        F.struct("p_size", F.array("p_name").alias("names")).alias("more"),
+        F.array(F.struct("p_size", "p_brand")).alias("pairs"),
+        F.array(F.array("p_size")).alias("grid"),
+        F.create_map("p_brand", "p_size").alias("by_brand"),
+    )
+    part = part.select(
+        F.col("p_partkey").cast("bigint"),
+        "p_brand",
+        "p_retailprice",
+        F.col("more").cast("struct<p_size:int,names:array<string>>"),
+        F.col("pairs").cast("array<struct<p_size:int,p_brand:string>>"),
+        F.col("grid").cast("array<array<int>>"),
+        F.col("by_brand").cast("map<string,int>"),
+    )
     c = Comparison(part, part, ["p_partkey"])
     out = {n for n, _ in c.schema.excluded}
-    return spark.createDataFrame([(x.name, x.kind, x.type, x.name in out) for x in c.schema.columns], "column_name string, kind string, type string, excluded boolean")
+    return spark.createDataFrame(
+        [(x.name, x.kind, x.type, x.name in out) for x in c.schema.columns],
+        "column_name string, kind string, type string, excluded boolean",
+    )
 
 
-COLUMN_KINDS_SQL = "select * from (values ('p_partkey', 'INTEGER', 'bigint', false), ('p_brand', 'STRING', 'string', false), ('p_retailprice', 'FLOAT', 'double', false), ('more.p_size', 'INTEGER', 'int', false), ('more.names', 'ARRAY', 'array<string>', false), ('pairs', 'ARRAY', 'array<struct<p_size:int,p_brand:string>>', false), ('grid', 'UNSUPPORTED', 'array<array<int>>', true), ('by_brand', 'UNSUPPORTED', 'map<string,int>', true)) t(column_name, kind, type, excluded)"
+COLUMN_KINDS_SQL = (
+    "select * from (values ('p_partkey', 'INTEGER', 'bigint', false), ('p_brand', 'STRING', 'string', false), ('p_retailprice', 'FLOAT', 'double', "
+    "false), ('more.p_size', 'INTEGER', 'int', false), ('more.names', 'ARRAY', 'array<string>', false), ('pairs', 'ARRAY', "
+    "'array<struct<p_size:int,p_brand:string>>', false), ('grid', 'UNSUPPORTED', 'array<array<int>>', true), ('by_brand', 'UNSUPPORTED', "
+    "'map<string,int>', true)) t(column_name, kind, type, excluded)"
+)
 
 
 def differing_columns_sql(s: Spec) -> str:
@@ -299,7 +433,10 @@ def schema_intersection(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "column_name string, status string")
 
 
-SCHEMA_SQL = "select * from (values ('p_partkey', 'compared'), ('p_brand', 'compared'), ('p_retailprice', 'compared'), ('p_name', 'only in a'), ('p_type', 'only in b'), ('p_size', 'type differs')) t(column_name, status)"
+SCHEMA_SQL = (
+    "select * from (values ('p_partkey', 'compared'), ('p_brand', 'compared'), ('p_retailprice', 'compared'), ('p_name', 'only in a'), ('p_type', "
+    "'only in b'), ('p_size', 'type differs')) t(column_name, status)"
+)
 
 
 def partition_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +446,12 @@ def partition_filter(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary.summarize(c.layers()))
 
 
-FILTERED = Spec(f"select * from ({ORDERS_A}) where o_orderdate is null or cast(o_orderdate as date) <> date '1995-03-05'", f"select * from ({ORDERS_B}) where o_orderdate >= timestamp '1994-01-01'", ["o_orderkey"], ORDERS_KINDS)
+FILTERED = Spec(
+    f"select * from ({ORDERS_A}) where o_orderdate is null or cast(o_orderdate as date) <> date '1995-03-05'",
+    f"select * from ({ORDERS_B}) where o_orderdate >= timestamp '1994-01-01'",
+    ["o_orderkey"],
+    ORDERS_KINDS,
+)
 TOLERANT, STRICT = orders(DEFAULT_ABSOLUTE, DEFAULT_RELATIVE), orders()
 CHOSEN = ["o_custkey", "o_totalprice"]
 
@@ -364,7 +506,10 @@ QUERIES: dict[str, Query] = {name: summary_of(*how) for name, how in SUMMARIES.i
     "kll_bigint": kll_bigint,
     "kll_stats": lambda s, d: kll_bigint(s, d, True),
     "geo_counts": geo_counts,
-    "differing_keys": lambda s, d: rowdiff.differing(align(*[frame(s, d, x) for x in (ORDERS_A, ORDERS_B)], compared(s, d, STRICT).key_columns, compared(s, d, STRICT).values), [Pair(v, Settings()) for v in compared(s, d, STRICT).values]).select("o_orderkey", "in_a", "in_b"),
+    "differing_keys": lambda s, d: rowdiff.differing(
+        align(*[frame(s, d, x) for x in (ORDERS_A, ORDERS_B)], compared(s, d, STRICT).key_columns, compared(s, d, STRICT).values),
+        [Pair(v, Settings()) for v in compared(s, d, STRICT).values],
+    ).select("o_orderkey", "in_a", "in_b"),
     "duplicate_keys": lambda s, d: compared(s, d, LINES).duplicate_check(),
     "null_key_counts": lambda s, d: compared(s, d, NULL_KEYS).duplicate_check(),
     "struct_compare": struct_compare,
@@ -409,7 +554,9 @@ ORACLE_SQL: dict[str, str] = {name: _duck(oracle.summary(s, legacy)) for name, (
     "diff_only_differing": oracle.diff(PART, ["p_size", "p_retailprice"]),
     "differing_columns": differing_columns_sql(CUSTOMERS),
     "differing_orders": differing_columns_sql(STRICT),
-    "breakdown_totals": f"select sum(only_in_a)::bigint as only_in_a, sum(only_in_b)::bigint as only_in_b, sum(in_both_diff)::bigint as in_both_diff, sum(total)::bigint as total from ({oracle.breakdown(TOLERANT, 'o_orderstatus')})",
+    "breakdown_totals":
+        "select sum(only_in_a)::bigint as only_in_a, sum(only_in_b)::bigint as only_in_b, sum(in_both_diff)::bigint as in_both_diff, sum(total)::bigint "
+        f"as total from ({oracle.breakdown(TOLERANT, 'o_orderstatus')})",
     "summary_result": summary_result_sql(),
     "column_kinds": COLUMN_KINDS_SQL,
     "tolerance_options": kept.tolerances_sql(BY_COLUMN),

@@ -142,7 +142,14 @@ class Comparison:
         names = self.differing_columns()
         return self.diff(names, limit) if names else None
 
-    def summary(self, breaker: float = 1.0, legacy: bool = False, split_to: tuple[str, str] | None = None, split_mode: str = "error", split_expiry_hours: float = tables.SPLIT_EXPIRY_HOURS) -> Summary:
+    def summary(
+        self,
+        breaker: float = 1.0,
+        legacy: bool = False,
+        split_to: tuple[str, str] | None = None,
+        split_mode: str = "error",
+        split_expiry_hours: float = tables.SPLIT_EXPIRY_HOURS,
+    ) -> Summary:
         """Run it, in one action. breaker: above this fraction of the larger table's rows differing, no statistics are given.
 
         split_to: tables to which each side's differing rows are written, in either case: both, or on a failure neither.
@@ -170,13 +177,29 @@ class Comparison:
         for p in found.pairs:
             name = p.column.alias
             mine = {k.removeprefix(f"{name}__"): v for k, v in got.items() if k.startswith(f"{name}__") and f"{name}__" == alias_prefix(k, found)}
-            columns.append(ColumnFound(p.column.name, p.column.kind, p.column.type, mine.pop("diff_count"), p.toleranced, *[None if aborted else x for x in (mine.pop("within", None), mine.pop("outside", None))], {} if aborted else mine))
-        side = lambda s: SideCounts(**{k: sides[f"{k}_{s}"] for k in ("total_rows", "duplicate_keys", "duplicate_rows", "max_multiplicity", "null_key_rows")})
+            columns.append(
+                ColumnFound(
+                    p.column.name,
+                    p.column.kind,
+                    p.column.type,
+                    mine.pop("diff_count"),
+                    p.toleranced,
+                    *[None if aborted else x for x in (mine.pop("within", None), mine.pop("outside", None))],
+                    {} if aborted else mine,
+                )
+            )
+        side = lambda s: SideCounts(
+            **{k: sides[f"{k}_{s}"] for k in ("total_rows", "duplicate_keys", "duplicate_rows", "max_multiplicity", "null_key_rows")}
+        )
         t: Tolerance = self.settings.tolerance
         used = [p.column.name for p in found.pairs if p.toleranced]
         return Summary(
             self.name_a, self.name_b, list(self.keys), side("a"), side("b"), got["rows_only_in_a"], got["rows_only_in_b"], got["rows_in_both_diff"],
-            None if aborted else got.get("rows_in_both_diff_post_tolerance"), columns, [list(x) for x in self.schema.excluded], [*self.warnings, *self.schema.warnings(), *noted], self.filter_a, self.filter_b,
+            None if aborted else got.get("rows_in_both_diff_post_tolerance"), columns, [list(x) for x in self.schema.excluded], [
+                *self.warnings,
+                *self.schema.warnings(),
+                *noted,
+            ], self.filter_a, self.filter_b,
             {n: v for n in used if (v := t.absolute_of(n)) is not None}, {n: v for n in used if (v := t.relative_of(n)) is not None}, aborted, legacy,
         )
 

@@ -50,14 +50,24 @@ def split_written_sql(s: Spec) -> str:
 
 def partition_detect(spark: SparkSession, d: str) -> DataFrame:
     """Lines in a folder partitioned by their flag: the column is found from the folder, and its sentinel left out of a side."""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", F.date_trunc("year", "l_shipdate").cast("date").alias("year"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_quantity",
+        F.date_trunc("year", "l_shipdate").cast("date").alias("year"),
+    )
     root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     path = f"{root}/{name_of_table()}"
     lines.write.partitionBy("year").parquet(path)
     column = tables.partition_column(spark, path)
     a = tables.scan(spark, path).where(tables.any_partition(column, "1995-01-01"))
     c = Comparison(a, lines.where("year <> date'1996-01-01'"), ["l_orderkey", "l_linenumber"])
-    return summary.summarize(c.layers(), flags_only=True).select(F.lit(column).alias("partition_column"), "rows_only_in_a", "rows_only_in_b", "rows_in_both_diff")
+    return summary.summarize(c.layers(), flags_only=True).select(
+        F.lit(column).alias("partition_column"),
+        "rows_only_in_a",
+        "rows_only_in_b",
+        "rows_in_both_diff",
+    )
 
 
 _YEARS = "select l_orderkey, l_linenumber, l_quantity, cast(date_trunc('year', l_shipdate) as date) as year from {lineitem} where year(l_shipdate) <> "
@@ -97,7 +107,9 @@ def tolerances_applied(s: Spec, sides: Callable[[SparkSession, str], tuple[DataF
 
 
 def tolerances_sql(s: Spec) -> str:
-    return " union all ".join(f"select '{name}' as options, {', '.join(_counts(s))} from ({oracle.summary(with_options(s, t))})" for name, t in OPTIONS.items())
+    return (
+        " union all ".join(f"select '{name}' as options, {', '.join(_counts(s))} from ({oracle.summary(with_options(s, t))})" for name, t in OPTIONS.items())
+    )
 
 
 def report_cells(c: Comparison) -> DataFrame:
@@ -113,7 +125,8 @@ def report_sql(s: Spec) -> str:
     near = lambda v: s.kinds[v] == "FLOAT"
     text = lambda x: f"format('{{:,}}', {x})"
     rows = " union all ".join(
-        f"select '{v}' as column_name, '{KINDS[k].short}' as type, {v}__diff_count as n, {f'coalesce({v}__sum_rel, 0)' if oracle.deltas(k, 'a', 'b').get('rel_delta') else '0'} as weight, "
+        f"select '{v}' as column_name, '{KINDS[k].short}' as type, {v}__diff_count as n, "
+        f"{f'coalesce({v}__sum_rel, 0)' if oracle.deltas(k, 'a', 'b').get('rel_delta') else '0'} as weight, "
         + (f"{text(f'{v}__outside')} as outside, {text(f'{v}__within')} as within, case when {v}__outside > 0 then 'NOK' else 'OK' end as status" if near(v) else "'-' as outside, '-' as within, 'NOK' as status")
         + f" from found where {v}__diff_count > 0"
         for v, k in s.kinds.items()

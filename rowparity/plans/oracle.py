@@ -60,7 +60,10 @@ def joined(s: Spec) -> str:
     on = " and ".join(f"a.{k} = b.{k}" for k in s.keys)
     keys = ", ".join(f"coalesce(a.{k}, b.{k}) as {k}" for k in s.keys)
     values = "".join(f", a.{v} as a__{v}, b.{v} as b__{v}" for v in s.kinds)
-    return f"(select {keys}, a.{s.keys[0]} is not null as in_a, b.{s.keys[0]} is not null as in_b{values} from ({plain(s.a)}) a full outer join ({plain(s.b)}) b on {on})"
+    return (
+        f"(select {keys}, a.{s.keys[0]} is not null as in_a, b.{s.keys[0]} is not null as in_b{values} from ({plain(s.a)}) a full outer join "
+        f"({plain(s.b)}) b on {on})"
+    )
 
 
 def plain(sql: str) -> str:
@@ -79,7 +82,11 @@ def summary(s: Spec, legacy: bool = False, places: int = 6) -> str:
     same, excuse = flags(s)
     both = "(in_a and in_b)"
     counted = f"({both} and not ({excuse}))" if legacy and excuse else both
-    out = ["count(*) filter (in_a and not in_b) as rows_only_in_a", "count(*) filter (in_b and not in_a) as rows_only_in_b", f"count(*) filter {both} as rows_in_both_diff"]
+    out = [
+        "count(*) filter (in_a and not in_b) as rows_only_in_a",
+        "count(*) filter (in_b and not in_a) as rows_only_in_b",
+        f"count(*) filter {both} as rows_in_both_diff",
+    ]
     rounded = lambda x: f"round(({x})::double, {places})"
     for v, kind in s.kinds.items():
         a, b = f"a__{v}", f"b__{v}"
@@ -88,12 +95,21 @@ def summary(s: Spec, legacy: bool = False, places: int = 6) -> str:
         f = f"filter ({counted})"
         if "rel_delta" in d:
             size, share = f"({d['abs_delta']})::double", f"abs({d['rel_delta']})"
-            out += [f"{rounded(f'max({size}) {f}')} as {v}__max_abs", f"{rounded(f'max({share}) {f}')} as {v}__max_rel", f"{rounded(f'avg({size}) {f}')} as {v}__avg_abs", f"{rounded(f'sum({share}) {f}')} as {v}__sum_rel"]
+            out += [
+                f"{rounded(f'max({size}) {f}')} as {v}__max_abs",
+                f"{rounded(f'max({share}) {f}')} as {v}__max_rel",
+                f"{rounded(f'avg({size}) {f}')} as {v}__avg_abs",
+                f"{rounded(f'sum({share}) {f}')} as {v}__sum_rel",
+            ]
         elif kind == "STRING":
             out.append(f"count(*) filter ({counted} and not {same[v]}) as {v}__mismatches")
         elif kind == "ARRAY" and not legacy:
             size = f"abs({d['len_delta']})"
-            out += [f"count(*) filter ({counted} and not {same[v]}) as {v}__mismatches", f"(max({size}) {f})::bigint as {v}__max_len_delta", f"{rounded(f'avg({size}) {f}')} as {v}__avg_len_delta"]
+            out += [
+                f"count(*) filter ({counted} and not {same[v]}) as {v}__mismatches",
+                f"(max({size}) {f})::bigint as {v}__max_len_delta",
+                f"{rounded(f'avg({size}) {f}')} as {v}__avg_len_delta",
+            ]
         if near := within(s, kind, a, b):
             rows = both if legacy else f"{both} and not {same[v]}"
             out += [f"count(*) filter ({rows} and {near}) as {v}__within", f"count(*) filter ({rows} and not {near}) as {v}__outside"]
@@ -135,14 +151,20 @@ def split(s: Spec, which: str) -> str:
     every = " and ".join(same.values()) or "true"
     wanted = f"in_{which}" + (f" and (not in_{other} or not ({excuse}))" if excuse else "")
     on = " and ".join(f"d.{k} = t.{k}" for k in s.keys)
-    return f"select t.* from ({plain(s.a if which == 'a' else s.b)}) t where exists (select 1 from {joined(s)} d where not (in_a and in_b and {every}) and {wanted} and {on})"
+    return (
+        f"select t.* from ({plain(s.a if which == 'a' else s.b)}) t where exists (select 1 from {joined(s)} d where not (in_a and in_b and {every}) "
+        f"and {wanted} and {on})"
+    )
 
 
 def breakdown(s: Spec, dimension: str, delta: str | None = None, limit: int | None = None) -> str:
     d = deltas(s.kinds[delta], f"a__{delta}", f"b__{delta}") if delta else {}
     more = f", max({d['abs_delta']})::double as max_abs_delta, max(abs({d['rel_delta']})) as max_rel_delta" if d else ""
     by = f"coalesce(a__{dimension}, b__{dimension})" if dimension in s.kinds else dimension
-    return f"select {by} as dimension, count(*) filter (in_a and not in_b) as only_in_a, count(*) filter (in_b and not in_a) as only_in_b, count(*) filter (in_a and in_b) as in_both_diff, count(*) as total{more} from {differing(s)} group by 1 order by 1 nulls first" + (f" limit {limit}" if limit else "")
+    return (
+        f"select {by} as dimension, count(*) filter (in_a and not in_b) as only_in_a, count(*) filter (in_b and not in_a) as only_in_b, count(*) "
+        f"filter (in_a and in_b) as in_both_diff, count(*) as total{more} from {differing(s)} group by 1 order by 1 nulls first" + (f" limit {limit}" if limit else "")
+    )
 
 
 def verify(s: Spec, differing_columns: Sequence[str] = ()) -> str:

@@ -171,5 +171,15 @@ def _apart_sql() -> str:
     return f"select c_custkey, {metres} <= 300000 as near, round({metres}, 2) as metres from customer"
 
 
-QUERIES: dict[str, Query] = {"geo_spheroid": geo_spheroid, "geo_stats": geo_stats, "geo_shapes_equal": geo_shapes_equal, "geo_shape_distance": geo_shape_distance}
-ORACLE_SQL: dict[str, str] = {"geo_spheroid": GEO_SPHEROID_SQL, "geo_stats": GEO_STATS_SQL, "geo_shapes_equal": GEO_SHAPES_SQL, "geo_shape_distance": _apart_sql()}
+QUERIES: dict[str, Query] = {
+    "geo_spheroid": geo_spheroid,
+    "geo_stats": geo_stats,
+    "geo_shapes_equal": geo_shapes_equal,
+    "geo_shape_distance": geo_shape_distance,
+}
+ORACLE_SQL: dict[str, str] = {
+    "geo_spheroid": GEO_SPHEROID_SQL,
+    "geo_stats": GEO_STATS_SQL,
+    "geo_shapes_equal": GEO_SHAPES_SQL,
+    "geo_shape_distance": _apart_sql(),
+}

@@ -10,7 +10,19 @@ from .functions.kinds import KINDS
 from .plans.result import ColumnFound, Summary
 
 WIDTH = 100
-STATS = [("max_abs", "max abs"), ("max_rel", "max rel"), ("avg_abs", "avg abs"), ("sum_rel", "sum rel"), ("mismatches", "mismatches"), ("max_len_delta", "max length delta"), ("avg_len_delta", "avg length delta"), ("max_value_diff", "max quantile diff"), ("avg_value_diff", "avg quantile diff"), ("max_meters", "max metres"), ("avg_meters", "avg metres")]
+STATS = [
+    ("max_abs", "max abs"),
+    ("max_rel", "max rel"),
+    ("avg_abs", "avg abs"),
+    ("sum_rel", "sum rel"),
+    ("mismatches", "mismatches"),
+    ("max_len_delta", "max length delta"),
+    ("avg_len_delta", "avg length delta"),
+    ("max_value_diff", "max quantile diff"),
+    ("avg_value_diff", "avg quantile diff"),
+    ("max_meters", "max metres"),
+    ("avg_meters", "avg metres"),
+]
 
 
 def number(value: float | int | None) -> str:
@@ -40,7 +52,10 @@ def notices(s: Summary) -> list[str]:
     out = []
     for name, side in (("A", s.side_a), ("B", s.side_b)):
         if side.duplicate_keys:
-            out.append(f"!! DUPLICATE KEYS in {name}: {side.duplicate_keys:,} keys in {side.duplicate_rows:,} rows, up to {side.max_multiplicity:,} times; the counts below are not reliable")
+            out.append(
+                f"!! DUPLICATE KEYS in {name}: {side.duplicate_keys:,} keys in {side.duplicate_rows:,} rows, up to {side.max_multiplicity:,} times; "
+                "the counts below are not reliable"
+            )
         if side.null_key_rows:
             out.append(f"!! {side.null_key_rows:,} rows of {name} have a null in their key and match nothing")
     if s.aborted:
@@ -56,7 +71,10 @@ def tolerance_text(s: Summary) -> str:
 
 
 def row_lines(s: Summary) -> list[str]:
-    out = [f"rows: {s.side_a.total_rows:,} in A, {s.side_b.total_rows:,} in B", f"matched: {s.rows_matched:,} | only in A: {s.rows_only_in_a:,} | only in B: {s.rows_only_in_b:,}"]
+    out = [
+        f"rows: {s.side_a.total_rows:,} in A, {s.side_b.total_rows:,} in B",
+        f"matched: {s.rows_matched:,} | only in A: {s.rows_only_in_a:,} | only in B: {s.rows_only_in_b:,}",
+    ]
     post = s.rows_in_both_diff_post_tolerance
     text = f"different: {s.rows_in_both_diff:,} before tolerance" if post is not None or s.aborted else f"different: {s.rows_in_both_diff:,}"
     return out + [text + (f", {post:,} after it" if post is not None else "") + f" | identical: {s.rows_identical:,}"]
@@ -73,7 +91,11 @@ def verbose(s: Summary, sort: str = "alphabetical") -> str:
     same = sorted(c.name for c in s.columns if not c.diff_count)
     lines.append(f"  identical: {', '.join(same) or 'none'}")
     for c in ordered(s.differing, sort):
-        lines.append(f"  {c.name} ({c.kind}): {c.diff_count:,} rows differ ({percent(s.diff_share(c))} of the matched)" + (f", {c.within:,} within tolerance, {c.outside:,} not" if c.within is not None else ""))
+        lines.append(
+            f"  {c.name} ({c.kind}): {c.diff_count:,} rows differ ({percent(s.diff_share(c))} of the matched)" + (
+                f", {c.within:,} within tolerance, {c.outside:,} not" if c.within is not None else ""
+            )
+        )
         shown = [f"{label} {number(c.stats[key])}" for key, label in STATS if c.stats.get(key) is not None]
         lines += ["    " + ", ".join(shown)] if shown else []
     return "\n".join([*lines, "", f"{verdict(s):=^{WIDTH}}"])
@@ -85,7 +107,15 @@ def table(s: Summary, sort: str = "alphabetical") -> str:
     for c in ordered(s.differing, sort):
         largest = next((c.stats[k] for k in ("max_abs", "max_len_delta", "max_value_diff", "max_meters") if k in c.stats), None)
         mean = next((c.stats[k] for k in ("avg_abs", "avg_len_delta", "avg_value_diff", "avg_meters") if k in c.stats), None)
-        cells = [c.name if len(c.name) <= 30 else c.name[:29] + "…", KINDS[c.kind].short, number(c.diff_count), percent(s.diff_share(c)), number(largest), number(c.stats.get("max_rel")), number(mean)]
+        cells = [
+            c.name if len(c.name) <= 30 else c.name[:29] + "…",
+            KINDS[c.kind].short,
+            number(c.diff_count),
+            percent(s.diff_share(c)),
+            number(largest),
+            number(c.stats.get("max_rel")),
+            number(mean),
+        ]
         cells += [number(c.outside), number(c.within)] if s.absolute or s.relative else []
         rows.append([*cells, "ABORT" if s.aborted else c.status])
     width = [max(len(r[i]) for r in [head, *rows]) for i in range(len(head))]
@@ -111,7 +141,11 @@ def breakdown(dimension: str, rows: Sequence[Row], totals: Row) -> str:
     for r in rows:
         if r["total"]:
             sizes = [f"max abs {number(r['max_abs_delta'])}, max rel {number(r['max_rel_delta'])}"] if "max_abs_delta" in r else []
-            lines.append(f"  {r['dimension']}: " + " | ".join([f"only in A {r['only_in_a']:,}", f"only in B {r['only_in_b']:,}", f"in both {r['in_both_diff']:,}", *sizes]))
+            lines.append(
+                f"  {r['dimension']}: " + " | ".join(
+                    [f"only in A {r['only_in_a']:,}", f"only in B {r['only_in_b']:,}", f"in both {r['in_both_diff']:,}", *sizes]
+                )
+            )
     return "\n".join([*lines, f"  in all: only in A {totals['only_in_a']:,} | only in B {totals['only_in_b']:,} | in both {totals['in_both_diff']:,}"])
 
 

@@ -104,7 +104,9 @@ def describe(schema: T.StructType, sketches: Collection[str] = (), int_sketches:
         c = known[name]
         if kind in SKETCHES and c.type != "binary":
             raise ValueError(f"{name} is no binary column, so it holds no sketches")
-        if kind == "GEOGRAPHY" and c.type != "string" and not {"lon", "lat"} <= {p.split(":")[0] for p in c.type.removeprefix("struct<").removesuffix(">").split(",")}:
+        if kind == "GEOGRAPHY" and c.type != "string" and not {"lon", "lat"} <= {
+            p.split(":")[0] for p in c.type.removeprefix("struct<").removesuffix(">").split(",")
+        }:
             raise ValueError(f"{name} is neither text nor a struct with lon and lat")
     found = [replace(c, kind=chosen.get(c.name, c.kind)) for c in columns]
     by_alias: dict[str, str] = {}
@@ -154,7 +156,12 @@ def intersect(a: Sequence[Column], b: Sequence[Column], keys: Sequence[str], coe
     lost = {n for n, _, _ in differs}
     if bad := [k for k in keys if k in lost]:
         raise KeyColumnError(f"key columns of different types: {', '.join(bad)}")
-    found = Intersection([c for c in common if c.name not in lost], [c.name for c in a if c.name not in in_b], [c.name for c in b if c.name not in in_a], differs)
+    found = Intersection(
+        [c for c in common if c.name not in lost],
+        [c.name for c in a if c.name not in in_b],
+        [c.name for c in b if c.name not in in_a],
+        differs,
+    )
     check_key_names([in_a[k] for k in keys], found.values)
     return found
 

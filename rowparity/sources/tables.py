@@ -168,7 +168,14 @@ def purge_expired(spark: SparkSession, database: str | None = None, now: datetim
     return dropped
 
 
-def split_targets(table_a: str, table_b: str, name_a: str | None = None, name_b: str | None = None, mode: str = "error", environment: Mapping[str, str] = os.environ) -> tuple[str, str]:
+def split_targets(
+    table_a: str,
+    table_b: str,
+    name_a: str | None = None,
+    name_b: str | None = None,
+    mode: str = "error",
+    environment: Mapping[str, str] = os.environ,
+) -> tuple[str, str]:
     """The two output names of a split.
 
     Both are given, or neither: then they are DIFF_<table> in the database that the environment variable names. Names
@@ -182,7 +189,9 @@ def split_targets(table_a: str, table_b: str, name_a: str | None = None, name_b:
         database = environment.get(SPLIT_DATASET_VARIABLE)
         if not database:
             raise ValueError(f"without output tables, {SPLIT_DATASET_VARIABLE} must name a database")
-        name_a, name_b = (f"{database}.{SPLIT_PREFIX}{re.sub(r'[^0-9A-Za-z_]', '_', t.rstrip('/').rsplit('/', 1)[-1].rsplit('.', 1)[-1] if '/' not in t else t.rstrip('/').rsplit('/', 1)[-1].split('.')[0])}" for t in (table_a, table_b))
+        name_a, name_b = (
+            f"{database}.{SPLIT_PREFIX}{re.sub(r'[^0-9A-Za-z_]', '_', t.rstrip('/').rsplit('/', 1)[-1].rsplit('.', 1)[-1] if '/' not in t else t.rstrip('/').rsplit('/', 1)[-1].split('.')[0])}" for t in (table_a, table_b)
+        )
         if name_a == name_b:
             name_a, name_b = name_a + "_a", name_b + "_b"
     for n in (name_a, name_b):

@@ -11,7 +11,12 @@ from ..plans.compare import Comparison
 from ..plans.result import Summary
 
 
-def comparer(expected: DataFrame, keys: Sequence[str], sink: Callable[[int, Summary], None], settings: Settings = Settings()) -> Callable[[DataFrame, int], None]:
+def comparer(
+    expected: DataFrame,
+    keys: Sequence[str],
+    sink: Callable[[int, Summary], None],
+    settings: Settings = Settings(),
+) -> Callable[[DataFrame, int], None]:
     """For writeStream.foreachBatch: compares every batch with the rows of expected that have its keys."""
 
     def compare(batch: DataFrame, number: int) -> None:
