@@ -9,6 +9,11 @@ gives what it reads back to the next stage. All stages but the last return the c
 4. secrets: found secrets are replaced by a mark in the text.
 5. packing: what is left becomes sequences of 2048 tokens.
 
+Defined results: rows with a null, empty or letterless text go in the first stage; texts may be as long as a row can
+hold. A doc_id is a whole number and names one text; rows without one are kept by the stages that group by id, and
+repeated rows are kept or dropped together, and packed as often as they are there. Of equally good documents the one with
+the least id stays. An empty table gives no rows. Extra columns pass through all stages but the last, whatever their names.
+
 ORACLE_SQL is None: SQL can express neither the trained classifier nor the packing.
 """
 
