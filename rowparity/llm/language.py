@@ -5,12 +5,13 @@ bit 1 against those with bit 0, each language weighing the same. A document is g
 weighted logistic loss; a bit weighs as much as its classifier separates the training languages. If two codewords are
 about as near, the document is flagged ambiguous.
 
-The n-gram counts of the training documents are one distributed aggregate; only the table languages x n-gram buckets,
-whose size the parameters bound, reaches the driver.
+The n-gram counts of the training documents are one distributed aggregate; only the table languages x n-gram buckets
+reaches the driver.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for all if nothing could be learned;
 rows with a null language or text teach nothing; a null doc_id counts as held out; ties go to the language that sorts
-first; other columns are ignored.
+first; a text may be as long as a row can hold, its n-grams are counted in place; repeated rows teach as often as they
+come, and are returned so; an empty table teaches nothing, and none gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ large-star/small-star steps.
 
 Defined results: null texts are empty; a text without words has the fingerprint zero, and is linked like any other; a
 null doc_id gets the component of its fingerprint if a document with an id has that one, otherwise null; repeated rows
-are returned as often as they come; other columns are ignored. A doc_id names one text: where rows of one id have
+are returned as often as they come; a text may be as long as a row can hold, and takes about 100 bytes a word in its task;
+an empty table gives no rows; other columns are ignored. A doc_id names one text: where rows of one id have
 different texts, near_duplicates joins the groups whose least id it is, and first_of_each drops all rows of the id if
 one of its texts belongs to a group with a smaller id, also a text that is like no other.
 """

@@ -117,3 +117,19 @@ def test_runs_side_by_side_delete_only_their_own_tables(spark):
     may_end.set()
     thread.join()
     assert found["rows"] == 5 and not common.exists(spark, found["path"])
+
+
+def test_clashing_columns_go_through_all_stages(spark, documents):
+    """Extra columns named like the operators' own reach the packing stage unchanged."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"word{(k * 7 + j * 3) % 50} the of and {k}" for j in range(30))
+    docs = documents([(k, text(k), "en") for k in range(12)] + [(20, text(3), "en"), (21, "password = abcdefghij12345 " + text(4), "en")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == before, name
+    kept = docs.collect()
+    assert kept and all(r["blob"] == r["role"] == r["block"] == "-" for r in kept)
+    assert 20 not in {r["doc_id"] for r in kept} and not any("abcdefghij12345" in r["text"] for r in kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(kept)
