@@ -265,3 +265,31 @@ def test_null_keys_are_dealt_out(spark):
     sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 30_000 and (len(sizes) == 1 or max(sizes) < 2 * sum(sizes) / len(sizes))
     assert joined.columns == ["k", "in_a", "in_b", "a__v", "b__v"]
+
+
+def test_a_sketch_of_many_rows_answers_exactly(spark):
+    from rowparity.functions import sketches
+
+    values = {"a": [(i * 7919) % 10007 * 0.5 for i in range(10007)], "b": [float(i % 3) for i in range(5000)], None: [-float(i * i) for i in range(3001)], "c": [4.0, None, float("nan")], "d": [None], "e": [7.0] * 4000 + [9.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(7)
+    for suffix in ("double", "bigint"):
+        frame = rows if suffix == "double" else rows.where("not isnan(v) or v is null").selectExpr("k", "cast(v as bigint) as v")
+        got = {r["k"]: r["q"] for r in sketches.exact(frame, ["k"], "v", suffix).select("k", sketches.quantiles(F.col("sketch"), suffix).alias("q")).collect()}
+        for k, vs in values.items():
+            known = sorted(v if suffix == "double" else int(v) for v in vs if v is not None and v == v)
+            want = [known[-(-len(known) * round(20 * p) // 20) - 1] if known else None for p in sketches.PROBES]
+            assert got[k] == want or (not known and got[k] is None)
+        assert len(got) == len(values)
+
+
+@pytest.mark.parametrize("name", ["kll_bigint", "kll_stats"])
+def test_sketches_of_800_rows_a_brand_equal_their_sql(spark, name):
+    import duckdb
+
+    from rowparity.plans import catalogue
+
+    d = "/root/testdata/sf0.1"
+    known = duckdb.connect()
+    known.sql(f"create view part as select * from read_parquet('{d}/part.parquet')")
+    want = known.sql(catalogue.ORACLE_SQL[name]).fetchall()
+    assert sorted(map(str, map(tuple, catalogue.QUERIES[name](spark, d).collect()))) == sorted(map(str, want))
