@@ -27,6 +27,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -276,6 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 WIDE = 4  # words of 64 bits
 TABLES = 16
 PAIRS = 1 << 19  # pairs that a task looks at together
+RUN = 1 << 10  # keys alike in some pieces that are compared pair by pair; more go down the trie
+ROUND = 1 << 24  # rows of keys that are dealt out at a time
 
 
 def minima(mers: np.ndarray) -> bytes:
@@ -324,6 +328,55 @@ def products(blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield blocks[of, 0] + t // blocks[of, 3], blocks[of, 2] + t % blocks[of, 3]
 
 
+def near_keys(a: np.ndarray, b: np.ndarray | None, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """trie_join() for short keys, of which by chance many are near: keys within the radius have all but `radius` pieces of their bits alike.
+
+    For each choice of pieces the keys are sorted by these, and those that are alike in them compared; a pair comes with
+    the first of its choices.
+    """
+    keys = a if b is None else np.concatenate([a, b])
+    first = len(keys) if b is None else len(a)
+    vary = int(np.bitwise_or.reduce(keys ^ keys[0])).bit_length() if len(keys) else 0
+    pieces = next((m for m in range(radius + 1, radius + 4) if vary * (m - radius) >= m * (len(keys).bit_length() - 1)), radius + 4)
+    if len(keys) <= LEAF or vary < pieces:
+        yield from trie_join(a, b, radius, bits)
+        return
+    ends = [vary * k // pieces for k in range(pieces + 1)]
+    masks = [(1 << y) - (1 << x) for x, y in zip(ends, ends[1:])]
+    chosen = [np.uint64(sum(c)) for c in combinations(masks, pieces - radius)]
+    for k, mask in enumerate(chosen):
+        order = np.argsort(keys & mask, kind="stable")  # sides stay apart, and a side's keys in order
+        v = keys[order]
+        start = np.flatnonzero(np.append(True, (v[1:] ^ v[:-1]) & mask != 0))
+        n = np.diff(np.append(start, len(v)))
+        later = np.repeat(start + n, n) - np.arange(len(v)) - 1
+
+        def fresh(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            i, j = np.minimum(order[i], order[j]), np.maximum(order[i], order[j])
+            differ = keys[i] ^ keys[j]
+            ok = (np.bitwise_count(differ) <= radius) & ((j >= first) & (i < first) if b is not None else True)
+            for before in chosen[:k]:
+                ok &= differ & before != 0
+            return i[ok], j[ok] - (0 if b is None else first)
+
+        for at in np.flatnonzero(n > RUN).tolist():
+            run = np.arange(start[at], start[at] + n[at])
+            later[run] = 0
+            own = run[order[run] < first]
+            rest = run[len(own) :]
+            for i, j in trie_join(v[own], v[rest] if b is not None else None, radius, bits):
+                yield fresh(own[i], (own if b is None else rest)[j])
+        i = np.arange(len(v))
+        for d in range(1, RUN):
+            i = i[later[i] >= d]
+            if not len(i):
+                break
+            for at in range(0, len(i), PAIRS):
+                x = i[at : at + PAIRS]
+                x = x[np.bitwise_count(v[x] ^ v[x + d]) <= radius]
+                yield fresh(x, x + d)
+
+
 def join_alike(values: np.ndarray, side: np.ndarray | None, wide: np.ndarray, groups: Groups, radius: int, limit: int, bits: int, least: float) -> None:
     """Join in groups all rows whose keys are within the radius and that may be alike.
 
@@ -352,7 +405,7 @@ def join_alike(values: np.ndarray, side: np.ndarray | None, wide: np.ndarray, gr
         add([np.array([rest, sizes - alike, starts, sizes])])
     keys = values[starts]
     first = len(keys) if side is None else int(np.count_nonzero(~side[starts]))
-    for i, j in trie_join(keys[:first], None if side is None else keys[first:], radius, bits):
+    for i, j in near_keys(keys[:first], None if side is None else keys[first:], radius, bits):
         j = j if side is None else j + first
         met = may_be_alike(wide[starts[i]], wide[starts[j]], limit, least)
         groups.add(starts[i][met], starts[j][met])
@@ -364,9 +417,20 @@ def join_alike(values: np.ndarray, side: np.ndarray | None, wide: np.ndarray, gr
         ])
 
 
+def turned(prefix: int, radius: int) -> F.Column:
+    """Rows (piece, p): p with each of radius + 1 pieces of its 32 bits foremost, of which keys within the radius have one alike."""
+    width, low = 32 // (radius + 1), F.lit((1 << 32) - 1).cast("long")
+    turns = [k * width for k in range(radius + 1)] if prefix else [0]
+    p = [F.shiftleft("p", s).bitwiseOR(F.shiftright("p", 32 - s)).bitwiseAND(low) if s else F.col("p") for s in turns]
+    return F.inline(F.array(*[F.struct(F.lit(s).alias("piece"), x.alias("p")) for s, x in zip(turns, p)]))
+
+
 def candidate_links(keyed: DataFrame, radius: int, limit: int, prefix: int, subtree: int, similarity: float) -> DataFrame:
-    """(u, v): of the rows (node, wide, t, p), those that may be alike joined in each task, as edges to its least node."""
-    dealt = deal(keyed, ["t"], prefix, radius, 32, subtree)
+    """(u, v): of the rows (node, wide, t, p), those that may be alike joined in each task, as edges to its least node.
+
+    A row is sent once for each piece of its key, to the task of that piece's first `prefix` bits, however many these are.
+    """
+    dealt = deal(keyed.select("node", "wide", "t", turned(prefix, radius)), ["t", "piece"], prefix, 0, 32, subtree)
 
     def task(rows: pa.Table) -> pa.Table:
         values, side = rows["p"].to_numpy().astype(np.uint64), ~rows["first"].to_numpy(zero_copy_only=False)
@@ -379,7 +443,7 @@ def candidate_links(keyed: DataFrame, radius: int, limit: int, prefix: int, subt
         join_alike(values[order], None if itself else side[order], wide, groups, radius, limit, 32, similarity)
         return groups.rows().select(["u", "v"])
 
-    return dealt.groupBy("t", *TASK).applyInArrow(task, "u long, v long").where("u <> v")
+    return dealt.groupBy("t", "piece", *TASK).applyInArrow(task, "u long, v long").where("u <> v")
 
 
 def verified(blocks: DataFrame, drawn: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
@@ -392,21 +456,26 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 43, s
     """doc_id, component_id of the documents with an id: groups of texts whose shingle sets have a similarity of `least` or more.
 
     Two sets are candidates if one of sixteen 32-bit SimHash fingerprints of their shingles is within the radius (found by
-    the trie join; 0.99 of the pairs at a similarity of 0.8, more above) and 256 bits of their minima differ in at most
+    near_keys(); 0.99 of the pairs at a similarity of 0.8, more above) and 256 bits of their minima differ in at most
     `limit` (26 on average at 0.8, standard deviation 5; 128 for unrelated texts); sets of sizes that rule the similarity
-    out are none. A task gives a spanning forest of its candidates, never pairs, and the components of these are blocks.
+    out are none. Tables are dealt out some at a time, at most ROUND rows but for a single one, and what a round has shuffled
+    is deleted at its end: a text is sent 64 times whatever their number, until 256 subtrees no longer fit into tasks. A task gives a spanning forest of its candidates, never pairs, and the components of these are blocks.
     Inside a block all sets are compared exactly, by the blocked product of the n-gram join, so a link has a similarity of
     0.8 or more, and one inside a block is found even if its two ends were no candidates.
     """
     drawn = saved(sketches(docs, width).where(F.col("doc_id").isNotNull()))
     nodes = saved(drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("wide").alias("wide")))
     n, prefix = nodes.count(), 0
-    while n > subtree << prefix:
+    while n > subtree << prefix and prefix < 32 // (radius + 1):
         prefix += 1
-    table = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
     part = F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p")
-    keyed = nodes.select("node", "wide", table.alias("t"), "keys").select("node", "wide", "t", part)
-    blocks = saved(components(candidate_links(keyed, radius, limit, prefix, subtree, least)).select(F.col("id").alias("node"), F.col("component").alias("block")))
+    at_once = max(1, ROUND // max(1, n * (radius + 1 if prefix else 1)))
+    rounds = []
+    for t in range(0, TABLES, at_once):
+        table = F.explode(F.sequence(F.lit(t), F.lit(min(t + at_once, TABLES) - 1)))
+        keyed = nodes.select("node", "wide", table.alias("t"), "keys").select("node", "wide", "t", part)
+        rounds.append(saved(candidate_links(keyed, radius, limit, prefix, subtree, least)))
+    blocks = saved(components(reduce(DataFrame.union, rounds)).select(F.col("id").alias("node"), F.col("component").alias("block")))
     joined = components(verified(blocks, drawn, docs, width, least)).withColumnRenamed("id", "node")
     placed = nodes.select("node", "doc_id").join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

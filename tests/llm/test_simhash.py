@@ -264,3 +264,62 @@ def test_candidates_of_a_task_are_joined_as_all_pairs_would(documents):
                 assert all_[i] != all_[j] or mine[i] == mine[j]
         if not sided:
             assert len(set(mine)) == len(set(all_)) < 300
+
+
+@pytest.mark.parametrize("run", [8, simhash.RUN])  # longer runs go down the trie
+def test_near_keys_finds_each_pair_once(run, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN", run)
+    r = np.random.default_rng(11)
+    v = r.integers(0, 1 << 27, 1500, dtype=np.uint64)
+    v[:300] = v[0]
+    for _ in range(3):
+        v[:600] ^= np.uint64(1) << r.integers(0, 27, 600).astype(np.uint64)
+    v = np.unique(v)
+    near = lambda a, b: {(i, j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(b ^ a[i]) <= 3).tolist()}
+    got = [(i, j) for x, y in simhash.near_keys(v, None, 3, 32) for i, j in zip(x.tolist(), y.tolist())]
+    assert len(got) == len(set(got)) > 1000 and set(got) == {(i, j) for i, j in near(v, v) if i < j}
+    a, b = v[::2], v[1::2]
+    got = [(i, j) for x, y in simhash.near_keys(a, b, 3, 32) for i, j in zip(x.tolist(), y.tolist())]
+    assert len(got) == len(set(got)) and set(got) == near(a, b)
+
+
+def test_a_longer_prefix_sends_no_more_rows(spark, monkeypatch):
+    """Each key goes to 4 subtrees at most, whatever their number (with masks of up to three bits to 26 at a prefix of 5), and keys within the radius meet."""
+    r = np.random.default_rng(12)
+    base = r.integers(0, 1 << 32, 200).tolist()
+    keys = base + [x ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(c)) for x, (a, b, c) in zip(base, (r.choice(32, 3, replace=False) for _ in base))]
+    same = bytes(8 * simhash.WIDE) + (100).to_bytes(8, "little")
+    keyed = spark.createDataFrame([(i, same, 0, k) for i, k in enumerate(keys)], "node long, wide binary, t int, p long")
+    sent, deal = [], simhash.deal
+    monkeypatch.setattr(simhash, "deal", lambda *a: sent.append(deal(*a)) or sent[-1])
+    joined = {x["id"]: x["component"] for x in components(simhash.candidate_links(keyed, 3, 43, 5, 1000, 0.8)).collect()}
+    assert sent[0].count() <= 4 * len(keys)
+    assert all(joined[i] == joined[200 + i] for i in range(200))
+
+
+def test_rounds_of_tables_give_the_same(documents, monkeypatch):
+    r, rows = random.Random(31), []
+    for i in range(40):
+        words = prose(r, 150)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-2], "changed", "end"]))]
+    df = documents(rows)
+    whole = {x["doc_id"]: x["component_id"] for x in simhash.similar(df).collect()}
+    monkeypatch.setattr(simhash, "ROUND", 80 * 4 * 5)  # five tables, then the rest
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar(df, subtree=10).collect()} == whole == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from rowparity.llm import common
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    before, conf = files(), spark.conf.get(common.CLEANUP, None)
+    out = common.saved(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000 and spark.conf.get(common.CLEANUP, None) == conf
