@@ -279,6 +279,7 @@ WIDE = 4  # words of 64 bits
 TABLES = 16
 PAIRS = 1 << 19  # pairs that a task looks at together
 RUN = 1 << 10  # keys alike in some pieces that are compared pair by pair; more go down the trie
+BY_PIECES = 1 << 14  # texts from which on each piece of a key is dealt out
 ROUND = 1 << 24  # rows of keys that are dealt out at a time
 
 
@@ -465,7 +466,8 @@ def similar(docs: DataFrame, width: int = 5, radius: int = 3, limit: int = 43, s
     """
     drawn = saved(sketches(docs, width).where(F.col("doc_id").isNotNull()))
     nodes = saved(drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("wide").alias("wide")))
-    n, prefix = nodes.count(), 0
+    n = nodes.count()
+    prefix = int(n > BY_PIECES)
     while n > subtree << prefix and prefix < 32 // (radius + 1):
         prefix += 1
     part = F.conv(F.hex(F.substring(F.col("keys"), F.col("t") * 4 + 1, F.lit(4))), 16, 10).cast("long").alias("p")
